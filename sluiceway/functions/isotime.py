@@ -2,69 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Forms accepted (groups in order: extended date 1-3, basic date 4-6, week date
 # 7-9, hour 10, minute 12, second 13, fraction 14, offset sign 15, hours 16,
 # minutes 18, seconds 19).
 _DATE = (
     r"(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2})"
-    r"|(\d{4})-?W(\d{2})(?:-?(\d))?)"
+    r"|(?!\d{4}-W\d{3}|\d{4}W\d{2}-\d)(\d{4})-?W(\d{2})(?:-?(\d))?)"
 )
 _CLOCK = r"(\d{2})(?:(:?)(\d{2})(?:\11(\d{2})(?:[.,](\d+))?)?)?"
 _OFFSET = r"(?:([+-])(\d{2})(?:(:?)(\d{2})(?:\17(\d{2})(?:[.,]\d+)?)?)?)?"
 _PATTERN = rf"^{_DATE}(?:[\s\S]{_CLOCK}{_OFFSET})?$"
-_FIELDS = "|".join(f"${g}" for g in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 18, 19))
-
-# A week date mixes hyphens only one way: YYYY-Www-D or YYYYWwwD.
-_MIXED_WEEK = r"^(?:\d{4}-W\d{3}|\d{4}W\d{2}-\d)"
+# The usual form, which Spark's own cast reads as it should.
+_USUAL = (
+    r"^(?!0000)\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)$"
+)
+_GROUPS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 18, 19)
+_FIELDS = "|".join(f"${g}" for g in _GROUPS)
 
 
-def iso_instant(text: Column) -> Column:
-    """STRUCT<micros, hour, minute>, NULL when the text is not ISO-8601.
+def with_instant(df: DataFrame, text: str) -> DataFrame:
+    """Add `micros`, `hour`, `minute` read from a text column; all NULL if not ISO-8601.
 
-    `micros` counts from the epoch, naive text read as UTC; `hour` and `minute`
-    are the wall clock as written, whatever the offset.
+    `micros` counts from the epoch, naive text taken as UTC; `hour` and `minute` are
+    the wall clock as written, whatever the offset. Each step is a column of its own
+    so that the text is matched once.
     """
-    utc = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    parts = F.regexp_replace(utc, _PATTERN, _FIELDS)
-    ok = utc.rlike(_PATTERN) & ~utc.rlike(_MIXED_WEEK)
+    kept = df.columns
+    utc = F.replace(F.col(text), F.lit("Z"), F.lit("+00:00"))
+    usual = df.withColumn("_usual", F.col(text).rlike(_USUAL))
+    # Text that is not ISO-8601 comes back unchanged, without the 16 bars.
+    split = usual.withColumn(
+        "_p", F.when(~F.col("_usual"), F.split(F.regexp_replace(utc, _PATTERN, _FIELDS), r"\|"))
+    )
 
     def part(i: int) -> Column:
-        return F.split_part(parts, F.lit("|"), F.lit(i))
+        return F.get("_p", F.lit(i))
 
     def number(i: int) -> Column:
+        # A failing cast is slow, so empty text never reaches it.
         return F.coalesce(F.nullif(part(i), F.lit("")).try_cast("int"), F.lit(0))
 
     clock = F.concat(
-        F.lpad(number(10).cast("string"), 2, "0"), F.lit(":"),
-        F.lpad(number(11).cast("string"), 2, "0"), F.lit(":"),
-        F.lpad(number(12).cast("string"), 2, "0"), F.lit("."),
-        F.rpad(F.substring(part(13), 1, 6), 6, "0"),
-    )
-    calendar = F.concat_ws(
-        "-", *(F.concat(part(i), part(i + 3)) for i in (1, 2, 3))
+        F.lpad(part(9), 2, "0"), F.lit(":"),
+        F.lpad(part(10), 2, "0"), F.lit(":"),
+        F.lpad(part(11), 2, "0"), F.lit("."),
+        F.rpad(F.substring(part(12), 1, 6), 6, "0"), F.lit("Z"),
     )
-    # Monday of ISO week 1 is the Monday on or before 4 January.
-    week, weekday = number(8), F.when(part(9) == "", F.lit(1)).otherwise(number(9))
+    calendar = F.concat_ws("-", *(F.concat(part(i), part(i + 3)) for i in range(3)))
+    # Monday of ISO week 1 is the Monday on or before 4 January; week 53 exists only
+    # in years whose last Thursday falls in it.
     week_one = F.date_trunc(
-        "week", F.concat(part(7), F.lit("-01-04")).try_cast("timestamp_ntz")
+        "week", F.concat(part(6), F.lit("-01-04")).try_cast("timestamp_ntz")
     ).cast("date")
-    week_day = F.date_add(week_one, (week - 1) * 7 + weekday - 1)
-    # Week 53 exists only in years whose last Thursday falls in it.
-    thursday_year = F.year(F.date_add(week_one, (week - 1) * 7 + 3))
-    week_ok = week.between(1, 53) & weekday.between(1, 7) & (thursday_year == number(7))
-    date = F.when(part(7) == "", calendar).when(week_ok, week_day.cast("string"))
+    week, weekday = number(7), F.when(part(8) == "", F.lit(1)).otherwise(number(8))
+    week_ok = (
+        week.between(1, 53)
+        & weekday.between(1, 7)
+        & (F.year(F.date_add(week_one, (week - 1) * 7 + 3)) == number(6))
+    )
+    week_day = F.date_add(week_one, (week - 1) * 7 + weekday - 1).cast("string")
+    date = F.when(part(6) == "", calendar).when(week_ok, week_day)
+    shift = (number(14) * 3600 + number(15) * 60 + number(16)).cast("bigint")
+    matched = (F.size("_p") == len(_GROUPS)) & ~F.contains(F.col(text), F.lit("|"))
+    other = F.when(
+        matched & (shift < 86400) & ~F.startswith(F.col(text), F.lit("0000")),
+        F.unix_micros(F.concat(date, F.lit(" "), clock).try_cast("timestamp"))
+        - F.when(part(13) == "-", -shift).otherwise(shift) * 1_000_000,
+    )
+
+    def wall(start: int, i: int) -> Column:
+        written = F.when(
+            F.col("_usual"), F.substring(F.col(text), start, 2).try_cast("int")
+        ).otherwise(number(i))
+        return F.when(F.col("micros").isNotNull(), written)
 
-    at = F.concat(date, F.lit(" "), clock, F.lit("Z")).try_cast("timestamp")
-    shift = (number(15) * 3600 + number(16) * 60 + number(17)).cast("bigint")
-    signed = F.when(part(14) == "-", -shift).otherwise(shift)
-    good = ok & at.isNotNull() & (shift < 86400) & ~utc.startswith("0000")
-    return F.when(
-        good,
-        F.struct(
-            (F.unix_micros(at) - signed * 1_000_000).alias("micros"),
-            number(10).alias("hour"),
-            number(11).alias("minute"),
-        ),
+    return (
+        split.withColumn(
+            "micros",
+            F.when(F.col("_usual"), F.unix_micros(F.col(text).try_cast("timestamp"))).otherwise(
+                other
+            ),
+        )
+        .withColumn("hour", wall(12, 9))
+        .withColumn("minute", wall(15, 10))
+        .select(*kept, "micros", "hour", "minute")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Characters stripped from both ends of a line (the white space Python's
@@ -42,42 +44,57 @@ def is_object_text(raw: Column) -> Column:
     return F.ltrim(raw, F.lit(BLANKS)).startswith("{")
 
 
-def field(doc: str, name: str) -> Column:
-    """STRUCT<kind, text>: the JSON type and text of a top-level field, kind NULL if absent."""
-    return F.struct(
-        F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")).alias("kind"),
-        F.try_variant_get(doc, f"$.{name}", "string").alias("text"),
+class Field(NamedTuple):
+    """The JSON type (NULL if absent) and the text of one top-level field."""
+
+    kind: Column
+    text: Column
+
+
+def with_fields(df: DataFrame, names: tuple[str, ...], doc: str = "doc") -> DataFrame:
+    """Add the type and text columns that `field` names."""
+    return df.select(
+        "*",
+        *(
+            F.schema_of_variant(F.try_variant_get(doc, f"$.{n}", "variant")).alias(f"_{n}_kind")
+            for n in names
+        ),
+        *(F.try_variant_get(doc, f"$.{n}", "string").alias(f"_{n}_text") for n in names),
     )
 
 
-def is_present(f: Column) -> Column:
+def field(name: str) -> Field:
+    return Field(F.col(f"_{name}_kind"), F.col(f"_{name}_text"))
+
+
+def is_present(f: Field) -> Column:
     """The field is there and not JSON null."""
-    return F.coalesce(f["kind"] != "VOID", F.lit(False))
+    return F.coalesce(f.kind != "VOID", F.lit(False))
 
 
-def is_string(f: Column) -> Column:
-    return F.coalesce(f["kind"] == "STRING", F.lit(False))
+def is_string(f: Field) -> Column:
+    return F.coalesce(f.kind == "STRING", F.lit(False))
 
 
-def is_boolean(f: Column) -> Column:
-    return F.coalesce(f["kind"] == "BOOLEAN", F.lit(False))
+def is_boolean(f: Field) -> Column:
+    return F.coalesce(f.kind == "BOOLEAN", F.lit(False))
 
 
-def is_number(f: Column) -> Column:
-    kind = f["kind"]
+def is_number(f: Field) -> Column:
+    kind = f.kind
     return F.coalesce(
         kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False)
     )
 
 
-def is_nested(f: Column) -> Column:
-    kind = f["kind"]
+def is_nested(f: Field) -> Column:
+    kind = f.kind
     return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
 
 
-def shown(f: Column) -> Column:
+def shown(f: Field) -> Column:
     """How a value is quoted inside an error message."""
-    text = f["text"]
+    text = f.text
     escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for char, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(char), F.lit(code))
@@ -93,8 +110,8 @@ def shown(f: Column) -> Column:
     )
 
 
-def key_text(f: Column) -> Column:
+def key_text(f: Field) -> Column:
     """Text stored for a key field: numbers as written, booleans as 1/0."""
     return F.when(
-        is_boolean(f), F.when(f["text"] == "true", F.lit("1")).otherwise(F.lit("0"))
-    ).otherwise(f["text"])
+        is_boolean(f), F.when(f.text == "true", F.lit("1")).otherwise(F.lit("0"))
+    ).otherwise(f.text)

@@ -6,69 +6,81 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluiceway.config import EVENT_REQUIRED, TRANSFER_REQUIRED, EventRules, TransferRules
 from sluiceway.functions import jsontext as J
-from sluiceway.functions.isotime import iso_instant
+from sluiceway.functions.isotime import with_instant
 
 INVALID_JSON = "invalid JSON"
 VALIDATION_FAILED = "validation failed"
 
 
 def _fault(bad: Column, message: str | Column) -> Column:
-    return F.when(bad, F.lit(message) if isinstance(message, str) else message)
+    """One message, or none."""
+    said = F.lit(message) if isinstance(message, str) else message
+    return F.when(bad, F.array(said)).otherwise(F.array().cast("array<string>"))
 
 
 def _missing(name: str) -> Column:
-    f = F.col(f"_{name}")
+    f = J.field(name)
     return _fault(
-        ~J.is_present(f) | (J.is_string(f) & (f["text"] == "")), f"missing required field: {name}"
+        ~J.is_present(f) | (J.is_string(f) & (f.text == "")), f"missing required field: {name}"
     )
 
 
 def _not_member(name: str, allowed: tuple[str, ...], message: Column) -> Column:
-    f = F.col(f"_{name}")
-    member = J.is_string(f) & f["text"].isin(*allowed)
+    f = J.field(name)
+    member = J.is_string(f) & f.text.isin(*allowed)
     return _fault(J.is_present(f) & ~member, message)
 
 
 def _bad_time() -> Column:
-    f = F.col("_timestamp")
+    f = J.field("timestamp")
     return _fault(
-        J.is_present(f) & F.col("_at").isNull(),
+        J.is_present(f) & F.col("micros").isNull(),
         F.concat(F.lit("timestamp is not ISO-8601: "), J.shown(f)),
     )
 
 
 def _bad_number(name: str, too_low: Column, rule: str) -> Column:
-    f = F.col(f"_{name}")
-    return F.when(
-        J.is_present(f),
-        F.when(~J.is_number(f), F.lit(f"{name} must be a number")).when(
-            too_low, F.lit(f"{name} must be {rule}")
-        ),
+    f = J.field(name)
+    message = F.when(~J.is_number(f), F.lit(f"{name} must be a number")).otherwise(
+        F.lit(f"{name} must be {rule}")
     )
+    return _fault(J.is_present(f) & (~J.is_number(f) | too_low), message)
 
 
 def _nested_key(name: str) -> Column:
-    return _fault(J.is_nested(F.col(f"_{name}")), f"{name} must not be an array or object")
+    return _fault(J.is_nested(J.field(name)), f"{name} must not be an array or object")
 
 
 def _with_fields(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Add `_name` STRUCT<kind, text> per field and `_at`, the parsed timestamp."""
-    parsed = J.with_document(df)
-    parsed = parsed.select("*", *(J.field("doc", n).alias(f"_{n}") for n in names))
-    stamp = F.col("_timestamp")
-    return parsed.withColumn("_at", F.when(J.is_string(stamp), iso_instant(stamp["text"])))
+    """Add type and text per field, and the parsed `timestamp`."""
+    parsed = J.with_fields(J.with_document(df), names)
+    stamp = J.field("timestamp")
+    return with_instant(
+        parsed.withColumn("_stamp", F.when(J.is_string(stamp), stamp.text)), "_stamp"
+    )
 
 
 def _errors(not_object: str, faults: list[Column]) -> Column:
     return (
         F.when(F.col("doc").isNull(), F.array(F.lit(INVALID_JSON)))
         .when(~J.is_object_text(F.col("raw")), F.array(F.lit(not_object)))
-        .otherwise(F.array_compact(F.array(*faults)))
+        .otherwise(F.concat(*faults))
     )
 
 
+def _result(fields: DataFrame, kept: list[str], *columns: Column) -> DataFrame:
+    """The computed columns, fixed per row.
+
+    A generator of one row keeps a later filter on `errors` above this point. Pushed
+    further down, the filter would repeat the whole parse once per mention of a field.
+    """
+    computed = fields.select(*kept, *columns)
+    names = [c for c in computed.columns if c not in kept]
+    return computed.select(*kept, F.inline(F.array(F.struct(*names))))
+
+
 def _double(name: str) -> Column:
-    f = F.col(f"_{name}")
+    f = J.field(name)
     return F.when(J.is_number(f), F.try_variant_get("doc", f"$.{name}", "double"))
 
 
@@ -87,7 +99,7 @@ def validate_events(df: DataFrame, rules: EventRules = EventRules()) -> DataFram
             rules.allowed_types,
             F.concat(
                 F.lit("invalid event_type "),
-                J.shown(F.col("_event_type")),
+                J.shown(J.field("event_type")),
                 F.lit(f"; allowed: {_quoted_list(rules.allowed_types)}"),
             ),
         ),
@@ -96,14 +108,15 @@ def validate_events(df: DataFrame, rules: EventRules = EventRules()) -> DataFram
         _nested_key("event_id"),
         _nested_key("user_id"),
     ]
-    return fields.select(
-        *kept,
+    return _result(
+        fields,
+        kept,
         _errors("event must be a JSON object", faults).alias("errors"),
-        J.key_text(F.col("_event_id")).alias("event_id"),
-        J.key_text(F.col("_user_id")).alias("user_id"),
-        F.col("_event_type")["text"].alias("event_type"),
-        F.col("_timestamp")["text"].alias("timestamp"),
-        "value",
+        J.key_text(J.field("event_id")).alias("event_id"),
+        J.key_text(J.field("user_id")).alias("user_id"),
+        J.field("event_type").text.alias("event_type"),
+        J.field("timestamp").text.alias("timestamp"),
+        F.col("value"),
     )
 
 
@@ -117,21 +130,22 @@ def validate_transfers(df: DataFrame, rules: TransferRules = TransferRules()) ->
         _not_member(
             "currency",
             rules.currencies,
-            F.concat(F.lit("unsupported currency "), J.shown(F.col("_currency"))),
+            F.concat(F.lit("unsupported currency "), J.shown(J.field("currency"))),
         ),
         _bad_time(),
         *(_nested_key(n) for n in ("txn_id", "account_id", "payee_id")),
     ]
-    return fields.select(
-        *kept,
+    return _result(
+        fields,
+        kept,
         _errors("transaction must be a JSON object", faults).alias("errors"),
-        *(J.key_text(F.col(f"_{n}")).alias(n) for n in ("txn_id", "account_id", "payee_id")),
+        *(J.key_text(J.field(n)).alias(n) for n in ("txn_id", "account_id", "payee_id")),
         "amount",
-        F.col("_currency")["text"].alias("currency"),
-        F.col("_timestamp")["text"].alias("timestamp"),
-        F.col("_at")["micros"].alias("ts"),
-        F.col("_at")["hour"].alias("hour"),
-        F.col("_at")["minute"].alias("minute"),
+        J.field("currency").text.alias("currency"),
+        J.field("timestamp").text.alias("timestamp"),
+        F.col("micros").alias("ts"),
+        F.col("hour"),
+        F.col("minute"),
     )
 
 
