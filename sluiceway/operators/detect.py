@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluiceway import schemas
 from sluiceway.config import HOLD_REASON, DetectorParams, SkewParams, TransferRules
-from sluiceway.operators.history import features
+from sluiceway.operators.history import features, split_by_size
 from sluiceway.operators.rules import fired_rules, score
 from sluiceway.operators.validate import is_valid, validate_transfers
 from sluiceway.sources.staging import stage
@@ -48,22 +48,27 @@ def alerts_of(scored: DataFrame) -> DataFrame:
     return fired_rules(scored).select("offset", *schemas.ALERTS.names)
 
 
-def holds_of(scored: DataFrame) -> DataFrame:
+def holds_of(scored: DataFrame, skew: SkewParams = SkewParams()) -> DataFrame:
     """Transfers of an account that had fired a rule on an earlier transfer.
 
-    The first firing per account is an aggregate, combined before the shuffle. What
-    follows it is found by a join on the account, where Spark splits a key that is too
-    large for one task (adaptive skew join).
+    The first firing per account is an aggregate, combined before the shuffle. The
+    transfers after it meet it by account; those of accounts too large for one task
+    stay where they are and get it by broadcast, one row for each such account.
     """
     flagged = (
         scored.where(F.size("fired") > 0)
         .groupBy("account_id")
         .agg(F.min("offset").alias("_flagged_at"))
     )
-    return (
-        scored.join(flagged, "account_id")
-        .where(F.col("offset") > F.col("_flagged_at"))
-        .select("offset", "txn_id", "account_id", "timestamp", F.lit(HOLD_REASON).alias("reason"))
+    small, large, names = split_by_size(
+        scored.select("offset", "txn_id", "account_id", "timestamp"), skew
+    )
+    joined = small.join(flagged, "account_id")
+    if large is not None:
+        known = F.broadcast(flagged.join(names, "account_id", "left_semi"))
+        joined = joined.unionByName(large.join(known, "account_id"))
+    return joined.where(F.col("offset") > F.col("_flagged_at")).select(
+        "offset", "txn_id", "account_id", "timestamp", F.lit(HOLD_REASON).alias("reason")
     )
 
 
@@ -71,8 +76,8 @@ def recorded_alerts(scored: DataFrame) -> DataFrame:
     return first_per_key(alerts_of(scored), schemas.ALERT_KEY).drop("offset")
 
 
-def recorded_holds(scored: DataFrame) -> DataFrame:
-    return first_per_key(holds_of(scored), schemas.HOLD_KEY).drop("offset")
+def recorded_holds(scored: DataFrame, skew: SkewParams = SkewParams()) -> DataFrame:
+    return first_per_key(holds_of(scored, skew), schemas.HOLD_KEY).drop("offset")
 
 
 def detect(
@@ -96,7 +101,7 @@ def detect(
         ),
         "scored",
     )
-    raised, held = alerts_of(scored), holds_of(scored)
+    raised, held = alerts_of(scored), holds_of(scored, skew)
     return Summary(
         processed,
         skipped,

@@ -65,7 +65,8 @@ def _descend(
         takes = (own >> bit) & 1 == 1
         for total, weight in zip(found, weights):
             sums = _before(np.where(low, weight, 0))
-            total[takes] += sums[end[takes]] - sums[start[takes]]
+            with np.errstate(invalid="ignore", over="ignore"):
+                total[takes] += sums[end[takes]] - sums[start[takes]]
         start = np.where(takes, lows[-1] + start - at_start, at_start)
         end = np.where(takes, lows[-1] + end - at_end, at_end)
         moved = np.concatenate([np.flatnonzero(low), np.flatnonzero(~low)])
@@ -74,20 +75,33 @@ def _descend(
     return found
 
 
+def range_sums(
+    weights: list[np.ndarray], start: np.ndarray, end: np.ndarray
+) -> list[np.ndarray]:
+    """For each query: sums over start <= j < end."""
+    found = []
+    for w in weights:
+        sums = _before(w)
+        with np.errstate(invalid="ignore", over="ignore"):
+            total = sums[end] - sums[start]
+        if w.dtype.kind == "f" and w.any():
+            # Differences of running sums leave dust where a range holds only zeros.
+            held = _before((w != 0).astype(np.int64))
+            total[held[end] == held[start]] = 0.0
+            total[np.isnan(total)] = np.inf
+        found.append(total)
+    return found
+
+
 def earlier_sums(
     key: np.ndarray, start: np.ndarray, weights: list[np.ndarray]
 ) -> list[np.ndarray]:
     """For each row i: sums of weights over rows start[i] <= j < i with key[j] < key[i]."""
     n = len(key)
     here = np.arange(n)
-    used = [w if w.any() else None for w in weights]
-    found = []
-    for w in weights:
-        sums = _before(w)
-        with np.errstate(invalid="ignore", over="ignore"):
-            found.append(sums[:-1] - sums[start])
+    found = range_sums(weights, start, here)
     drops = np.zeros(n, np.int64)
-    np.cumsum(key[1:] <= key[:-1], out=drops[1:]) if n > 1 else None
+    drops[1:] = np.cumsum(key[1:] <= key[:-1])
     mixed = np.flatnonzero(drops != drops[start])
     if len(mixed):
         # Only the rows some out-of-order range covers take part.
@@ -96,21 +110,21 @@ def earlier_sums(
         np.add.at(edges, mixed + 1, -1)
         covered = np.cumsum(edges[:-1]) > 0
         place = _before(covered.astype(np.int64))
-        live = [i for i, w in enumerate(used) if w is not None]
+        live = [i for i, w in enumerate(weights) if w[covered].any()]
+        floats = [i for i in live if weights[i].dtype.kind == "f"]
         sums = _descend(
             key[covered],
-            [weights[i][covered] for i in live],
+            [weights[i][covered] for i in live]
+            + [(weights[i][covered] != 0).astype(np.int64) for i in floats],
             place[start[mixed]],
             place[here[mixed]],
         )
+        for i, held in zip(floats, sums[len(live) :]):
+            total = sums[live.index(i)]
+            total[held == 0] = 0.0
+            total[np.isnan(total)] = np.inf
         for i, s in zip(live, sums):
             found[i][mixed] = s
-    # Differences of running sums leave float dust where a range holds nothing of the kind.
-    for i, w in enumerate(used):
-        if w is not None and weights[i].dtype.kind == "f":
-            held = _before((w != 0).astype(np.int64))
-            found[i][held[:-1] == held[start]] = 0.0
-            found[i][np.isnan(found[i])] = np.inf
     return found
 
 

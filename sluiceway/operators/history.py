@@ -12,6 +12,8 @@ offsets, each block is summed, and only block totals are carried forward.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from sluiceway.config import DetectorParams, SkewParams
@@ -278,6 +280,29 @@ def large_account_features(
     return df
 
 
+class Split(NamedTuple):
+    """Rows of ordinary accounts, rows of those too large for a task, and their names."""
+
+    small: DataFrame
+    large: DataFrame | None
+    names: DataFrame | None
+
+
+def split_by_size(rows: DataFrame, skew: SkewParams) -> Split:
+    hot = hot_accounts(rows, skew)
+    if not hot:
+        return Split(rows, None, None)
+    # At most `hot_keys` names, so always small enough to broadcast.
+    names = F.broadcast(
+        rows.sparkSession.createDataFrame([(a,) for a in hot], "account_id string")
+    )
+    return Split(
+        rows.join(names, "account_id", "left_anti"),
+        rows.join(names, "account_id", "left_semi"),
+        names,
+    )
+
+
 def features(
     transfers: DataFrame,
     params: DetectorParams = DetectorParams(),
@@ -285,15 +310,8 @@ def features(
     needed: frozenset[str] = ALL_FEATURES,
 ) -> DataFrame:
     """The frame rules are written against, one row per transfer."""
-    hot = hot_accounts(transfers, skew)
-    if not hot:
-        return small_account_features(transfers, params, needed)
-    names = transfers.sparkSession.createDataFrame([(a,) for a in hot], "account_id string")
-    marked = F.broadcast(names)
-    small = small_account_features(
-        transfers.join(marked, "account_id", "left_anti"), params, needed
-    )
-    large = large_account_features(
-        transfers.join(marked, "account_id", "left_semi"), params, skew, needed
-    )
-    return small.unionByName(large)
+    small, large, _ = split_by_size(transfers, skew)
+    out = small_account_features(small, params, needed)
+    if large is None:
+        return out
+    return out.unionByName(large_account_features(large, params, skew, needed))

@@ -23,7 +23,7 @@ def load_records(
     records: DataFrame,
     table: KeyedTable,
     rules: EventRules = EventRules(),
-    batch_id: int | None = None,
+    batch: str | None = None,
 ) -> Loaded:
     """Load a frame (offset, raw). Every record is written, skipped or a duplicate.
 
@@ -37,5 +37,5 @@ def load_records(
         "load",
     )
     good, bad = typed.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
-    written = table.insert(typed.where("ok"), batch_id=batch_id)
+    written = table.insert(typed.where("ok"), batch=batch)
     return Loaded(written, bad, good - written)

@@ -27,7 +27,21 @@ class Rule(NamedTuple):
 
 
 def _money(value: Column) -> Column:
-    return F.format_string("%.2f", value)
+    """Two decimals, rounded from the exact binary value, ties to even.
+
+    `value * 100` is split into two exact products, so a result that only looks like
+    half a cent after rounding can be told from one that is.
+    """
+    high = value.cast("float").cast("double")
+    near = value * 100.0
+    error = (high * 100.0 - near) + (value - high) * 100.0
+    tie = near - F.floor(near) == 0.5
+    cents = (
+        F.when(tie & (error > 0), F.ceil(near).cast("double"))
+        .when(tie & (error < 0), F.floor(near).cast("double"))
+        .otherwise(F.rint(near))
+    )
+    return F.format_string("%.2f", F.when(F.abs(value) < 1e13, cents / 100.0).otherwise(value))
 
 
 def rapid_drain(p: DetectorParams) -> tuple[Column, Column]:

@@ -12,7 +12,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 
 LOG = _struct(("offset", _L), ("raw", _S))
-COMMIT = _struct(("first_offset", _L), ("rows", _L))
+COMMIT = _struct(("first_offset", _L), ("rows", _L), ("source", _S))
 EVENTS = _struct(
     ("event_id", _S), ("user_id", _S), ("event_type", _S), ("timestamp", _S), ("value", _D)
 )
@@ -20,13 +20,19 @@ ALERTS = _struct(
     ("txn_id", _S), ("account_id", _S), ("rule", _S), ("reason", _S), ("timestamp", _S)
 )
 HOLDS = _struct(("txn_id", _S), ("account_id", _S), ("timestamp", _S), ("reason", _S))
+FLAGS = _struct(("account_id", _S))
 REJECTS = _struct(("raw", _S), ("error", _S), ("details", T.ArrayType(_S)))
 
 EVENT_KEY = ("event_id",)
 ALERT_KEY = ("txn_id", "rule")
 HOLD_KEY = ("txn_id",)
+FLAG_KEY = ("account_id",)
 
 
 def with_batch(schema: T.StructType) -> T.StructType:
-    """The schema as stored: partitioned by the batch that wrote the row."""
+    """As stored in the log: partitioned by the number of the batch."""
     return T.StructType([*schema.fields, T.StructField("batch_id", _L)])
+
+
+def with_batch_name(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch", _S)])

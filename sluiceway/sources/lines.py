@@ -6,21 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluiceway.functions.jsontext import strip
 
-# Where a record stood in its input: file, block of the file, place in the block.
-ORIGIN = ("_file", "_block", "_row")
-
-
 def _records(lines: DataFrame) -> DataFrame:
     return lines.select(
         strip(F.col("value")).alias("raw"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.col("_metadata.file_path").alias("src_file"),
+        F.col("_metadata.file_block_start").alias("src_block"),
     ).where(F.col("raw") != "")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per non-blank line: `raw` and its origin."""
+    """One row per non-blank line: `raw` and where it stood (file, block of the file).
+
+    Rows of a block are in line order, in one task.
+    """
     return _records(spark.read.text(path))
 
 

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sluiceway import schemas
-from sluiceway.sources.staging import read_or_empty, stage
+from sluiceway.sources.staging import clear, read_or_empty, stage
 
 
 class Append(NamedTuple):
@@ -26,9 +26,8 @@ def in_order(df: DataFrame, *order: str) -> DataFrame:
     return (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_file", F.lit(""))
-        .withColumn("_block", F.spark_partition_id().cast("bigint"))
-        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("src_file", F.lit(""))
+        .withColumn("src_block", F.spark_partition_id().cast("bigint"))
     )
 
 
@@ -46,42 +45,47 @@ class RecordLog:
             self.spark, f"{self.path}/commits", schemas.with_batch(schemas.COMMIT)
         )
 
-    def append(self, df: DataFrame, batch_id: int | None = None) -> Append:
+    def append(self, df: DataFrame, source: str | None = None) -> Append:
         """Append `raw` of a frame with origin columns, in origin order.
 
         Offsets are numbered per block of the input and shifted by the rows before
         it, so nothing is sorted globally. The accepted rows are staged first: their
-        numbering is then fixed, and the input is parsed once.
+        numbering is then fixed, and the input is parsed once. A `source` that is
+        already in the log is not appended again.
         """
-        if batch_id is None:
-            batch_id = (self.commits().agg(F.max("batch_id")).first()[0] or 0) + 1
-        known = self.commits().where(F.col("batch_id") == batch_id).first()
-        if known is not None:
-            return Append(known.first_offset, known.rows)
+        commits = self.commits()
+        if source is not None:
+            known = commits.where(F.col("source") == source).first()
+            if known is not None:
+                return Append(known.first_offset, known.rows)
+        last = commits.agg(F.max("batch_id")).first()[0]
+        batch_id = 0 if last is None else last + 1
         base = self.size()
         staged = stage(
-            df.select("raw", "_file", "_block", F.monotonically_increasing_id().alias("_seq")),
+            df.select("raw", "src_file", "src_block", F.monotonically_increasing_id().alias("_seq")),
             "append",
         )
         # One row per input block: small however long the log is.
-        blocks = staged.groupBy("_file", "_block").agg(
+        blocks = staged.groupBy("src_file", "src_block").agg(
             F.min("_seq").alias("_first"), F.count("*").alias("_rows")
         )
-        before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+        before = W.orderBy("src_file", "src_block").rowsBetween(W.unboundedPreceding, -1)
         shifts = blocks.select(
-            "_file",
-            "_block",
+            "src_file",
+            "src_block",
             (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + base).alias(
                 "_shift"
             ),
         )
         target = f"{self.records_path}/batch_id={batch_id}"
-        staged.join(shifts, ["_file", "_block"]).select(
+        staged.join(shifts, ["src_file", "src_block"]).select(
             (F.col("_seq") + F.col("_shift")).alias("offset"), "raw"
         ).write.mode("overwrite").parquet(target)
         rows = self.spark.read.schema(schemas.LOG).parquet(target).count()
         self.spark.range(1).select(
-            F.lit(base).cast("bigint").alias("first_offset"), F.lit(rows).cast("bigint").alias("rows")
+            F.lit(base).cast("bigint").alias("first_offset"),
+            F.lit(rows).cast("bigint").alias("rows"),
+            F.lit(source).cast("string").alias("source"),
         ).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/batch_id={batch_id}")
         return Append(base, rows)
 
@@ -108,3 +112,8 @@ class RecordLog:
 
     def size(self) -> int:
         return self.size_frame().first()[0]
+
+    def clear(self) -> None:
+        """Forget every record; the next one gets offset 0."""
+        clear(self.spark, f"{self.path}/commits", schemas.with_batch(schemas.COMMIT))
+        clear(self.spark, self.records_path, schemas.with_batch(schemas.LOG))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from sluiceway import schemas
-from sluiceway.sources.staging import read_or_empty
+from sluiceway.sources.staging import clear, read_or_empty
 
 
 def first_per_key(df: DataFrame, keys: tuple[str, ...], order: str = "offset") -> DataFrame:
@@ -20,6 +22,12 @@ def first_per_key(df: DataFrame, keys: tuple[str, ...], order: str = "offset") -
 
 
 class KeyedTable:
+    """Rows with unique keys, added batch by batch under `batch=<name>`.
+
+    Running a named batch again replaces what it wrote, so its outcome does not depend
+    on how often or how far it ran before. One writer inserts at a time.
+    """
+
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...]):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -30,27 +38,30 @@ class KeyedTable:
         return self._stored().select(*self.schema.names)
 
     def _stored(self) -> DataFrame:
-        return read_or_empty(self.spark, self.path, schemas.with_batch(self.schema))
+        return read_or_empty(self.spark, self.path, schemas.with_batch_name(self.schema))
 
-    def next_batch(self) -> int:
-        return (self._stored().agg(F.max("batch_id")).first()[0] or 0) + 1
+    def before(self, batch: str) -> DataFrame:
+        """The rows other batches wrote."""
+        return self._stored().where(F.col("batch") != batch).select(*self.schema.names)
 
-    def insert(self, df: DataFrame, order: str = "offset", batch_id: int | None = None) -> int:
-        """Add the rows whose key is new, return how many. Re-running a batch changes nothing."""
-        if batch_id is None:
-            batch_id = self.next_batch()
+    def insert(self, df: DataFrame, order: str = "offset", batch: str | None = None) -> int:
+        """Add the rows whose key is new; return how many there were."""
+        batch = batch or uuid.uuid4().hex
         keys = list(self.keys)
         new = first_per_key(df, self.keys, order)
-        earlier = self._stored().where(F.col("batch_id") < batch_id).select(*keys)
+        earlier = self.before(batch).select(*keys)
         if not earlier.isEmpty():
             # The batch is the small side: find the few of its keys already stored,
             # reading key columns only, then leave those out.
             known = earlier.join(df.select(*keys).distinct(), keys, "left_semi")
             new = new.join(known, keys, "left_anti")
-        target = f"{self.path}/batch_id={batch_id}"
+        target = f"{self.path}/batch={batch}"
         new.select(*self.schema.names).write.mode("overwrite").parquet(target)
         return self.spark.read.schema(self.schema).parquet(target).count()
 
+    def clear(self) -> None:
+        clear(self.spark, self.path, schemas.with_batch_name(self.schema))
+
 
 def events_table(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, schemas.EVENTS, schemas.EVENT_KEY)
@@ -62,3 +73,7 @@ def alerts_table(spark: SparkSession, path: str) -> KeyedTable:
 
 def holds_table(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, schemas.HOLDS, schemas.HOLD_KEY)
+
+
+def flags_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, schemas.FLAGS, schemas.FLAG_KEY)

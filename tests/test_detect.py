@@ -219,14 +219,14 @@ def test_against_the_model(spark, seed, skew):
     alerts, holds = model.run(rows)
     found = fired_rules(scored).orderBy("offset", "rule_order").collect()
     assert [(r.offset, r.txn_id, r.rule, r.reason) for r in found] == alerts
-    held = DT.holds_of(scored).orderBy("offset").collect()
+    held = DT.holds_of(scored, skew).orderBy("offset").collect()
     assert [(r.offset, r.txn_id, r.reason) for r in held] == holds
     first = {}
     for _, txn, rule, reason in alerts:
         first.setdefault((txn, rule), reason)
     kept = DT.recorded_alerts(scored).collect()
     assert {(r.txn_id, r.rule): r.reason for r in kept} == first and len(kept) == len(first)
-    assert DT.recorded_holds(scored).count() == len({txn for _, txn, _ in holds})
+    assert DT.recorded_holds(scored, skew).count() == len({txn for _, txn, _ in holds})
 
 
 def test_one_shuffle_for_small_accounts(spark):
@@ -249,3 +249,14 @@ def test_huge_amounts_do_not_disturb_others(spark):
     hits = [(t, r) for t, rule, r in fired(spark, rows) if rule == "rapid_drain"]
     assert hits[0] == ("a", "1000000000000000.00 moved in 10 min")
     assert [t for t, _ in hits] == ["a", "d"]
+
+
+def test_money_text_rounds_like_the_exact_value(spark):
+    from sluiceway.operators.rules import _money
+
+    rng = random.Random(5)
+    values = [0.125, 0.375, 2.675, 1.005, 0.005, 5000.015, 1e12 + 0.125, 20.1, 316.75, 1.115]
+    values += [rng.randrange(10**6) / 1000 for _ in range(3000)]
+    values += [rng.random() * 10 ** rng.randrange(8) for _ in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", _money(F.col("v")).alias("s"))
+    assert [(r.v, r.s) for r in df.collect() if r.s != f"{r.v:.2f}"] == []

@@ -163,13 +163,13 @@ def test_log_offsets_reads_and_size(spark, tmp_path):
 def test_replayed_append_keeps_its_offsets(spark, tmp_path):
     log = RecordLog(spark, str(tmp_path / "log"))
     rows = read_lines(spark, events_file(tmp_path, ['{"a": 1}', '{"a": 2}']))
-    assert log.append(rows, batch_id=7) == (0, 2)
-    assert log.append(rows, batch_id=7) == (0, 2)
+    assert log.append(rows, "job-7") == (0, 2)
+    assert log.append(rows, "job-7") == (0, 2)
     assert log.size() == 2
     # A batch that died between its records and its commit leaves no trace.
-    log.read().select("offset", "raw").write.parquet(f"{log.records_path}/batch_id=8")
+    log.read().select("offset", "raw").write.parquet(f"{log.records_path}/batch_id=1")
     assert log.read().count() == 2
-    assert log.append(rows, batch_id=8) == (2, 2)
+    assert log.append(rows, "job-8") == (2, 2)
     assert sorted(r.offset for r in log.read().collect()) == [0, 1, 2, 3]
 
 
