@@ -30,7 +30,13 @@ from sluiceway.operators.validate import (  # noqa: E402
 from sluiceway.plans import inputs  # noqa: E402
 from sluiceway.sources.log import RecordLog, in_order  # noqa: E402
 from sluiceway.sources.staging import new_folder, stage  # noqa: E402
-from sluiceway.sources.tables import alerts_table, events_table, holds_table  # noqa: E402
+from sluiceway.sources.tables import (  # noqa: E402
+    alerts_table,
+    events_table,
+    flags_table,
+    holds_table,
+)
+from sluiceway.streaming import runs as S  # noqa: E402
 
 SMOKE = "/root/testdata/sf0.001"
 PARAMS = DetectorParams(
@@ -237,12 +243,15 @@ def _holds_out_of_order(spark: SparkSession, folder: str) -> DataFrame:
     return DT.recorded_holds(scored)
 
 
-def _detected(spark: SparkSession, folder: str):
-    """The detector over a log that also holds malformed transfers."""
-    df = inputs.events(spark, folder)
-    records = inputs.transfer_records(
+def _some_malformed(df: DataFrame) -> DataFrame:
+    return inputs.transfer_records(
         df, currency=F.when(F.col("event_type") == "error", "XXX").otherwise("SGD")
     )
+
+
+def _detected(spark: SparkSession, folder: str):
+    """The detector over a log that also holds malformed transfers."""
+    records = _some_malformed(inputs.events(spark, folder))
     alerts = alerts_table(spark, new_folder(spark, "alerts"))
     holds = holds_table(spark, new_folder(spark, "holds"))
     return DT.detect(records, alerts, holds, PARAMS), alerts.read(), holds.read()
@@ -271,6 +280,65 @@ def _detect_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# --- streams --------------------------------------------------------------------
+
+def _in_two_waves(spark: SparkSession, folder: str, records: Callable, run: Callable) -> None:
+    """Land the first half of the month and run the stream; then the rest, and run on."""
+    landing = new_folder(spark, "landing")
+    df = inputs.events(spark, folder)
+    later = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    for wave in (~later, later):
+        in_order(records(df.where(wave)), "offset").select("raw").write.mode("append").text(landing)
+        run(landing)
+
+
+def _streamed_log(spark: SparkSession, folder: str) -> RecordLog:
+    log = RecordLog(spark, new_folder(spark, "log"))
+    paths = [new_folder(spark, n) for n in ("rejects", "counts", "checkpoint")]
+    _in_two_waves(
+        spark,
+        folder,
+        inputs.event_records,
+        lambda landing: S.ingest(spark, landing, log, *paths).awaitTermination(),
+    )
+    return log
+
+
+def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    return _log_rows(_streamed_log(spark, folder).read())
+
+
+def _stream_load(spark: SparkSession, folder: str) -> DataFrame:
+    log = _streamed_log(spark, folder)
+    table = events_table(spark, new_folder(spark, "events"))
+    paths = [new_folder(spark, n) for n in ("counts", "checkpoint")]
+    S.load(spark, log, table, *paths, batches_per_load=1).awaitTermination()
+    return table.read()
+
+
+def _streamed_detection(spark: SparkSession, folder: str) -> list:
+    tables = [
+        make(spark, new_folder(spark, name))
+        for make, name in ((alerts_table, "alerts"), (holds_table, "holds"), (flags_table, "flags"))
+    ]
+    checkpoint = new_folder(spark, "checkpoint")
+    _in_two_waves(
+        spark,
+        folder,
+        _some_malformed,
+        lambda landing: S.detect(spark, landing, *tables, checkpoint, PARAMS).awaitTermination(),
+    )
+    return tables
+
+
+def _stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed_detection(spark, folder)[0].read()
+
+
+def _stream_holds(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed_detection(spark, folder)[1].read()
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The report over events that went the whole way from raw records."""
     return _analytics_report(spark, SMOKE)
@@ -309,6 +377,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_count": _alert_count,
         "hold_count": _hold_count,
         "detect_summary": _detect_summary,
+        "stream_ingest": _stream_ingest,
+        "stream_load": _stream_load,
+        "stream_detect_alerts": _stream_alerts,
+        "stream_detect_holds": _stream_holds,
     }
 
 
@@ -472,4 +544,9 @@ SELECT (SELECT COUNT(*) FROM t) AS processed,
        (SELECT COUNT(*) FROM fired) AS alerts, (SELECT COUNT(*) FROM held) AS holds,
        (SELECT COUNT(*) FROM fired) AS alerts_recorded,
        (SELECT COUNT(*) FROM held) AS holds_recorded""",
+        "stream_ingest": offsets,
+        "stream_load": loaded,
+        "stream_detect_alerts": f"""
+WITH {_WELL_FORMED} SELECT txn_id, account_id, rule, reason, "timestamp" FROM fired""",
+        "stream_detect_holds": f"WITH {_WELL_FORMED} SELECT * FROM held",
     }
