@@ -22,23 +22,11 @@ _GROUPS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 18, 19)
 _FIELDS = "|".join(f"${g}" for g in _GROUPS)
 
 
-def with_instant(df: DataFrame, text: str) -> DataFrame:
-    """Add `micros`, `hour`, `minute` read from a text column; all NULL if not ISO-8601.
-
-    `micros` counts from the epoch, naive text taken as UTC; `hour` and `minute` are
-    the wall clock as written, whatever the offset. Each step is a column of its own
-    so that the text is matched once.
-    """
-    kept = df.columns
-    utc = F.replace(F.col(text), F.lit("Z"), F.lit("+00:00"))
-    usual = df.withColumn("_usual", F.col(text).rlike(_USUAL))
-    # Text that is not ISO-8601 comes back unchanged, without the 16 bars.
-    split = usual.withColumn(
-        "_p", F.when(~F.col("_usual"), F.split(F.regexp_replace(utc, _PATTERN, _FIELDS), r"\|"))
-    )
+def _from_parts(p: Column) -> Column:
+    """STRUCT<micros, hour, minute> from the 17 matched groups; micros NULL if no such time."""
 
     def part(i: int) -> Column:
-        return F.get("_p", F.lit(i))
+        return F.get(p, F.lit(i))
 
     def number(i: int) -> Column:
         # A failing cast is slow, so empty text never reaches it.
@@ -65,27 +53,41 @@ def with_instant(df: DataFrame, text: str) -> DataFrame:
     week_day = F.date_add(week_one, (week - 1) * 7 + weekday - 1).cast("string")
     date = F.when(part(6) == "", calendar).when(week_ok, week_day)
     shift = (number(14) * 3600 + number(15) * 60 + number(16)).cast("bigint")
-    matched = (F.size("_p") == len(_GROUPS)) & ~F.contains(F.col(text), F.lit("|"))
-    other = F.when(
-        matched & (shift < 86400) & ~F.startswith(F.col(text), F.lit("0000")),
-        F.unix_micros(F.concat(date, F.lit(" "), clock).try_cast("timestamp"))
-        - F.when(part(13) == "-", -shift).otherwise(shift) * 1_000_000,
+    micros = F.unix_micros(F.concat(date, F.lit(" "), clock).try_cast("timestamp")) - (
+        F.when(part(13) == "-", -shift).otherwise(shift) * 1_000_000
+    )
+    return F.struct(
+        F.when((F.size(p) == len(_GROUPS)) & (shift < 86400), micros).alias("micros"),
+        number(9).alias("hour"),
+        number(10).alias("minute"),
     )
 
-    def wall(start: int, i: int) -> Column:
-        written = F.when(
-            F.col("_usual"), F.substring(F.col(text), start, 2).try_cast("int")
-        ).otherwise(number(i))
-        return F.when(F.col("micros").isNotNull(), written)
 
-    return (
-        split.withColumn(
-            "micros",
-            F.when(F.col("_usual"), F.unix_micros(F.col(text).try_cast("timestamp"))).otherwise(
-                other
-            ),
-        )
-        .withColumn("hour", wall(12, 9))
-        .withColumn("minute", wall(15, 10))
-        .select(*kept, "micros", "hour", "minute")
+def with_instant(df: DataFrame, text: str) -> DataFrame:
+    """Add `micros`, `hour`, `minute` read from a text column; all NULL if not ISO-8601.
+
+    `micros` counts from the epoch, naive text taken as UTC; `hour` and `minute` are
+    the wall clock as written, whatever the offset. The unusual forms are read inside
+    a lambda: it is evaluated for such rows only and keeps the code Spark generates
+    for all others short.
+    """
+    kept = df.columns
+    stamp = F.col(text)
+    utc = F.replace(stamp, F.lit("Z"), F.lit("+00:00"))
+    # Text that is not ISO-8601 comes back unchanged, without the 16 bars.
+    groups = F.split(F.regexp_replace(utc, _PATTERN, _FIELDS), r"\|")
+    readable = ~stamp.startswith("0000") & ~stamp.contains("|")
+    usual = F.struct(
+        F.unix_micros(stamp.try_cast("timestamp")).alias("micros"),
+        F.substring(stamp, 12, 2).try_cast("int").alias("hour"),
+        F.substring(stamp, 15, 2).try_cast("int").alias("minute"),
+    )
+    at = F.when(stamp.rlike(_USUAL), usual).when(
+        readable, F.get(F.transform(F.array(groups), _from_parts), F.lit(0))
+    )
+    found = F.col("_at")["micros"]
+    return df.withColumn("_at", at).select(
+        *kept,
+        found.alias("micros"),
+        *(F.when(found.isNotNull(), F.col("_at")[n]).alias(n) for n in ("hour", "minute")),
     )

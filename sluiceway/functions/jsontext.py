@@ -45,26 +45,27 @@ def is_object_text(raw: Column) -> Column:
 
 
 class Field(NamedTuple):
-    """The JSON type (NULL if absent) and the text of one top-level field."""
+    """One top-level field: its JSON type (NULL if absent), its text, the value itself."""
 
     kind: Column
     text: Column
+    value: Column
 
 
 def with_fields(df: DataFrame, names: tuple[str, ...], doc: str = "doc") -> DataFrame:
-    """Add the type and text columns that `field` names."""
-    return df.select(
+    """Add the columns `field` names; each field is looked up once."""
+    found = df.select(
+        "*", *(F.try_variant_get(doc, f"$.{n}", "variant").alias(f"_{n}_value") for n in names)
+    )
+    return found.select(
         "*",
-        *(
-            F.schema_of_variant(F.try_variant_get(doc, f"$.{n}", "variant")).alias(f"_{n}_kind")
-            for n in names
-        ),
-        *(F.try_variant_get(doc, f"$.{n}", "string").alias(f"_{n}_text") for n in names),
+        *(F.schema_of_variant(f"_{n}_value").alias(f"_{n}_kind") for n in names),
+        *(F.col(f"_{n}_value").try_cast("string").alias(f"_{n}_text") for n in names),
     )
 
 
 def field(name: str) -> Field:
-    return Field(F.col(f"_{name}_kind"), F.col(f"_{name}_text"))
+    return Field(*(F.col(f"_{name}_{part}") for part in Field._fields))
 
 
 def is_present(f: Field) -> Column:

@@ -81,7 +81,7 @@ def _result(fields: DataFrame, kept: list[str], *columns: Column) -> DataFrame:
 
 def _double(name: str) -> Column:
     f = J.field(name)
-    return F.when(J.is_number(f), F.try_variant_get("doc", f"$.{name}", "double"))
+    return F.when(J.is_number(f), f.value.try_cast("double"))
 
 
 def _quoted_list(values: tuple[str, ...]) -> str:

@@ -17,7 +17,14 @@ def iso_text(ts: Column) -> Column:
 
 
 def _records(df: DataFrame, **fields: Column) -> DataFrame:
-    """(offset, raw): one JSON object per row, null fields left out."""
+    """(offset, raw): one JSON object per row, null fields left out.
+
+    A table that comes in fewer pieces than there are cores is dealt out first, since
+    all the work on the JSON follows its pieces.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, "event_id")
     return df.select(
         F.col("event_id").alias("offset"),
         F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))).alias("raw"),

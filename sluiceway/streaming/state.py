@@ -70,13 +70,15 @@ class AccountHistory(StatefulProcessor):
         new = new.sort_values(["src_file", "src_block", "src_row"], ignore_index=True)
         parts = D.split_amounts(new["amount"].to_numpy())
         new["account_id"] = key[0]
+        # A new account has nothing stored, so nothing is looked up.
+        self.known = self.totals.exists()
         new["hist_count"], new["hist_mean"] = self._history(parts)
         new["payee_first"] = self._first_payments(new["payee_id"])
         new["win_count"], new["win_total"] = self._window(new["ts"].to_numpy(), parts, new)
         yield new[FEATURES.names]
 
     def _history(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        past = self.totals.get() if self.totals.exists() else (0, 0, 0, 0.0, 0.0)
+        past = self.totals.get() if self.known else (0, 0, 0, 0.0, 0.0)
         ends = [np.cumsum(p) + s for p, s in zip(parts, past)]
         before = [e - p for e, p in zip(ends, parts)]
         self.totals.update(tuple(e[-1].item() for e in ends))
@@ -89,7 +91,7 @@ class AccountHistory(StatefulProcessor):
         first = ~payees.duplicated().to_numpy()
         for i in np.flatnonzero(first):
             payee = (payees.iat[i],)
-            if self.payees.containsKey(payee):
+            if self.known and self.payees.containsKey(payee):
                 first[i] = False
             else:
                 self.payees.updateValue(payee, (True,))
@@ -109,7 +111,7 @@ class AccountHistory(StatefulProcessor):
         bucket = ts // self.width
         amount = new["amount"].to_numpy()
         stored = {}
-        for b in np.union1d(bucket, bucket - 1).tolist():
+        for b in np.union1d(bucket, bucket - 1).tolist() if self.known else ():
             if self.recent.containsKey((b,)):
                 old_ts, old_amount = self.recent.getValue((b,))
                 stored[b] = (np.frombuffer(old_ts, np.int64), np.frombuffer(old_amount, float))
