@@ -27,7 +27,9 @@ from sluiceway.operators.validate import (  # noqa: E402
     validate_events,
     validate_transfers,
 )
+from sluiceway.functions.jsontext import canonical, with_document  # noqa: E402
 from sluiceway.plans import inputs  # noqa: E402
+from sluiceway.plans.runs import run_events  # noqa: E402
 from sluiceway.sources.log import RecordLog, in_order  # noqa: E402
 from sluiceway.sources.staging import new_folder, stage  # noqa: E402
 from sluiceway.sources.tables import (  # noqa: E402
@@ -120,6 +122,25 @@ def _log_size(spark: SparkSession, folder: str) -> DataFrame:
     return _log(spark, folder).size_frame()
 
 
+def _canonical_records(spark: SparkSession, folder: str) -> DataFrame:
+    records = inputs.event_records(inputs.events(spark, folder))
+    return with_document(records).select(
+        F.col("offset").alias("event_id"), canonical(F.col("doc")).alias("record")
+    )
+
+
+def _event_run(spark: SparkSession, folder: str) -> DataFrame:
+    """From a text file of records to counted tables."""
+    source = new_folder(spark, "source")
+    inputs.event_records(inputs.events(spark, folder)).select("raw").write.text(source)
+    paths = [new_folder(spark, n) for n in ("log", "events")]
+    run = run_events(spark, source, *paths)
+    return spark.createDataFrame(
+        [(run.accepted, run.rejected, *run.loaded)],
+        "accepted bigint, rejected bigint, written bigint, skipped bigint, duplicates bigint",
+    )
+
+
 def _twice(spark: SparkSession, folder: str):
     """Every event twice, the second time with another value, all of it unchecked."""
     df = inputs.events(spark, folder)
@@ -238,6 +259,17 @@ def _score_transfers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _transfer_features(spark: SparkSession, folder: str) -> DataFrame:
+    return features(inputs.transfers(inputs.events(spark, folder)), PARAMS).select(
+        "txn_id",
+        F.col("win_count").alias("cnt"),
+        F.round("win_total", 2).alias("total"),
+        F.col("hist_count").alias("n"),
+        F.round("hist_mean", 6).alias("mean"),
+        "payee_first",
+    )
+
+
 def _holds_out_of_order(spark: SparkSession, folder: str) -> DataFrame:
     scored = _scored(spark, folder, _swapped())
     return DT.recorded_holds(scored)
@@ -292,7 +324,8 @@ def _in_two_waves(spark: SparkSession, folder: str, records: Callable, run: Call
         run(landing)
 
 
-def _streamed_log(spark: SparkSession, folder: str) -> RecordLog:
+def _streamed(spark: SparkSession, folder: str) -> tuple[RecordLog, str]:
+    """The log an ingest stream fills, and where it keeps its counts."""
     log = RecordLog(spark, new_folder(spark, "log"))
     paths = [new_folder(spark, n) for n in ("rejects", "counts", "checkpoint")]
     _in_two_waves(
@@ -301,15 +334,22 @@ def _streamed_log(spark: SparkSession, folder: str) -> RecordLog:
         inputs.event_records,
         lambda landing: S.ingest(spark, landing, log, *paths).awaitTermination(),
     )
-    return log
+    return log, paths[1]
 
 
 def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    return _log_rows(_streamed_log(spark, folder).read())
+    return _log_rows(_streamed(spark, folder)[0].read())
+
+
+def _stream_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the ingest stream counted, over all its micro-batches."""
+    return spark.read.parquet(_streamed(spark, folder)[1]).agg(
+        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")
+    )
 
 
 def _stream_load(spark: SparkSession, folder: str) -> DataFrame:
-    log = _streamed_log(spark, folder)
+    log, _ = _streamed(spark, folder)
     table = events_table(spark, new_folder(spark, "events"))
     paths = [new_folder(spark, n) for n in ("counts", "checkpoint")]
     S.load(spark, log, table, *paths, batches_per_load=1).awaitTermination()
@@ -350,11 +390,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_events_dirty": _validate_events_dirty,
         "rejected_events": _rejected_events,
         "ingest_summary": _ingest_summary,
+        "canonical_records": _canonical_records,
         "log_offsets": _log_offsets,
         "log_read_from": _log_read_from,
         "log_size": _log_size,
         "load_idempotent": _load_idempotent,
         "load_summary": _load_summary,
+        "event_run": _event_run,
         "event_count": _event_count,
         "count_by_event_type": _count_by_event_type,
         "top_users": _top_users,
@@ -370,6 +412,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             R.amount_spike, "history", lambda: F.col("hist_count").alias("n")
         ),
         "odd_hour": _one_rule(R.odd_hour, None),
+        "transfer_features": _transfer_features,
         "score_transfers": _score_transfers,
         "holds_out_of_order": _holds_out_of_order,
         "alerts": _alerts,
@@ -378,6 +421,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hold_count": _hold_count,
         "detect_summary": _detect_summary,
         "stream_ingest": _stream_ingest,
+        "stream_counts": _stream_counts,
         "stream_load": _stream_load,
         "stream_detect_alerts": _stream_alerts,
         "stream_detect_holds": _stream_holds,
@@ -486,6 +530,11 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, 'validation failed' AS error, deta
 FROM (SELECT event_id, {_DIRTY_ERRORS} AS details FROM events) WHERE details <> ''""",
         "ingest_summary": f"""
 SELECT COUNT(*) FILTER (WHERE {valid}) AS accepted, COUNT(*) FILTER (WHERE NOT {valid}) AS rejected
+FROM events""",
+        "canonical_records": f"""
+SELECT event_id, '{{"event_id":"' || event_id || '","event_type":"' || event_type ||
+       '","timestamp":"' || {_ISO_SQL} || '","user_id":"' || user_id || '","value":' ||
+       regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || '}}' AS record
 FROM events""",
         "log_offsets": offsets,
         "log_read_from": f"""SELECT * FROM ({offsets}) WHERE "offset" >= {REPLAY_FROM}""",
@@ -496,6 +545,10 @@ WITH n AS (SELECT COUNT(*) FILTER (WHERE {valid}) AS good,
                   COUNT(*) FILTER (WHERE NOT {valid}) AS bad FROM events)
 SELECT 'first' AS run, good AS written, 2 * bad AS skipped, good AS duplicates FROM n
 UNION ALL SELECT 'again', 0, 2 * bad, 2 * good FROM n""",
+        "event_run": f"""
+SELECT COUNT(*) FILTER (WHERE {valid}) AS accepted, COUNT(*) FILTER (WHERE NOT {valid}) AS rejected,
+       COUNT(*) FILTER (WHERE {valid}) AS written, 0 AS skipped, 0 AS duplicates
+FROM events""",
         "event_count": "SELECT COUNT(*) AS count FROM events",
         "count_by_event_type": """
 SELECT event_type, COUNT(*) AS count FROM events GROUP BY event_type
@@ -528,6 +581,9 @@ FROM f JOIN fired r ON r.off = f.off AND r.rule = 'new_payee_high_value'""",
 WITH {_PLAIN} SELECT f.txn_id, f.n, r.reason
 FROM f JOIN fired r ON r.off = f.off AND r.rule = 'amount_spike'""",
         "odd_hour": f"WITH {_PLAIN} SELECT txn_id, reason FROM fired WHERE rule = 'odd_hour'",
+        "transfer_features": f"""
+WITH {_PLAIN} SELECT txn_id, cnt, ROUND(total, 2) AS total, n, ROUND(mean, 6) AS mean, payee_first
+FROM f""",
         "score_transfers": f"""
 WITH {_PLAIN} SELECT txn_id, rule, reason,
   ROW_NUMBER() OVER (PARTITION BY off ORDER BY rule_order) - 1 AS rule_order FROM fired""",
@@ -545,6 +601,9 @@ SELECT (SELECT COUNT(*) FROM t) AS processed,
        (SELECT COUNT(*) FROM fired) AS alerts_recorded,
        (SELECT COUNT(*) FROM held) AS holds_recorded""",
         "stream_ingest": offsets,
+        "stream_counts": f"""
+SELECT COUNT(*) FILTER (WHERE {valid}) AS accepted, COUNT(*) FILTER (WHERE NOT {valid}) AS rejected
+FROM events""",
         "stream_load": loaded,
         "stream_detect_alerts": f"""
 WITH {_WELL_FORMED} SELECT txn_id, account_id, rule, reason, "timestamp" FROM fired""",

@@ -116,3 +116,8 @@ def key_text(f: Field) -> Column:
     return F.when(
         is_boolean(f), F.when(f.text == "true", F.lit("1")).otherwise(F.lit("0"))
     ).otherwise(f.text)
+
+
+def canonical(doc: Column) -> Column:
+    """The document as text with sorted keys, without insignificant space."""
+    return F.to_json(doc)

@@ -101,7 +101,7 @@ def detect(
         ),
         "scored",
     )
-    raised, held = alerts_of(scored), holds_of(scored, skew)
+    raised, held = alerts_of(scored), stage(holds_of(scored, skew), "holds")
     return Summary(
         processed,
         skipped,
