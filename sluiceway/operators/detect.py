@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from sluiceway import schemas
 from sluiceway.config import HOLD_REASON, DetectorParams, SkewParams, TransferRules
 from sluiceway.operators.history import features, split_by_size
-from sluiceway.operators.rules import fired_rules, score
+from sluiceway.operators.rules import RULES, Rule, fired_rules, score
 from sluiceway.operators.validate import is_valid, validate_transfers
 from sluiceway.sources.staging import stage
 from sluiceway.sources.tables import KeyedTable, first_per_key
@@ -38,9 +39,10 @@ def score_transfers(
     transfers: DataFrame,
     params: DetectorParams = DetectorParams(),
     skew: SkewParams = SkewParams(),
+    scoring: Sequence[Rule] = RULES,
 ) -> DataFrame:
     """Valid transfers with the list of rules each fired."""
-    return score(features(transfers, params, skew), params)
+    return score(features(transfers, params, skew), params, scoring)
 
 
 def alerts_of(scored: DataFrame) -> DataFrame:
@@ -48,18 +50,31 @@ def alerts_of(scored: DataFrame) -> DataFrame:
     return fired_rules(scored).select("offset", *schemas.ALERTS.names)
 
 
-def holds_of(scored: DataFrame, skew: SkewParams = SkewParams()) -> DataFrame:
+def holds_of(
+    scored: DataFrame,
+    skew: SkewParams = SkewParams(),
+    flagged_before: DataFrame | None = None,
+) -> DataFrame:
     """Transfers of an account that had fired a rule on an earlier transfer.
 
     The first firing per account is an aggregate, combined before the shuffle. The
     transfers after it meet it by account; those of accounts too large for one task
     stay where they are and get it by broadcast, one row for each such account.
+    `flagged_before` names accounts that fired before any transfer of this frame.
     """
     flagged = (
         scored.where(F.size("fired") > 0)
         .groupBy("account_id")
         .agg(F.min("offset").alias("_flagged_at"))
     )
+    held = F.col("offset") > F.col("_flagged_at")
+    if flagged_before is not None:
+        here = scored.select("account_id").distinct()
+        earlier = flagged_before.select("account_id", F.lit(True).alias("_before"))
+        flagged = flagged.join(
+            earlier.join(here, "account_id", "left_semi"), "account_id", "full"
+        )
+        held = held | F.col("_before")
     small, large, names = split_by_size(
         scored.select("offset", "txn_id", "account_id", "timestamp"), skew
     )
@@ -67,7 +82,7 @@ def holds_of(scored: DataFrame, skew: SkewParams = SkewParams()) -> DataFrame:
     if large is not None:
         known = F.broadcast(flagged.join(names, "account_id", "left_semi"))
         joined = joined.unionByName(large.join(known, "account_id"))
-    return joined.where(F.col("offset") > F.col("_flagged_at")).select(
+    return joined.where(held).select(
         "offset", "txn_id", "account_id", "timestamp", F.lit(HOLD_REASON).alias("reason")
     )
 
@@ -87,6 +102,7 @@ def detect(
     params: DetectorParams = DetectorParams(),
     rules: TransferRules = TransferRules(),
     skew: SkewParams = SkewParams(),
+    scoring: Sequence[Rule] = RULES,
 ) -> Summary:
     """Run the detector over log records (offset, raw) and record what it finds.
 
@@ -96,7 +112,7 @@ def detect(
     typed = typed_transfers(records, rules)
     processed, skipped = typed.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
     scored = stage(
-        score_transfers(typed.where("ok").drop("ok"), params, skew).select(
+        score_transfers(typed.where("ok").drop("ok"), params, skew, scoring).select(
             "offset", "txn_id", "account_id", "timestamp", "fired"
         ),
         "scored",

@@ -8,16 +8,17 @@ it left. A new checkpoint replays from the start, as another consumer.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sluiceway import schemas
-from sluiceway.config import HOLD_REASON, DetectorParams, EventRules, TransferRules
+from sluiceway.config import DetectorParams, EventRules, SkewParams, TransferRules
 from sluiceway.functions.jsontext import DUPLICATE_KEYS_CONF
-from sluiceway.operators.detect import alerts_of
+from sluiceway.operators.detect import alerts_of, holds_of
 from sluiceway.operators.load import load_records
-from sluiceway.operators.rules import score
+from sluiceway.operators.rules import RULES, Rule, score
 from sluiceway.operators.validate import (
     accepted,
     rejected,
@@ -152,6 +153,8 @@ def detect(
     checkpoint: str,
     params: DetectorParams = DetectorParams(),
     rules: TransferRules = TransferRules(),
+    skew: SkewParams = SkewParams(),
+    scoring: Sequence[Rule] = RULES,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Landed transfers -> alerts and holds; `flags` keeps the accounts that fired.
@@ -167,22 +170,14 @@ def detect(
         name = _name(checkpoint, batch_id)
         arrival = F.struct("src_file", "src_block", "src_row").alias("offset")
         scored = stage(
-            score(batch, params).select(arrival, "txn_id", "account_id", "timestamp", "fired"),
+            score(batch, params, scoring).select(
+                arrival, "txn_id", "account_id", "timestamp", "fired"
+            ),
             "scored",
         )
-        fired = scored.where(F.size("fired") > 0)
         alerts.insert(alerts_of(scored), batch=name)
-        here = fired.groupBy("account_id").agg(F.min("offset").alias("_here"))
-        before = flags.before(name).select("account_id", F.lit(True).alias("_before"))
-        known = here.join(before, "account_id", "full")
-        held = (
-            scored.join(known, "account_id")
-            .where(F.col("_before") | (F.col("offset") > F.col("_here")))
-            .select(
-                "offset", "txn_id", "account_id", "timestamp", F.lit(HOLD_REASON).alias("reason")
-            )
-        )
-        holds.insert(held, batch=name)
+        holds.insert(holds_of(scored, skew, flags.before(name)), batch=name)
+        fired = scored.where(F.size("fired") > 0)
         flags.insert(fired.select("account_id", "offset"), batch=name)
 
     features = transfer_features(stream_lines(spark, landing, files_per_batch), params, rules)
