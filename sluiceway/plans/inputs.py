@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# ISO-8601 with microseconds; the table's times are naive and taken as UTC.
-_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
-
-
 def events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
 def iso_text(ts: Column) -> Column:
-    return F.date_format(ts, _ISO)
+    """ISO-8601 with microseconds. The table's times are naive and taken as UTC,
+    whatever the session's time zone."""
+    text = ts.cast("string")
+    return F.concat(
+        F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."),
+        F.rpad(F.substring(text, 21, 6), 6, "0"), F.lit("Z"),
+    )
 
 
 def _records(df: DataFrame, **fields: Column) -> DataFrame:
@@ -70,7 +72,7 @@ def transfers(df: DataFrame, offset: Column | None = None) -> DataFrame:
         _payee().alias("payee_id"),
         F.col("value").alias("amount"),
         iso_text(ts).alias("timestamp"),
-        F.unix_micros(ts.cast("timestamp")).alias("ts"),
+        F.unix_micros(F.concat(ts.cast("string"), F.lit("Z")).cast("timestamp")).alias("ts"),
         F.hour(ts).alias("hour"),
         F.minute(ts).alias("minute"),
     )

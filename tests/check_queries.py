@@ -50,8 +50,10 @@ if __name__ == "__main__":
     import __spark_entry__ as E
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+    partitions, zone = os.environ.get("PARTITIONS", "8"), os.environ.get("ZONE", "UTC")
+    spark = (SparkSession.builder.master("local[8]")
+             .config("spark.sql.shuffle.partitions", partitions)
+             .config("spark.sql.session.timeZone", zone).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     sqls = E.oracle_sql()

@@ -149,3 +149,38 @@ def test_whole_runs(spark, tmp_path):
     targets = [str(tmp_path / n) for n in ("tlog", "alerts", "holds")]
     for _ in range(2):
         assert run_transfers(spark, story, *targets) == (10, 0, 7, 2, 7, 2)
+
+
+def forget_last_commit(checkpoint):
+    """As if the process had died after writing its tables, before its commit."""
+    commits = checkpoint / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+
+
+def test_micro_batch_that_died_before_its_commit(spark, tmp_path):
+    landing = land(tmp_path / "in", drain_story(), 3)
+    tables = stream_detect(spark, tmp_path, landing, 1)
+    before = [found(t) for t in tables]
+    forget_last_commit(tmp_path / "ck")
+    assert [found(t) for t in stream_detect(spark, tmp_path, landing, 1)] == before
+    assert len(before[0]) == 7 and len(before[1]) == 2
+
+    events = land(tmp_path / "events", [*sample(), dict(GOOD, event_id="e2")], 2)
+    log = RecordLog(spark, str(tmp_path / "log"))
+    table = events_table(spark, str(tmp_path / "table"))
+    paths = [str(tmp_path / n) for n in ("rejects", "counts", "ck1")]
+
+    def run():
+        S.ingest(spark, events, log, *paths, files_per_batch=1).awaitTermination()
+        S.load(spark, log, table, str(tmp_path / "loads"), str(tmp_path / "ck2"),
+               batches_per_load=1).awaitTermination()
+        loads = spark.read.parquet(str(tmp_path / "loads"))
+        return (sorted(log.read().collect()), found(table), sorted(loads.collect()),
+                spark.read.parquet(paths[0]).count())
+
+    first = run()
+    for checkpoint in ("ck1", "ck2"):
+        forget_last_commit(tmp_path / checkpoint)
+    assert run() == first and len(first[1]) == 8
