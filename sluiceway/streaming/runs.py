@@ -31,6 +31,8 @@ from sluiceway.sources.staging import stage
 from sluiceway.sources.tables import KeyedTable
 from sluiceway.streaming.state import FEATURES, AccountHistory, numbered
 
+# Take what has landed and stop; {"processingTime": "5 seconds"} keeps a query running.
+WHAT_IS_THERE = {"availableNow": True}
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,6 +55,7 @@ def ingest(
     checkpoint: str,
     rules: EventRules = EventRules(),
     files_per_batch: int | None = None,
+    trigger: dict = WHAT_IS_THERE,
 ) -> StreamingQuery:
     """Landed lines -> accepted records in the log, rejects with their faults.
 
@@ -79,7 +82,7 @@ def ingest(
         stream_lines(spark, landing, files_per_batch)
         .writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -92,6 +95,7 @@ def load(
     checkpoint: str,
     rules: EventRules = EventRules(),
     batches_per_load: int | None = None,
+    trigger: dict = WHAT_IS_THERE,
 ) -> StreamingQuery:
     """Log -> events table, following the log's commits.
 
@@ -115,7 +119,7 @@ def load(
         commits.parquet(f"{log.path}/commits")
         .writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -156,6 +160,7 @@ def detect(
     skew: SkewParams = SkewParams(),
     scoring: Sequence[Rule] = RULES,
     files_per_batch: int | None = None,
+    trigger: dict = WHAT_IS_THERE,
 ) -> StreamingQuery:
     """Landed transfers -> alerts and holds; `flags` keeps the accounts that fired.
 
@@ -185,6 +190,6 @@ def detect(
         features.writeStream.foreachBatch(each)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
