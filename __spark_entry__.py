@@ -2,7 +2,7 @@
 
 Events are the `events` table written out as JSON records, so `view` and `error` rows
 fall to the edge's list of event types. Transfers are the same table read as payments,
-with thresholds that suit its amounts.
+with thresholds that suit its amounts; an amount of zero makes a transfer invalid.
 """
 
 from __future__ import annotations
@@ -265,7 +265,7 @@ def _transfer_features(spark: SparkSession, folder: str) -> DataFrame:
         F.col("win_count").alias("cnt"),
         F.round("win_total", 2).alias("total"),
         F.col("hist_count").alias("n"),
-        F.round("hist_mean", 6).alias("mean"),
+        F.col("hist_mean").alias("mean"),
         "payee_first",
     )
 
@@ -444,7 +444,7 @@ t AS (
          regexp_extract(props, '([0-9]+)', 1) AS payee_id,
          value AS amount, CAST(value AS DECIMAL(18,6)) AS exact, ts,
          {_ISO_SQL} AS "timestamp"
-  FROM events WHERE {where}
+  FROM events WHERE value > 0 AND {where}
 ), near AS (
   SELECT t.off, 1 + COUNT(p.off) AS cnt,
          CAST(t.exact + COALESCE(SUM(p.exact), 0) AS DOUBLE) AS total
@@ -582,7 +582,7 @@ WITH {_PLAIN} SELECT f.txn_id, f.n, r.reason
 FROM f JOIN fired r ON r.off = f.off AND r.rule = 'amount_spike'""",
         "odd_hour": f"WITH {_PLAIN} SELECT txn_id, reason FROM fired WHERE rule = 'odd_hour'",
         "transfer_features": f"""
-WITH {_PLAIN} SELECT txn_id, cnt, ROUND(total, 2) AS total, n, ROUND(mean, 6) AS mean, payee_first
+WITH {_PLAIN} SELECT txn_id, cnt, ROUND(total, 2) AS total, n, mean, payee_first
 FROM f""",
         "score_transfers": f"""
 WITH {_PLAIN} SELECT txn_id, rule, reason,
@@ -596,7 +596,7 @@ WITH {_WELL_FORMED} SELECT txn_id, account_id, rule, reason, "timestamp" FROM fi
         "detect_summary": f"""
 WITH {_WELL_FORMED}
 SELECT (SELECT COUNT(*) FROM t) AS processed,
-       (SELECT COUNT(*) FROM events WHERE event_type = 'error') AS skipped,
+       (SELECT COUNT(*) FROM events WHERE event_type = 'error' OR NOT value > 0) AS skipped,
        (SELECT COUNT(*) FROM fired) AS alerts, (SELECT COUNT(*) FROM held) AS holds,
        (SELECT COUNT(*) FROM fired) AS alerts_recorded,
        (SELECT COUNT(*) FROM held) AS holds_recorded""",

@@ -63,9 +63,9 @@ def _payee() -> Column:
 
 
 def transfers(df: DataFrame, offset: Column | None = None) -> DataFrame:
-    """The same transfers as typed columns, without the way through JSON."""
+    """The valid ones of the same transfers as typed columns, without the way through JSON."""
     ts = F.col("ts")
-    return df.select(
+    return df.where(F.col("value") > 0).select(
         (F.col("event_id") if offset is None else offset).alias("offset"),
         F.col("event_id").cast("string").alias("txn_id"),
         F.col("user_id").cast("string").alias("account_id"),
