@@ -7,6 +7,7 @@ with thresholds that suit its amounts; an amount of zero makes a transfer invali
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -379,6 +380,21 @@ def _stream_holds(spark: SparkSession, folder: str) -> DataFrame:
     return _streamed_detection(spark, folder)[1].read()
 
 
+def _extension():
+    """The query modules of the optional subpackage; none where it was taken out."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.exists(os.path.join(here, "sluiceway", "llm", "queries.py")):
+        return []
+    from sluiceway.llm import queries as llm_queries
+
+    found = [llm_queries]
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        found.append(corpus_pipeline)
+    return found
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The report over events that went the whole way from raw records."""
     return _analytics_report(spark, SMOKE)
@@ -425,7 +441,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_load": _stream_load,
         "stream_detect_alerts": _stream_alerts,
         "stream_detect_holds": _stream_holds,
-    }
+    } | {k: f for m in _extension() for k, f in m.queries().items()}
 
 
 # --- SQL ------------------------------------------------------------------------
@@ -608,4 +624,4 @@ FROM events""",
         "stream_detect_alerts": f"""
 WITH {_WELL_FORMED} SELECT txn_id, account_id, rule, reason, "timestamp" FROM fired""",
         "stream_detect_holds": f"WITH {_WELL_FORMED} SELECT * FROM held",
-    }
+    } | {k: text for m in _extension() for k, text in m.oracle_sql().items()}
