@@ -108,7 +108,7 @@ def pack_docs(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CH
         ids: list[int] = []
         texts: list[bytes] = []
         held = 0
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=5)
 
         def full() -> pd.DataFrame:
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))

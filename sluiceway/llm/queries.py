@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import leaks, lines, pages, pieces, quality, tokens, vectors
+from . import leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
 from .common import new_folder, table
 
 
@@ -41,6 +41,10 @@ def op7_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.read_ids(spark, path)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, folder, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Per document the number of ids, their CRC-32, and whether they decode to the text."""
     docs = table(spark, folder, "documents")
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_html_extraction": op6_html_extraction,
         "op7_token_id_output": op7_token_id_output,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
     }
