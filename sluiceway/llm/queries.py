@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
+from . import jaccard, leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
 from .common import new_folder, table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, folder, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Per document its lines before, those removed, the runs, and the text left."""
     return lines.line_dedup(table(spark, folder, "documents")).select(
@@ -66,6 +70,7 @@ def vocabulary(name: str) -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_line_dedup": op2_line_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
