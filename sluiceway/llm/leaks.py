@@ -21,6 +21,10 @@ _FOLD = bytes(
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
+#: Ranges of items for which passages are bounded at once.
+RANGES = 256
+
+
 @dataclass(frozen=True)
 class LeakParams:
     k1: float = 1.2
@@ -98,8 +102,11 @@ class Index:
         ]
         self.docs = [d.tolist() for d in self.lists]
         self.shares = [w.tolist() for w in self.weights]
-        # what an occurrence of a term can add at most; the last place is for other words
-        self.bound = np.array([*self.most, 0.0])
+        # the most that a term adds to an item of each range of items, at most RANGES of them
+        wide = max(1, -(-len(self.ids) // RANGES))
+        self.ranges = np.zeros((len(postings), max(1, -(-len(self.ids) // wide))), np.float32)
+        for t, (docs, shares) in enumerate(zip(self.lists, self.weights)):
+            np.maximum.at(self.ranges[t], docs // wide, shares.astype(np.float32))
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score with these distinct terms reaches the threshold."""
@@ -150,6 +157,37 @@ class Index:
                 for t in live[:pivot]:
                     at[t] = _seek(self.docs[t], at[t], item)
 
+    def _passages(self, words: list[bytes], limit: float) -> Iterator[tuple[int, list[int]]]:
+        """(first word, terms) of the passages whose bound for some range of items reaches the limit.
+
+        A passage is two stretches of the longest item's words; a range's bound is the sum
+        of what each distinct term adds at most to one of its items.
+        """
+        none = -1
+        terms = np.fromiter(map(self.vocabulary.get, words, repeat(none)), np.int64, len(words))
+        at = np.flatnonzero(terms >= 0)
+        if not len(at):
+            return
+        many = len(self.vocabulary)
+        pairs = np.unique((at // self.longest) * many + terms[at])
+        part, term = np.divmod(pairs, many)
+        parts = -(-len(words) // self.longest)
+        total = np.zeros((parts + 1, self.ranges.shape[1]), np.float32)
+        used, first = np.unique(part, return_index=True)
+        total[used] = np.add.reduceat(self.ranges[term], first, axis=0)
+        bound = total[:-1] + total[1:]
+        # a term in both stretches counts once
+        both = np.searchsorted(pairs, pairs + many)
+        both[both == len(pairs)] = 0
+        again = np.flatnonzero(pairs[both] == pairs + many)
+        if len(again):
+            owners, first = np.unique(part[again], return_index=True)
+            bound[owners] -= np.add.reduceat(self.ranges[term[again]], first, axis=0)
+        edges = np.searchsorted(part, np.arange(parts + 2))
+        for i in np.flatnonzero((bound >= limit).any(axis=1)).tolist():
+            if i + 1 < parts or parts == 1 or not bound[i - 1].max() >= limit:
+                yield i * self.longest, np.unique(term[edges[i] : edges[i + 2]]).tolist()
+
     def leaks(self, text: str) -> list[tuple[int, float, float, float, float]]:
         """(item, score, question, answer and whole overlap), the best passage of each verified item.
 
@@ -159,27 +197,18 @@ class Index:
         words = words_of(text)
         if not words or not self.longest:
             return []
-        none = len(self.vocabulary)
-        terms = np.fromiter(map(self.vocabulary.get, words, repeat(none)), np.int64, len(words))
-        total = np.concatenate(([0.0], np.cumsum(self.bound[terms])))
-        starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
-        ends = np.minimum(starts + 2 * self.longest, len(words))
         limit = self.params.threshold - 1e-9
         best: dict[int, tuple] = {}
-        for a, z in zip(starts, ends):
-            if total[z] - total[a] < limit - 1e-6:
-                continue  # even all terms' largest weights together do not reach it
-            own = np.unique(terms[a:z])
-            own = own[own != none].tolist()
-            if sum(map(self.most.__getitem__, own)) < limit:
-                continue
+        for a, own in self._passages(words, limit - 1e-4):
+            z = a + 2 * self.longest
             for item, score in self.search(own, limit):
                 shingles: dict[int, set] = {}
                 shares = []
                 for part in self.parts[item]:
                     k = len(next(iter(part)))
                     if k not in shingles:
-                        shingles[k] = _shingles(words[a:z], k) if z - a >= k else set()
+                        part_words = words[a:z]
+                        shingles[k] = _shingles(part_words, k) if len(part_words) >= k else set()
                     shares.append(len(part & shingles[k]) / len(part))
                 question, answer, whole = shares
                 p = self.params
