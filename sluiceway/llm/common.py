@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluiceway.sources.staging import new_folder, stage
 
-__all__ = ["components", "new_folder", "pack_docs", "partitions", "shared_keys", "ship", "stage", "table"]
+__all__ = ["components", "discard", "new_folder", "pack_docs", "partitions", "shared_keys", "ship", "stage", "table"]
 
 CHUNK_BYTES = 4 << 20
 
@@ -46,6 +46,15 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def discard(staged: DataFrame) -> None:
+    """Delete what `stage` wrote, once nothing will read it again."""
+    files = staged.inputFiles()
+    if files:
+        spark = staged.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # --- connected components --------------------------------------------------------
 
 

@@ -5,21 +5,25 @@
 2. The rest is partitioned into groups of similar documents: documents that agree in
    a smallest hash meet a leader, and join it where they are verified to be linked.
 3. The matrix holds every group's union of prefix tokens. Groups that meet there, and
-   aren't connected yet, are candidates; a query document's overlap with the group's
-   whole union bounds its overlap with any member, and only groups that pass are opened.
+   aren't connected yet and share enough tokens are candidates; a query document's overlap with
+   the group's union bounds its overlap with any member, and only groups that pass are
+   opened, and members that pass the same bound verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, pack_docs, partitions, read_flags, shared_keys, ship, stage, unpack_docs
+from .common import components, discard, pack_docs, partitions, read_flags, shared_keys, ship, stage, unpack_docs
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,9 @@ class JaccardParams:
     #: Linked if 100 * intersection >= percent * union.
     percent: int = 80
     #: Rounds in which documents look for a leader, each by another smallest hash.
-    rounds: int = 3
+    rounds: int = 2
+    #: Prefix tokens beyond the first that linked sets must share.
+    more: int = 12
     #: Leaders kept at once for documents of one smallest hash; others go on to the next step.
     leaders: int = 8
     #: Documents of one smallest hash that meet in one task; more are salted.
@@ -42,40 +48,54 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, tokens): each text's distinct shingle hashes in order, one text after the other.
+_PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+
+
+def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, hashes): every shingle of each text, one text after the other.
 
     Words are what stands between ASCII white space, A-Z lowered. A text of fewer than k
     words has its whole sequence as its one shingle, a text without words none.
     """
     words = [t.lower().split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    every = [w for ws in words for w in ws]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    every = list(chain.from_iterable(words))
     known = {w: xxhash.xxh3_64_intdigest(w) for w in set(every)}
     codes = np.fromiter(map(known.__getitem__, every), np.uint64, len(every))
+    factors = [np.uint64(_PLACES[j % 5] + 2 * (j // 5)) for j in range(k)]
+    h = codes * factors[0]
+    for j in range(1, min(k, len(codes))):
+        h[:-j] += codes[j:] * factors[j]
     ends = np.cumsum(counts)
-    owner = np.repeat(np.arange(len(texts)), counts)
     left = np.repeat(ends, counts) - np.arange(len(every))  # words from here to the text's end
-    starts = np.where(np.repeat(counts, counts) >= k, left >= k, left == np.repeat(counts, counts))
-    at = np.flatnonzero(starts)
-    h = np.zeros(len(at), np.uint64)
-    padded = np.concatenate((codes, np.zeros(k, np.uint64)))
-    for j in range(k):
-        more = left[at] > j
-        h = np.where(more, _mix(h * np.uint64(3) + padded[at + j], j + 1), h)
-    owner = owner[at]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.concatenate((owner[:1] >= 0, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))
-    h, owner = h[new], owner[new]
-    return np.bincount(owner, minlength=len(texts)), h
-
-
-def _distinct_sets(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(left >= k)
+    owner = np.repeat(np.arange(len(texts)), counts)[at]
+    h = h[at]
+    short = np.flatnonzero((counts > 0) & (counts < k))
+    if len(short):
+        own = [
+            (codes[ends[d] - counts[d] : ends[d]] * np.array(factors[: counts[d]])).sum(dtype=np.uint64)
+            + np.uint64(counts[d])
+            for d in short
+        ]
+        owner, h = np.concatenate((owner, short)), np.concatenate((h, np.array(own, np.uint64)))
+    return owner, _mix(h, 1)
+
+
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sizes, places): the distinct hashes in order; each text's distinct ones as places there."""
+    owner, h = shingles(texts, k)
+    keys, where = np.unique(h, return_inverse=True)
+    pairs = np.unique(owner * max(1, len(keys)) + where)
+    owner, where = np.divmod(pairs, max(1, len(keys)))
+    return keys, np.bincount(owner, minlength=len(texts)), where
+
+
+def _distinct_sets(sizes: np.ndarray, where: np.ndarray) -> np.ndarray:
     """For each set the place of the first equal set."""
     ends = np.cumsum(sizes)
     first: dict[bytes, int] = {}
-    raw = tokens.tobytes()
+    raw = where.astype(np.int64).tobytes()
     return np.array(
         [
             first.setdefault(xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e]) if n else b"", i)
@@ -106,6 +126,19 @@ def _needed(n: int, percent: int) -> int:
 _ROW = "v bigint, n bigint, tokens binary"
 
 
+def press_tokens(keys: np.ndarray) -> bytes:
+    """Sorted hashes, 48 bits of each, as differences, byte plane by byte plane."""
+    gaps = np.diff(keys >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T[:6]).tobytes(), 1)
+
+
+def open_tokens(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(6, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :6] = planes.T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _candidates(docs: DataFrame, params: JaccardParams, id_col: str, text_col: str) -> DataFrame:
     """(v, n, alike, tokens): every row with an id, its set's size, an equal document of its chunk.
 
@@ -116,7 +149,7 @@ def _candidates(docs: DataFrame, params: JaccardParams, id_col: str, text_col: s
     chunks = pack_docs(ship(docs), id_col, text_col)
 
     def keys_of(blob: bytes) -> np.ndarray:
-        return np.unique(shingle_sets(unpack_docs(blob)[1], k)[1])
+        return np.unique(shingles(unpack_docs(blob)[1], k)[1])
 
     flags = shared_keys(chunks, keys_of, buckets)
 
@@ -124,9 +157,8 @@ def _candidates(docs: DataFrame, params: JaccardParams, id_col: str, text_col: s
         out = []
         for blob in mine["blob"]:
             ids, texts = unpack_docs(blob)
-            sizes, tokens = shingle_sets(texts, k)
-            first = _distinct_sets(sizes, tokens)
-            keys, where = np.unique(tokens, return_inverse=True)
+            keys, sizes, where = shingle_sets(texts, k)
+            first = _distinct_sets(sizes, where)
             leads = np.repeat(first == np.arange(len(ids)), sizes)
             shared = read_flags(keys, buckets, replies)
             shared |= np.bincount(where[leads], minlength=len(keys)) > 1
@@ -136,26 +168,31 @@ def _candidates(docs: DataFrame, params: JaccardParams, id_col: str, text_col: s
                 if n and f == i:
                     mark = shared[where[e - n : e]]
                     if int(mark.sum()) >= _needed(n, percent):
-                        own = tokens[e - n : e][mark].tobytes()
+                        own = press_tokens(keys[where[e - n : e][mark]])
                 out.append((v, n, int(ids[f]) if n else v, own))
         return pd.DataFrame(out, columns=["v", "n", "alike", "tokens"])
 
-    return stage(
+    sets = stage(
         chunks.groupBy("chunk")
         .cogroup(flags.groupBy("chunk"))
         .applyInPandas(choose, "v bigint, n bigint, alike bigint, tokens binary"),
         "sets",
     )
+    discard(chunks)
+    return sets
+
 
+def _join_leaders(rows: DataFrame, nth: int, params: JaccardParams, last: bool) -> DataFrame:
+    """(v, n, tokens, leader): the leader each row was verified to be linked to, else its tokens.
 
-def _join_leaders(rows: DataFrame, nth: int, params: JaccardParams) -> DataFrame:
-    """(v, n, tokens, leader): the rows, with the leader each was verified to be linked to."""
+    After the `last` round tokens are not needed.
+    """
     percent = params.percent
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             low = [
-                _mix(np.frombuffer(t, np.uint64), 101 + nth).min().astype(np.int64) if t else 0
+                _mix(open_tokens(t), 101 + nth).min().astype(np.int64)
                 for t in b["tokens"]
             ]
             yield pd.DataFrame({"key": np.array(low, np.int64), "v": b["v"], "n": b["n"], "tokens": b["tokens"]})
@@ -173,13 +210,18 @@ def _join_leaders(rows: DataFrame, nth: int, params: JaccardParams) -> DataFrame
             for key, salt_, v, n, t in zip(b["key"], b["salt"], b["v"], b["n"], b["tokens"]):
                 if at != (key, salt_):
                     at, leaders = (key, salt_), []
-                own = np.frombuffer(t, np.uint64)
+                own = open_tokens(t)
                 leader = next((w for w, m, x in leaders if linked(own, x, n, m, percent)), None)
                 if leader is None and len(leaders) < params.leaders:
                     leaders.append((v, n, own))
                 found.append(leader)
             yield pd.DataFrame(
-                {"v": b["v"], "n": b["n"], "tokens": b["tokens"], "leader": pd.array(found, dtype="Int64")}
+                {
+                    "v": b["v"],
+                    "n": b["n"],
+                    "tokens": [t if w is None and not last else None for t, w in zip(b["tokens"], found)],
+                    "leader": pd.array(found, dtype="Int64"),
+                }
             )
 
     return stage(
@@ -193,10 +235,11 @@ def _join_leaders(rows: DataFrame, nth: int, params: JaccardParams) -> DataFrame
 
 
 def _prefixes(rows: DataFrame, params: JaccardParams) -> DataFrame:
-    """(token, v, n, g): of each set the tokens of which a linked set must share one.
+    """(token, v, n): of each set the first tokens, of which a linked set shares `more` + 1.
 
     The order is the same for all sets: tokens of one document first, which need not be
-    named, then by hash.
+    named, then by hash. Two sets with at least m tokens in common share min(k, m) of the
+    first size - m + k of each.
     """
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,36 +248,58 @@ def _prefixes(rows: DataFrame, params: JaccardParams) -> DataFrame:
                 part = b.iloc[a : a + 512]
                 tokens, sizes = [np.zeros(0, np.uint64)], []
                 for n, t in zip(part["n"], part["tokens"]):
-                    own = np.frombuffer(t, np.uint64)
-                    own = np.sort(_mix(own, 7))[: len(own) - _needed(n, params.percent) + 1]
+                    own = open_tokens(t)
+                    own = np.sort(_mix(own, 7))[: len(own) - _needed(n, params.percent) + 1 + params.more]
                     tokens.append(own)
                     sizes.append(len(own))
                 yield pd.DataFrame(
                     {
                         "token": np.concatenate(tokens).view(np.int64),
-                        **{c: np.repeat(part[c].to_numpy(), sizes) for c in ("v", "n", "g")},
+                        **{c: np.repeat(part[c].to_numpy(), sizes) for c in ("v", "n")},
                     }
                 )
 
-    return rows.select("v", "n", "tokens", "g").mapInPandas(prefix, "token bigint, v bigint, n bigint, g bigint")
+    return rows.select("v", "n", "tokens").mapInPandas(prefix, "token bigint, v bigint, n bigint")
 
 
-def _open_groups(rows: DataFrame, params: JaccardParams) -> DataFrame:
-    """(a, b): verified links between documents of different groups g."""
+def _open_groups(sets: DataFrame, groups: DataFrame, params: JaccardParams) -> DataFrame:
+    """(a, b): verified links between documents of different groups; `groups` has (v, n, g)."""
     percent = params.percent
-    prefixes = stage(_prefixes(rows, params), "prefixes")
+    # a token of one document only meets nothing; most are, and go before they are grouped
+    prefixes = _prefixes(sets, params)
+    twice = stage(
+        prefixes.groupBy("token")
+        .agg(F.min("v").alias("a"), F.max("v").alias("z"))
+        .where("a <> z")
+        .select("token"),
+        "twice",
+    )
+    prefixes = stage(
+        prefixes.join(twice, "token", "left_semi").join(groups, ["v", "n"]).select("token", "v", "n", "g").distinct(),
+        "prefixes",
+    )
     matrix = stage(
         prefixes.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix"
     )
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+
+    def enough(shared: str, size: Column) -> Column:
+        """Whether so many shared prefix tokens let a set of this size be linked."""
+        return F.col(shared) >= F.least(F.lit(params.more + 1), F.ceil(size * percent / 100))
+
+    def alike(m: str, n: str) -> Column:
+        return (F.col(m) * percent <= F.col(n) * 100) & (F.col(n) * percent <= F.col(m) * 100)
+
     x, y = matrix.alias("x"), matrix.alias("y")
     near = lambda p, q: F.col(f"{p}.low") * percent <= F.col(f"{q}.high") * 100
     met = stage(
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & near("x", "y") & near("y", "x"))
-        .select(F.col("x.g").alias("p"), F.col("y.g").alias("q"))
-        .distinct(),
+        .groupBy(F.col("x.g").alias("p"), F.col("y.g").alias("q"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.greatest("x.low", "y.low")).alias("least"))
+        .where(enough("shared", F.col("least")))
+        .select("p", "q"),
         "met",
     )
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
     # the smaller group asks, the larger is opened
     p, q = sizes.alias("s"), sizes.alias("t")
     asks = (
@@ -245,53 +310,47 @@ def _open_groups(rows: DataFrame, params: JaccardParams) -> DataFrame:
             F.when(F.col("s.rows") <= F.col("t.rows"), F.col("q")).otherwise(F.col("p")).alias("group"),
         )
     )
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a in range(0, len(b), 512):
-                part = b.iloc[a : a + 512]
-                sets = [np.frombuffer(t, np.int64) for t in part["tokens"]]
-                sizes = [len(s) for s in sets]
-                yield pd.DataFrame(
-                    {
-                        "token": np.concatenate([np.zeros(0, np.int64), *sets]),
-                        **{c: np.repeat(part[c].to_numpy(), sizes) for c in part if c != "tokens"},
-                    }
-                )
-
-    queries = stage(rows.join(asks, "g").select("v", "n", "tokens", "group"), "asking")
-    wanted = queries.select(F.col("group").alias("g")).distinct()
-    unions = (
-        rows.join(wanted, "g", "left_semi")
-        .select("tokens", F.col("g").alias("group"))
-        .mapInPandas(spread, "token bigint, group bigint")
-        .distinct()
-    )
+    asking = stage(prefixes.join(asks, "g").select("token", "v", "n", "group"), "asking")
+    unions = matrix.withColumnRenamed("g", "group")
     passed = (
-        queries.mapInPandas(spread, "token bigint, v bigint, n bigint, group bigint")
-        .join(unions, ["token", "group"])
+        asking.join(unions, ["token", "group"])
+        .where(F.col("n") * percent <= F.col("high") * 100)
         .groupBy("v", "n", "group")
-        .agg(F.count(F.lit(1)).alias("overlap"))
-        .where(F.col("overlap") * 100 >= F.col("n") * percent)
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(enough("shared", F.col("n")))
         .select("v", "n", "group")
     )
     passed = stage(passed, "passed")
-    # within an opened group, members that share a prefix token with the query
-    left = prefixes.join(passed, ["v", "n"]).select("token", F.col("v").alias("a"), F.col("n").alias("n_a"), "group")
+    # most are linked to the group's first document, and need not open it
+    led = stage(
+        _verified(passed.select(F.col("v").alias("a"), F.col("group").alias("b")), sets, params), "joined"
+    )
+    passed = passed.join(led.select(F.col("a").alias("v"), F.col("b").alias("group")), ["v", "group"], "left_anti")
+    # the members of an opened group
+    left = asking.join(passed, ["v", "n", "group"]).select("token", F.col("v").alias("a"), F.col("n").alias("n_a"), "group")
     right = prefixes.select("token", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("g").alias("group"))
-    pairs = (
+    pairs = stage(
         left.join(right, ["token", "group"])
-        .where((F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100))
-        .select("a", "b")
-        .distinct()
+        .where(alike("n_a", "n_b"))
+        .groupBy("a", "n_a", "b", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(enough("shared", F.greatest("n_a", "n_b")))
+        .select("a", "b"),
+        "pairs",
     )
-    one = rows.select(F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    two = rows.select(F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
+    return _verified(pairs, sets, params).unionByName(led)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are linked."""
+    percent = params.percent
+    one = sets.select(F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
+    two = sets.select(F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [
-                linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), m, n, percent)
+                linked(open_tokens(s), open_tokens(t), m, n, percent)
                 for s, t, m, n in zip(b["t_a"], b["t_b"], b["n_a"], b["n_b"])
             ]
             yield b.loc[ok, ["a", "b"]]
@@ -313,25 +372,26 @@ def jaccard_groups(
     """
     sets = _candidates(docs, params, id_col, text_col)
     rows = sets.where("tokens IS NOT NULL").select("v", "n", "tokens")
-    edges = sets.where("v <> alike").select(F.col("v").alias("a"), F.col("alike").alias("b"))
-    everyone = rows
+    everyone, left = rows, None
+    led_to = []
     for nth in range(params.rounds):
-        led = _join_leaders(rows, nth, params)
-        edges = edges.unionByName(
-            led.where("leader IS NOT NULL").select(F.col("v").alias("a"), F.col("leader").alias("b"))
-        )
-        rows = led.where("leader IS NULL").select("v", "n", "tokens")
-    edges = stage(edges, "links")
-    groups = components(edges)
+        led = _join_leaders(rows, nth, params, last=nth == params.rounds - 1)
+        found = led.where("leader IS NOT NULL").select(F.col("v").alias("a"), F.col("leader").alias("b"))
+        led_to.append(stage(found, "links"))
+        if left is not None:
+            discard(left)
+        left, rows = led, led.where("leader IS NULL").select("v", "n", "tokens")
+    links = reduce(DataFrame.unionByName, led_to)
+    groups = components(links)
     grouped = stage(
-        everyone.join(groups, everyone["v"] == groups["node"], "left").select(
-            "v", "n", "tokens", F.coalesce("component", "v").alias("g")
-        ),
+        everyone.select("v", "n")
+        .join(groups, everyone["v"] == groups["node"], "left")
+        .select("v", "n", F.coalesce("component", "v").alias("g")),
         "grouped",
     )
-    more = stage(_open_groups(grouped, params), "more")
-    if not more.isEmpty():
-        groups = components(edges.unionByName(more))
+    more = stage(_open_groups(everyone, grouped, params), "more")
+    alike = sets.where("v <> alike").select(F.col("v").alias("a"), F.col("alike").alias("b"))
+    groups = components(links.unionByName(more).unionByName(alike))
     return sets.join(groups, sets["v"] == groups["node"], "left").select(
         F.col("v").alias("doc_id"),
         F.col("n").alias("n_shingles"),
