@@ -22,7 +22,11 @@ GRAM = 20
 BACK = LENGTH - GRAM  # bytes before an anchor that a stretch may reach
 REST = LENGTH - GRAM  # bytes behind an anchor's gram
 KEY = 8 + REST  # a suffix: its gram's hash, then what follows the gram
-_SLICE = 1 << 19
+#: Bytes of text that a task holds at once, a longer text apart.
+CHUNK = 2 << 20
+#: Parts in which runs are merged, for each shuffle partition.
+RUN_BUCKETS = 3
+_SLICE = 1 << 18
 _BITS = np.uint64(20)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -88,10 +92,10 @@ class _Chunk:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.text = np.frombuffer(b"".join(texts), np.uint8)
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        room = np.repeat(self.ends, self.sizes) - np.arange(len(self.text))
+        room = np.repeat(self.ends, self.sizes)
+        room -= np.arange(len(self.text))
         self.at, self.hash = anchors(self.text, room)
-        self.doc = self.owner[self.at]
+        self.doc = np.searchsorted(self.ends, self.at, side="right")
         self.before = np.minimum(BACK, self.at - (self.ends - self.sizes)[self.doc])
         self.behind = np.minimum(LENGTH, self.ends[self.doc] - self.at) - GRAM
 
@@ -363,7 +367,7 @@ def repeated_bytes(
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    chunks = pack_docs(ship(docs), id_col, text_col)
+    chunks = pack_docs(ship(docs), id_col, text_col, CHUNK)
     flags = shared_keys(chunks, _keys_of, buckets)
 
     def sort_runs(key, mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -377,7 +381,7 @@ def repeated_bytes(
             np.minimum.at(low, where, ids)
             np.maximum.at(high, where, ids)
             shared = (shared | (low < high))[where]
-            spans, runs = _runs_of(chunk, number, shared, buckets)
+            spans, runs = _runs_of(chunk, number, shared, RUN_BUCKETS * buckets)
             out += [(number, b, data) for b, data in runs]
             for doc, start, end in spans:
                 body = doc.astype("<i8").tobytes() + start.astype("<i8").tobytes() + end.astype("<i8").tobytes()
