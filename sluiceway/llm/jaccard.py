@@ -299,6 +299,9 @@ def _open_groups(sets: DataFrame, groups: DataFrame, params: JaccardParams) -> D
         .select("p", "q"),
         "met",
     )
+    # groups whose first documents are linked need no question
+    firsts = stage(_verified(met.select(F.col("p").alias("a"), F.col("q").alias("b")), sets, params), "firsts")
+    met = _apart(met, firsts, "p", "q")
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
     # the smaller group asks, the larger is opened
     p, q = sizes.alias("s"), sizes.alias("t")
@@ -325,7 +328,10 @@ def _open_groups(sets: DataFrame, groups: DataFrame, params: JaccardParams) -> D
     led = stage(
         _verified(passed.select(F.col("v").alias("a"), F.col("group").alias("b")), sets, params), "joined"
     )
-    passed = passed.join(led.select(F.col("a").alias("v"), F.col("b").alias("group")), ["v", "group"], "left_anti")
+    # nor do those that others connect meanwhile
+    own = passed.join(groups.select("v", "g").distinct(), "v")
+    inside = own.select(F.col("v").alias("a"), F.col("g").alias("b"))
+    passed = _apart(passed, firsts.unionByName(led).unionByName(inside), "v", "group")
     # the members of an opened group
     left = asking.join(passed, ["v", "n", "group"]).select("token", F.col("v").alias("a"), F.col("n").alias("n_a"), "group")
     right = prefixes.select("token", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("g").alias("group"))
@@ -338,7 +344,17 @@ def _open_groups(sets: DataFrame, groups: DataFrame, params: JaccardParams) -> D
         .select("a", "b"),
         "pairs",
     )
-    return _verified(pairs, sets, params).unionByName(led)
+    return _verified(pairs, sets, params).unionByName(led).unionByName(firsts)
+
+
+def _apart(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs that the links do not connect."""
+    found = components(links)
+    ends = found.select(F.col("node").alias(a), F.col("component").alias("__a"))
+    starts = found.select(F.col("node").alias(b), F.col("component").alias("__b"))
+    joined = pairs.join(ends, a, "left").join(starts, b, "left")
+    same = F.coalesce(F.col("__a"), F.col(a)) == F.coalesce(F.col("__b"), F.col(b))
+    return stage(joined.where(~same).select(*pairs.columns), "apart")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
