@@ -29,7 +29,7 @@ END_ID = 2
 #: Ids from which a task ends a file and begins the next.
 FILE_IDS = 1 << 22
 #: Words a worker remembers with their ids; when full it starts again, the ids are the same.
-MEMORY = 600_000
+MEMORY = 1_200_000
 NO_ID = np.iinfo(np.int64).min  # stands for a null document id
 
 _U32 = np.uint64(0xFFFFFFFF)
@@ -160,7 +160,6 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-_ODD_SPACE = re.compile(r"\s[ ]|[ ]\s|^ | \Z")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _SPECIAL = "<|"
 
@@ -208,24 +207,41 @@ class Encoder:
             self.words = {}
         if len(self.pieces) > MEMORY:
             self.pieces = {}
-        split = [self._split(t) for t in texts]
-        new = {w for words in split for w in words}.difference(self.words)
-        parts = {w: _PIECES.findall(w) if _SPECIAL not in w else [w] for w in new}
-        pieces = {p for ps in parts.values() for p in ps}.difference(self.pieces)
+        split = [t.split(" ") for t in texts]
+        # a text's first word has no space before it
+        starts = [words.pop(0) for words in split]
+        self._learn(set().union(*split).difference(self.words))
+        known = self.words.__getitem__
+        out = []
+        for text, start, words in zip(texts, starts, split):
+            try:
+                if start and not start[-1].isspace() or not words:
+                    out.append(self._apart([start] if start else []) + b"".join(map(known, words)))
+                    continue
+            except TypeError:  # a word that other white space touches
+                pass
+            parts = _BREAK.split(text)
+            out.append(self._apart([parts[0], *(" " + w for w in parts[1:])]))
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember words, by their form without the space before them; odd ones as None."""
+        whole = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        self.words.update(dict.fromkeys(new))
+        parts = [_PIECES.findall(" " + w) if _SPECIAL not in w else [" " + w] for w in whole]
+        self._need(parts)
+        known = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(known, ps))) for w, ps in zip(whole, parts))
+
+    def _need(self, parts: list[list[str]]) -> None:
+        pieces = set().union(*parts).difference(self.pieces)
         if pieces:
             self._learn_pieces(list(pieces))
-        known = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(known, ps))) for w, ps in parts.items())
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words, all but the first with the space before them."""
-        if not text:
-            return []
-        parts = _BREAK.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
+
+    def _apart(self, words: list[str]) -> bytes:
+        parts = [_PIECES.findall(w) if _SPECIAL not in w else [w] for w in words]
+        self._need(parts)
+        return b"".join(self.pieces[p] for ps in parts for p in ps)
 
 
 @lru_cache(maxsize=1)
