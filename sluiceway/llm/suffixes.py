@@ -13,9 +13,9 @@ import struct
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .common import pack_docs, partitions, read_flags, shared_keys, ship, stage, unpack_docs
+from .common import pack_docs, partitions, read_flags, shared_keys, ship, unpack_docs
 
 LENGTH = 50
 GRAM = 20
@@ -23,7 +23,7 @@ BACK = LENGTH - GRAM  # bytes before an anchor that a stretch may reach
 REST = LENGTH - GRAM  # bytes behind an anchor's gram
 KEY = 8 + REST  # a suffix: its gram's hash, then what follows the gram
 #: Bytes of text that a task holds at once, a longer text apart.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Parts in which runs are merged, for each shuffle partition.
 RUN_BUCKETS = 3
 _SLICE = 1 << 18
@@ -113,6 +113,15 @@ def _keys_of(blob: bytes) -> np.ndarray:
     return np.unique(_Chunk(blob).hash)
 
 
+def _in_two(chunk: _Chunk, keys: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Which of the distinct grams lie in documents of two ids of the chunk."""
+    ids = chunk.ids[chunk.doc]
+    low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+    np.minimum.at(low, where, ids)
+    np.maximum.at(high, where, ids)
+    return low < high
+
+
 def _columns(rows: np.ndarray) -> list[np.ndarray]:
     """Rows of bytes as big-endian 64-bit numbers, the first column last, for lexsort."""
     wide = -(-rows.shape[1] // 8) * 8
@@ -231,16 +240,17 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, lcps
 
 
-def _runs_of(chunk: _Chunk, number: int, shared: np.ndarray, buckets: int) -> tuple[list, list]:
-    """Spans that the chunk shows by itself, and its suffix runs, one for each bucket."""
-    use = np.flatnonzero(shared)
+def _later(chunk: _Chunk, use: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Suffixes in order, and whether an equal context stands in a document with a smaller id.
+
+    (anchors, rows, lengths, bytes before, ids, later): of later ones all stretches repeat.
+    """
     rows, lengths = _suffix_rows(chunk, use)
     left = chunk.bytes_at(chunk.at[use] - 1, chunk.before[use], -1, BACK)
     doc = chunk.ids[chunk.doc[use]]
     order = np.lexsort((doc, *_columns(left), chunk.before[use], lengths, *_columns(rows)))
     use, rows, lengths, left, doc = use[order], rows[order], lengths[order], left[order], doc[order]
     back = chunk.before[use]
-    # equal context in a document with a smaller id: all its stretches are repeats
     alike = np.zeros(len(use), bool)
     alike[1:] = (
         (rows[1:] == rows[:-1]).all(axis=1)
@@ -249,14 +259,13 @@ def _runs_of(chunk: _Chunk, number: int, shared: np.ndarray, buckets: int) -> tu
         & (back[1:] == back[:-1])
     )
     lead = np.maximum.accumulate(np.where(alike, 0, np.arange(len(use))))
-    later = doc > doc[lead]
-    spans = []
-    full = back[later] + lengths[later] - 8 + GRAM >= LENGTH
-    own = use[later][full]
-    if len(own):
-        start = chunk.at[own] - chunk.before[own]
-        end = chunk.at[own] + GRAM + chunk.behind[own]
-        spans.append((chunk.doc[own], start, end))
+    return use, rows, lengths, left, doc, doc > doc[lead]
+
+
+def _runs_of(chunk: _Chunk, number: int, shared: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """The chunk's suffix runs, one for each bucket, without what it can tell by itself."""
+    use, rows, lengths, left, doc, later = _later(chunk, np.flatnonzero(shared))
+    back = chunk.before[use]
     keep = ~later
     use, rows, lengths, left, doc, back = (x[keep] for x in (use, rows, lengths, left, doc, back))
     bucket = (chunk.hash[use] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -277,7 +286,7 @@ def _runs_of(chunk: _Chunk, number: int, shared: np.ndarray, buckets: int) -> tu
                 + use[s].astype("<u4").tobytes()
             )
             runs.append((b, press.compress(body)))
-    return spans, runs
+    return runs
 
 
 def _open_run(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -376,16 +385,9 @@ def repeated_bytes(
             chunk = _Chunk(blob)
             keys, where = np.unique(chunk.hash, return_inverse=True)
             shared = read_flags(keys, buckets, replies)
-            ids = chunk.ids[chunk.doc]
-            low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
-            np.minimum.at(low, where, ids)
-            np.maximum.at(high, where, ids)
-            shared = (shared | (low < high))[where]
-            spans, runs = _runs_of(chunk, number, shared, RUN_BUCKETS * buckets)
+            shared = (shared | _in_two(chunk, keys, where))[where]
+            runs = _runs_of(chunk, number, shared, RUN_BUCKETS * buckets)
             out += [(number, b, data) for b, data in runs]
-            for doc, start, end in spans:
-                body = doc.astype("<i8").tobytes() + start.astype("<i8").tobytes() + end.astype("<i8").tobytes()
-                out.append((number, -1, zstandard.compress(body)))
         return pd.DataFrame(out, columns=["chunk", "bucket", "data"])
 
     sorted_runs = (
@@ -393,20 +395,14 @@ def repeated_bytes(
         .cogroup(flags.groupBy("chunk"))
         .applyInPandas(sort_runs, "chunk bigint, bucket int, data binary")
     )
-    sorted_runs = stage(sorted_runs, "runs")
-
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, place, most, least in _reduce(rows["data"]):
             body = place.astype("<u4").tobytes() + most.astype(np.uint8).tobytes() + least.astype(np.uint8).tobytes()
-            out.append((number, 0, zstandard.compress(body)))
-        return pd.DataFrame(out, columns=["chunk", "kind", "data"])
+            out.append((number, zstandard.compress(body)))
+        return pd.DataFrame(out, columns=["chunk", "data"])
 
-    kind = "chunk bigint, kind int, data binary"
-    found = sorted_runs.where("bucket >= 0").groupBy("bucket").applyInPandas(merge, kind)
-    found = found.unionByName(
-        sorted_runs.where("bucket < 0").select("chunk", F.lit(1).alias("kind"), "data")
-    )
+    found = sorted_runs.groupBy("bucket").applyInPandas(merge, "chunk bigint, data binary")
 
     def cut(key, mine: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -423,22 +419,20 @@ def repeated_bytes(
 
 def _cut(blob: bytes, repeats: pd.DataFrame, with_text: bool) -> list[tuple]:
     chunk = _Chunk(blob)
-    owners, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for kind, data in zip(repeats["kind"], repeats["data"]):
+    keys, where = np.unique(chunk.hash, return_inverse=True)
+    use, _, _, _, _, later = _later(chunk, np.flatnonzero(_in_two(chunk, keys, where)[where]))
+    own = use[later]
+    own = own[chunk.before[own] + GRAM + chunk.behind[own] >= LENGTH]
+    owners = [chunk.doc[own]]
+    starts, ends = [chunk.at[own] - chunk.before[own]], [chunk.at[own] + GRAM + chunk.behind[own]]
+    for data in repeats["data"]:
         raw = zstandard.decompress(data)
-        if kind:
-            three = np.frombuffer(raw, "<i8").reshape(3, -1)
-            owner, start, end = three
-        else:
-            n = len(raw) // 6
-            use = np.frombuffer(raw, "<u4", n).astype(np.int64)
-            most = np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64)
-            least = np.frombuffer(raw, np.uint8, n, 5 * n).astype(np.int64)
-            at = chunk.at[use]
-            owner, start, end = chunk.doc[use], at - most, at - least + LENGTH
-        owners.append(owner)
-        starts.append(start)
-        ends.append(end)
+        n = len(raw) // 6
+        use = np.frombuffer(raw, "<u4", n).astype(np.int64)
+        at = chunk.at[use]
+        owners.append(chunk.doc[use])
+        starts.append(at - np.frombuffer(raw, np.uint8, n, 4 * n))
+        ends.append(at - np.frombuffer(raw, np.uint8, n, 5 * n) + LENGTH)
     owner, start, end = (np.concatenate(x) for x in (owners, starts, ends))
     order = np.argsort(owner, kind="stable")
     owner, start, end = owner[order], start[order], end[order]
