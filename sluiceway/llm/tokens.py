@@ -101,7 +101,7 @@ def encode_file(docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes
 
     The blocks share the file's frequency table, and each can be decoded alone: the index
     holds its checkpoint (first id, place and size in the file) and the CRC-32 of its
-    ids. The header holds the CRC-32 of all that stands before the blocks.
+    ids and of its bytes. The header holds the CRC-32 of all that stands before the blocks.
     """
     freq = shares(np.bincount(ids, minlength=1))
     cum = _begins(freq)
@@ -114,7 +114,7 @@ def encode_file(docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes
         last[:tail] = ids[-tail:]
         parts += _encode(last[None], freq, cum)
     sums = [zlib.crc32(ids[a : a + BLOCK].astype("<u4").tobytes()) for a in range(0, len(ids), BLOCK)]
-    index = b"".join(struct.pack("<QII", i * BLOCK, len(p), c) for i, (p, c) in enumerate(zip(parts, sums)))
+    index = b"".join(struct.pack("<QIII", i * BLOCK, len(p), c, zlib.crc32(p)) for i, (p, c) in enumerate(zip(parts, sums)))
     table = np.diff(used, prepend=0).astype("<u4").tobytes() + freq[used].astype("<u4").tobytes()
     meta = zstandard.compress(docs.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + table + index)
     head = struct.pack("<BHIQQII", PRECISION, LANES, BLOCK, len(docs), len(ids), len(used), len(meta))
@@ -140,15 +140,17 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     freq = np.zeros(int(at[-1]) + 1, np.uint64)
     freq[at] = raw[used:]
     tables = freq, _begins(freq), np.repeat(np.arange(len(freq)), freq.astype(np.int64))
-    index = list(struct.iter_unpack("<QII", meta[12 * docs + 8 * used :]))
-    ends = start + size + np.cumsum([length for _, length, _ in index])
-    parts = [data[e - length : e] for e, (_, length, _) in zip(ends, index)]
+    index = list(struct.iter_unpack("<QIII", meta[12 * docs + 8 * used :]))
+    ends = start + size + np.cumsum([length for _, length, _, _ in index])
+    parts = [data[e - length : e] for e, (_, length, _, _) in zip(ends, index)]
+    if any(zlib.crc32(p) != check for p, (*_, check) in zip(parts, index)):
+        raise ValueError("a damaged block")
     whole = n // BLOCK
     ids = [_decode(parts[:whole], BLOCK, tables).ravel()] if whole else []
     if n % BLOCK:
         ids.append(_decode(parts[whole:], -(-(n % BLOCK) // LANES) * LANES, tables).ravel()[: n % BLOCK])
     out = np.concatenate(ids)
-    for first, _, check in index:
+    for first, _, check, _ in index:
         if zlib.crc32(out[first : first + BLOCK].astype("<u4").tobytes()) != check:
             raise ValueError("a block's ids do not match their checksum")
     return doc_ids, lengths, out
