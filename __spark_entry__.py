@@ -316,10 +316,14 @@ def _detect_summary(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams --------------------------------------------------------------------
 
 def _in_two_waves(spark: SparkSession, folder: str, records: Callable, run: Callable) -> None:
-    """Land the first half of the month and run the stream; then the rest, and run on."""
+    """Land the first half of the time span and run the stream; then the rest, and run on."""
     landing = new_folder(spark, "landing")
     df = inputs.events(spark, folder)
-    later = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    first, last = df.agg(F.min("ts"), F.max("ts")).first()
+    later = F.lit(False)
+    if first is not None:
+        middle = F.lit(str(first + (last - first) / 2)).cast("timestamp_ntz")
+        later = F.coalesce(F.col("ts") >= middle, F.lit(False))
     for wave in (~later, later):
         in_order(records(df.where(wave)), "offset").select("raw").write.mode("append").text(landing)
         run(landing)

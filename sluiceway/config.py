@@ -10,6 +10,14 @@ EVENT_TYPES = ("page_view", "click", "purchase", "signup")
 TRANSFER_REQUIRED = ("txn_id", "account_id", "payee_id", "amount", "timestamp", "currency")
 CURRENCIES = ("SGD", "USD", "EUR", "GBP")
 HOLD_REASON = "account under active drain alert"
+WINDOW_MINUTES = 10
+MAX_COUNT = 3
+MAX_AMOUNT = 5000.0
+PAYEE_THRESHOLD = 1000.0
+SPIKE_FACTOR = 5.0
+MIN_HISTORY = 3
+START_HOUR = 2
+END_HOUR = 5
 # ----------------------------------------------------------------------------
 
 
@@ -27,14 +35,14 @@ class TransferRules:
 class DetectorParams:
     """Thresholds of the four rules."""
 
-    window_minutes: int = 10
-    max_count: int = 3
-    max_amount: float = 5000.0
-    payee_threshold: float = 1000.0
-    spike_factor: float = 5.0
-    min_history: int = 3
-    start_hour: int = 2
-    end_hour: int = 5
+    window_minutes: int = WINDOW_MINUTES
+    max_count: int = MAX_COUNT
+    max_amount: float = MAX_AMOUNT
+    payee_threshold: float = PAYEE_THRESHOLD
+    spike_factor: float = SPIKE_FACTOR
+    min_history: int = MIN_HISTORY
+    start_hour: int = START_HOUR
+    end_hour: int = END_HOUR
 
     @property
     def window_micros(self) -> int:

@@ -13,10 +13,10 @@ _DATE = (
 )
 _CLOCK = r"(\d{2})(?:(:?)(\d{2})(?:\11(\d{2})(?:[.,](\d+))?)?)?"
 _OFFSET = r"(?:([+-])(\d{2})(?:(:?)(\d{2})(?:\17(\d{2})(?:[.,]\d+)?)?)?)?"
-_PATTERN = rf"^{_DATE}(?:[\s\S]{_CLOCK}{_OFFSET})?$"
+_PATTERN = rf"^{_DATE}(?:[\s\S]{_CLOCK}{_OFFSET})?\z"
 # The usual form, which Spark's own cast reads as it should.
 _USUAL = (
-    r"^(?!0000)\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)$"
+    r"^(?!0000)\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)\z"
 )
 _GROUPS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 18, 19)
 _FIELDS = "|".join(f"${g}" for g in _GROUPS)
@@ -74,9 +74,8 @@ def with_instant(df: DataFrame, text: str) -> DataFrame:
     kept = df.columns
     stamp = F.col(text)
     utc = F.replace(stamp, F.lit("Z"), F.lit("+00:00"))
-    # Text that is not ISO-8601 comes back unchanged, without the 16 bars.
     groups = F.split(F.regexp_replace(utc, _PATTERN, _FIELDS), r"\|")
-    readable = ~stamp.startswith("0000") & ~stamp.contains("|")
+    readable = ~stamp.startswith("0000") & utc.rlike(_PATTERN)
     usual = F.struct(
         F.unix_micros(stamp.try_cast("timestamp")).alias("micros"),
         F.substring(stamp, 12, 2).try_cast("int").alias("hour"),

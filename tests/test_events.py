@@ -91,6 +91,22 @@ def test_every_fault_is_listed_in_order(spark):
     assert faults(spark, *(c for c, _ in CASES)) == [e for _, e in CASES]
 
 
+@pytest.mark.parametrize(
+    "stamp, ok",
+    [
+        ("2026-03-01T08:00:00\n", False),
+        ("2026-03-01T08:00:00Z\n", False),
+        ("2026-03-01\n", False),
+        ("2026-03-01|08:00", True),
+        ("2026-03-01|08:00:00+01:00", True),
+        ("|".join("1" * 17), False),
+        ("2026-W09-7T08:00", True),
+    ],
+)
+def test_ends_and_separators_of_times(spark, stamp, ok):
+    assert (faults(spark, dict(GOOD, timestamp=stamp)) == [[]]) is ok
+
+
 def test_last_of_duplicate_keys_counts(spark):
     raw = json.dumps(GOOD)[:-1] + ', "event_type": "signup"}'
     df = spark.createDataFrame([(raw,)], "raw string")
@@ -104,19 +120,24 @@ def events_file(tmp_path, rows, name="in.jsonl"):
 
 
 def sample():
-    """Eight good events and two bad ones, shaped like the published transcript."""
-    plan = [
-        ("alice", "page_view", None), ("alice", "click", None), ("bob", "page_view", None),
-        ("alice", "purchase", 29.99), ("carol", "signup", None), ("bob", "purchase", 9.5),
-        ("carol", "click", None), ("alice", "click", None),
-    ]
-    rows = [
-        {"event_id": f"e{i}", "user_id": u, "event_type": t,
-         "timestamp": f"2026-07-25T10:{i:02d}:00Z", **({} if v is None else {"value": v})}
-        for i, (u, t, v) in enumerate(plan, 1)
-    ]
-    rows.append(dict(rows[0], event_id="e9", event_type="burst"))
-    rows.append(dict(rows[3], event_id="e10", timestamp="whenever"))
+    """Eight good events, then one of an unknown type and one without a time."""
+    rows = []
+
+    def add(user, kind, **more):
+        n = len(rows) + 1
+        rows.append({"event_id": f"e{n}", "user_id": user, "event_type": kind,
+                     "timestamp": f"2024-11-05T23:{3 * n:02d}:30+01:00"} | more)
+
+    add("dora", "signup")
+    add("emil", "click")
+    add("emil", "purchase", value=12.25)
+    add("finn", "page_view")
+    add("emil", "click")
+    add("dora", "purchase", value=7.0)
+    add("emil", "purchase", value=30.5)
+    add("finn", "signup")
+    add("finn", "hover")
+    add("dora", "click", timestamp="soon")
     return rows
 
 
@@ -133,11 +154,11 @@ def test_sample_end_to_end(spark, tmp_path):
     assert load_records(log.read(), table) == (8, 0, 0)
     events = table.read()
     assert [tuple(r) for r in A.count_by_event_type(events).collect()] == [
-        ("click", 3), ("page_view", 2), ("purchase", 2), ("signup", 1)]
+        ("purchase", 3), ("click", 2), ("signup", 2), ("page_view", 1)]
     assert [tuple(r) for r in A.top_users(events).collect()] == [
-        ("alice", 4), ("bob", 2), ("carol", 2)]
+        ("emil", 4), ("dora", 2), ("finn", 2)]
     assert A.event_count(events).first()[0] == 8
-    assert A.total_purchase_value(events).first().total == 39.49
+    assert A.total_purchase_value(events).first().total == 49.75
     assert A.analytics_report(events).count() == 1 + 4 + 3 + 1
 
 

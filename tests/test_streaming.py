@@ -57,7 +57,7 @@ def test_ingest_and_load(spark, tmp_path):
         return tuple(loads.agg(F.sum("written"), F.sum("skipped"), F.sum("duplicates")).first())
 
     assert load() == (8, 0, 1)
-    assert {r.user_id for r in table.read().where("event_id = 'e1'").collect()} == {"alice"}
+    assert {r.user_id for r in table.read().where("event_id = 'e1'").collect()} == {"dora"}
     # Nothing new: both queries stop without changing a thing.
     ingest()
     assert load() == (8, 0, 1) and log.size() == 9
@@ -125,14 +125,14 @@ def test_stream_equals_batch(spark, tmp_path, files, per_batch):
 
 def test_state_outlives_the_query(spark, tmp_path):
     story = drain_story()
-    land(tmp_path / "in", story[:6], 1)
+    land(tmp_path / "in", story[:5], 1)
     first, _, _ = stream_detect(spark, tmp_path, str(tmp_path / "in"), None)
     assert first.read().count() == 3
-    land(tmp_path / "in", story[6:], 1, first=5)
+    land(tmp_path / "in", story[5:], 1, first=5)
     alerts, holds, flags = stream_detect(spark, tmp_path, str(tmp_path / "in"), None)
     assert {(r.txn_id, r.rule, r.reason) for r in alerts.read().collect()} == set(STORY_ALERTS)
-    assert sorted(r.txn_id for r in holds.read().collect()) == ["t7", "t8"]
-    assert [r.account_id for r in flags.read().collect()] == ["victim"]
+    assert sorted(r.txn_id for r in holds.read().collect()) == ["s1", "s2"]
+    assert [r.account_id for r in flags.read().collect()] == ["acc-7"]
 
 
 def test_whole_runs(spark, tmp_path):
@@ -142,7 +142,7 @@ def test_whole_runs(spark, tmp_path):
         run = run_events(spark, events, *paths)
         assert (run.accepted, run.rejected, run.loaded) == (8, 2, (8, 0, 0))
     values = {(r.metric, r.key): r.value for r in event_report(spark, paths[1]).collect()}
-    assert values["total_purchase_value", "all"] == 39.49 and values["top_users", "alice"] == 4
+    assert values["total_purchase_value", "all"] == 49.75 and values["top_users", "emil"] == 4
     kept_on = run_events(spark, events, *paths, reset=False)
     assert kept_on.loaded == (0, 0, 8) and RecordLog(spark, paths[0]).size() == 16
     story = land(tmp_path / "story", drain_story(), 1)
@@ -184,3 +184,26 @@ def test_micro_batch_that_died_before_its_commit(spark, tmp_path):
     for checkpoint in ("ck1", "ck2"):
         forget_last_commit(tmp_path / checkpoint)
     assert run() == first and len(first[1]) == 8
+
+
+def test_a_file_much_older_than_the_rest_is_read(spark, tmp_path):
+    log = RecordLog(spark, str(tmp_path / "log"))
+    paths = [str(tmp_path / n) for n in ("rejects", "counts", "ck")]
+    for first in (0, -30 * 86_400):
+        landing = land(tmp_path / "in", [dict(GOOD, event_id=f"at{first}")], 1, first=first)
+        S.ingest(spark, landing, log, *paths).awaitTermination()
+    assert log.size() == 2
+
+
+@pytest.mark.parametrize("per_batch", [1, None])
+def test_order_is_by_time_whatever_the_names(spark, tmp_path, per_batch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n, name in enumerate(("z", "m", "a")):
+        path = folder / name
+        path.write_text(json.dumps(dict(GOOD, event_id=name)))
+        os.utime(path, (1_700_000_000 + n,) * 2)
+    log = RecordLog(spark, str(tmp_path / "log"))
+    paths = [str(tmp_path / n) for n in ("rejects", "counts", "ck")]
+    S.ingest(spark, str(folder), log, *paths, files_per_batch=per_batch).awaitTermination()
+    assert [json.loads(r.raw)["event_id"] for r in log.read().orderBy("offset").collect()] == ["z", "m", "a"]
