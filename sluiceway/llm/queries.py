@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
+from . import chunking, jaccard, leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
 from .common import new_folder, table
 
 
@@ -25,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk_dedup(table(spark, folder, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.train(docs, table(spark, folder, "labels"))
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_line_dedup": op2_line_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_html_extraction": op6_html_extraction,

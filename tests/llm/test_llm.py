@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 import public_tokenizers
 
-from sluiceway.llm import common, jaccard, leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
+from sluiceway.llm import chunking, common, jaccard, leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
 
 WORDS = "mill barn sluice weir pond gate wheel race stone flour grain sack cart mule road ford".split()
 
@@ -47,6 +47,7 @@ def small_chunks(monkeypatch):
     few = lambda docs, i, t, size=0: pack(docs, i, t, 4000)
     monkeypatch.setattr(jaccard, "pack_docs", few)
     monkeypatch.setattr(suffixes, "pack_docs", few)
+    monkeypatch.setattr(chunking, "pack_docs", few)
 
 
 def _shingle_sets(frame):
@@ -113,6 +114,34 @@ def test_repeated_bytes(corpus, small_chunks):
     assert len(got) == len(frame)
 
 
+def test_chunk_dedup(corpus, small_chunks):
+    df, frame = corpus
+    got = chunking.chunk_dedup(df, with_text=True).toPandas()
+    params, first = chunking.ChunkParams(), {}
+    texts = sorted((i, (t or "").encode()) for i, t in set(zip(frame.doc_id, frame.text)))
+    for i, b in texts:
+        ends = chunking.cut_places(b, params)
+        kept = b""
+        for n, (a, z) in enumerate(zip([0, *ends], ends)):
+            part = b[a:z]
+            if len(part) < params.least or first.setdefault(part, (i, n)) == (i, n):
+                kept += part
+        rows = got[got.doc_id == i]
+        assert {bytes(k) for k in rows.kept} == {kept} and set(rows.n_chunks) == {len(ends)}
+    assert len(got) == len(frame) and got.n_removed.sum() > 100
+
+
+def test_cuts_return_after_an_insertion():
+    text = _text(np.random.default_rng(1), 2000).encode()
+    params = chunking.ChunkParams()
+
+    def parts(b):
+        ends = chunking.cut_places(b, params)
+        return {b[a:z] for a, z in zip([0, *ends], ends)}
+
+    assert len(parts(text) & parts(text[:500] + b"inserted" + text[500:])) > 0.95 * len(parts(text))
+
+
 def test_merge_runs():
     rng = np.random.default_rng(1)
     for k in (1, 2, 3, 7):
@@ -324,6 +353,7 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard.jaccard_groups(docs).count() == 0
     assert suffixes.repeated_bytes(docs).count() == 0
+    assert chunking.chunk_dedup(docs).count() == 0
     assert lines.line_dedup(docs).count() == 0
     folder = common.new_folder(spark, "ids")
     tokens.write_ids(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
