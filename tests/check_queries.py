@@ -58,6 +58,8 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     sqls = E.oracle_sql()
     for name, query in E.queries().items():
+        if name not in sqls:
+            continue
         if len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
         start = time.time()
