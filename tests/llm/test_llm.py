@@ -359,3 +359,12 @@ def test_empty_tables(spark):
     tokens.write_ids(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
     assert tokens.read_ids(spark, folder).count() == 0
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_line_dedup_against_its_sql(spark):
+    from check_queries import compare
+
+    from sluiceway.llm import queries
+
+    name, folder = "op2_line_dedup", "/root/testdata/sf0.001"
+    assert compare(spark, folder, name, queries.queries()[name], queries.oracle_sql()[name]).startswith("ok")
