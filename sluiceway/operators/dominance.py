@@ -43,6 +43,36 @@ def _before(weight: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _spans(weight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each query: the sum over start <= j < end, from rows of that range alone.
+
+    Whole numbers are differences of running sums. With doubles a huge row before the
+    range would swallow the digits of those in it, so they are added up as a tree of
+    pairs and each query takes the nodes that make up its range.
+    """
+    if weight.dtype.kind != "f":
+        sums = _before(weight)
+        return sums[end] - sums[start]
+    total = np.zeros(len(start))
+    if not weight.any():
+        return total
+    low, high = start.copy(), np.maximum(start, end)
+    with np.errstate(over="ignore"):
+        while (low < high).any():
+            left = (low & 1 == 1) & (low < high)
+            total[left] += weight[low[left]]
+            low += left
+            right = (high & 1 == 1) & (low < high)
+            high -= right
+            total[right] += weight[high[right]]
+            low >>= 1
+            high >>= 1
+            if len(weight) & 1:
+                weight = np.append(weight, 0.0)
+            weight = weight[::2] + weight[1::2]
+    return total
+
+
 def _descend(
     key: np.ndarray, weights: list[np.ndarray], start: np.ndarray, end: np.ndarray
 ) -> list[np.ndarray]:
@@ -64,9 +94,7 @@ def _descend(
         at_start, at_end = lows[start], lows[end]
         takes = (own >> bit) & 1 == 1
         for total, weight in zip(found, weights):
-            sums = _before(np.where(low, weight, 0))
-            with np.errstate(invalid="ignore", over="ignore"):
-                total[takes] += sums[end[takes]] - sums[start[takes]]
+            total[takes] += _spans(np.where(low, weight, 0), start[takes], end[takes])
         start = np.where(takes, lows[-1] + start - at_start, at_start)
         end = np.where(takes, lows[-1] + end - at_end, at_end)
         moved = np.concatenate([np.flatnonzero(low), np.flatnonzero(~low)])
@@ -79,18 +107,7 @@ def range_sums(
     weights: list[np.ndarray], start: np.ndarray, end: np.ndarray
 ) -> list[np.ndarray]:
     """For each query: sums over start <= j < end."""
-    found = []
-    for w in weights:
-        sums = _before(w)
-        with np.errstate(invalid="ignore", over="ignore"):
-            total = sums[end] - sums[start]
-        if w.dtype.kind == "f" and w.any():
-            # Differences of running sums leave dust where a range holds only zeros.
-            held = _before((w != 0).astype(np.int64))
-            total[held[end] == held[start]] = 0.0
-            total[np.isnan(total)] = np.inf
-        found.append(total)
-    return found
+    return [_spans(w, start, end) for w in weights]
 
 
 def earlier_sums(
@@ -111,18 +128,12 @@ def earlier_sums(
         covered = np.cumsum(edges[:-1]) > 0
         place = _before(covered.astype(np.int64))
         live = [i for i, w in enumerate(weights) if w[covered].any()]
-        floats = [i for i in live if weights[i].dtype.kind == "f"]
         sums = _descend(
             key[covered],
-            [weights[i][covered] for i in live]
-            + [(weights[i][covered] != 0).astype(np.int64) for i in floats],
+            [weights[i][covered] for i in live],
             place[start[mixed]],
             place[here[mixed]],
         )
-        for i, held in zip(floats, sums[len(live) :]):
-            total = sums[live.index(i)]
-            total[held == 0] = 0.0
-            total[np.isnan(total)] = np.inf
         for i, s in zip(live, sums):
             found[i][mixed] = s
     return found

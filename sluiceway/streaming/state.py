@@ -80,7 +80,7 @@ class AccountHistory(StatefulProcessor):
     def _history(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         past = self.totals.get() if self.known else (0, 0, 0, 0.0, 0.0)
         ends = [np.cumsum(p) + s for p, s in zip(parts, past)]
-        before = [e - p for e, p in zip(ends, parts)]
+        before = [np.append(p.dtype.type(s), e[:-1]) for p, s, e in zip(parts, past, ends)]
         self.totals.update(tuple(e[-1].item() for e in ends))
         count = before[0]
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -112,8 +112,9 @@ class AccountHistory(StatefulProcessor):
         amount = new["amount"].to_numpy()
         stored = {}
         for b in np.union1d(bucket, bucket - 1).tolist() if self.known else ():
-            if self.recent.containsKey((b,)):
-                old_ts, old_amount = self.recent.getValue((b,))
+            found = self.recent.getValue((b,))
+            if found is not None:
+                old_ts, old_amount = found
                 stored[b] = (np.frombuffer(old_ts, np.int64), np.frombuffer(old_amount, float))
         if stored:
             # Everything stored arrived earlier, so only event time decides.

@@ -249,6 +249,27 @@ def test_huge_amounts_do_not_disturb_others(spark):
     assert [t for t, _ in hits] == ["a", "d"]
 
 
+def test_totals_above_the_exact_range_are_each_accounts_own(spark):
+    for neighbour in (1e30, float("inf")):
+        rows = [transfer("n1", "a", amount=neighbour), transfer("b1", "b", amount=2e12),
+                transfer("b2", "b", amount=2e12, at="12:01:00Z"),
+                transfer("b3", "b", amount=1e30, at="11:00:00Z"),
+                transfer("b4", "b", amount=2e12, at="12:02:00Z")]
+        df = spark.createDataFrame(
+            [(i, r["txn_id"], r["account_id"], r["payee_id"], r["amount"], r["timestamp"])
+             for i, r in enumerate(rows)],
+            "offset bigint, txn_id string, account_id string, payee_id string, amount double, "
+            "timestamp string",
+        )
+        stamp = F.col("timestamp").cast("timestamp")
+        df = df.withColumn("ts", F.unix_micros(stamp)).withColumn("hour", F.lit(12))
+        df = df.withColumn("minute", F.lit(0))
+        for skew in (SkewParams(), SkewParams(hot_rows=0, block_rows=2, slices=2)):
+            got = {r.txn_id: r.win_total for r in features(df, skew=skew).collect()}
+            assert got["b1"] == 2e12 and got["b2"] == 4e12 and got["b4"] == 6e12
+            assert got["b3"] == 1e30 and got["n1"] == neighbour
+
+
 def test_money_text_rounds_like_the_exact_value(spark):
     from sluiceway.operators.rules import _money
 

@@ -21,6 +21,25 @@ def test_earlier_sums(rows):
     assert np.allclose(got[1], np.array(want) / 8.0)
 
 
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(
+        st.tuples(
+            st.integers(0, 9), st.integers(0, 30), st.sampled_from([0.0, 2e12, 1e30, np.inf])
+        ),
+        max_size=60,
+    )
+)
+def test_doubles_outside_a_range_leave_no_trace(rows):
+    key = np.array([k for k, _, _ in rows], np.int64)
+    start = np.array([min(s, i) for i, (_, s, _) in enumerate(rows)], np.int64)
+    weight = np.array([w for _, _, w in rows], float)
+    (got,) = D.earlier_sums(key, start, [weight])
+    for i in range(len(rows)):
+        want = sum(weight[j] for j in range(start[i], i) if key[j] < key[i])
+        assert got[i] == want or abs(got[i] - want) <= 1e-14 * want
+
+
 @given(
     st.lists(st.tuples(st.integers(0, 3), st.integers(-50, 50)), min_size=1, max_size=60),
     st.sampled_from([0, 1, 7, 10**6, 10**18]),
