@@ -1,13 +1,13 @@
 """Streaming twins of the batch runs.
 
-Each query owns a checkpoint. The batches it writes are named after the checkpoint and
-the micro-batch number, so a micro-batch that runs again after a failure replaces what
-it left. A new checkpoint replays from the start, as another consumer.
+Each query owns a checkpoint. The batches it writes are named after the query id the
+checkpoint holds and the micro-batch number, so a micro-batch that runs again after a
+failure replaces what it left. A new checkpoint, at whatever path, replays from the
+start, as another consumer.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -33,11 +33,16 @@ from sluiceway.streaming.state import FEATURES, AccountHistory, numbered
 
 # Take what has landed and stop; {"processingTime": "5 seconds"} keeps a query running.
 WHAT_IS_THERE = {"availableNow": True}
+# Set by Spark on the thread that runs a micro-batch.
+QUERY_ID = "sql.streaming.queryId"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _name(checkpoint: str, batch_id: int) -> str:
-    return f"{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}-{batch_id}"
+def _name(spark: SparkSession, batch_id: int) -> str:
+    query_id = spark.sparkContext.getLocalProperty(QUERY_ID)
+    if not query_id:
+        raise RuntimeError("a micro-batch has to run on the thread of its query")
+    return f"{query_id}-{batch_id}"
 
 
 def _write_counts(spark: SparkSession, path: str, name: str, counts: dict[str, int]) -> None:
@@ -65,7 +70,7 @@ def ingest(
     spark.conf.set(DUPLICATE_KEYS_CONF, "true")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        name = _name(checkpoint, batch_id)
+        name = _name(batch.sparkSession, batch_id)
         checked = validate_events(batch, rules).persist()
         try:
             appended = log.append(accepted(checked), source=name)
@@ -105,7 +110,7 @@ def load(
     spark.conf.set(DUPLICATE_KEYS_CONF, "true")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        name = _name(checkpoint, batch_id)
+        name = _name(batch.sparkSession, batch_id)
         new = [r.batch_id for r in batch.select("batch_id").collect()]
         records = log.read().where(F.col("batch_id").isin(new))
         loaded = load_records(records, table, rules, batch=name)
@@ -172,7 +177,7 @@ def detect(
     use_rocksdb(spark)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        name = _name(checkpoint, batch_id)
+        name = _name(batch.sparkSession, batch_id)
         arrival = F.struct("src_file", "src_block", "src_row").alias("offset")
         scored = stage(
             score(batch, params, scoring).select(

@@ -195,6 +195,19 @@ def test_a_file_much_older_than_the_rest_is_read(spark, tmp_path):
     assert log.size() == 2
 
 
+def test_a_checkpoint_is_known_by_its_id_not_its_path(spark, tmp_path):
+    log = RecordLog(spark, str(tmp_path / "log"))
+    landing = land(tmp_path / "in", [dict(GOOD, event_id="a")], 1)
+    paths = [str(tmp_path / n) for n in ("rejects", "counts", "ck")]
+    S.ingest(spark, landing, log, *paths).awaitTermination()
+    forget_last_commit(tmp_path / "ck")
+    paths[-1] += "/"
+    S.ingest(spark, landing, log, *paths).awaitTermination()
+    assert log.size() == 1
+    (name,) = [r.source for r in log.commits().collect()]
+    assert name == json.loads((tmp_path / "ck" / "metadata").read_text())["id"] + "-0"
+
+
 @pytest.mark.parametrize("per_batch", [1, None])
 def test_order_is_by_time_whatever_the_names(spark, tmp_path, per_batch):
     folder = tmp_path / "in"
