@@ -14,6 +14,8 @@ from .common import ship
 #: Lines in a block, and the text length of a block from which it counts as content.
 WIDTH = 3
 SURGE = 80
+#: How often a character inside <article> or <main> counts.
+MARK = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -60,11 +62,11 @@ def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
     return False
 
 
-def blocks_of(html: str) -> list[tuple[str, bool]]:
-    """The page's blocks in order: text, '' where something was taken out, and whether in the article."""
-    blocks: list[tuple[str, bool]] = []
+def blocks_of(html: str) -> list[tuple[str, int]]:
+    """The page's blocks in order: text, '' where something was taken out, and the article's number or 0."""
+    blocks: list[tuple[str, int]] = []
     part: list[str] = []
-    skip, depth, main = "", 0, 0
+    skip, depth, main, articles = "", 0, 0, 0
     at = 0
 
     def close() -> None:
@@ -72,7 +74,7 @@ def blocks_of(html: str) -> list[tuple[str, bool]]:
             text = " ".join(unescape("".join(part)).split())
             part.clear()
             if text:
-                blocks.append((text, main > 0))
+                blocks.append((text, articles if main else 0))
 
     for m in _TOKEN.finditer(html):
         if not skip and m.start() > at:
@@ -103,9 +105,10 @@ def blocks_of(html: str) -> list[tuple[str, bool]]:
             continue
         elif _is_noise(tag, m.group(4), main > 0):
             skip, depth = tag, 1
-            blocks.append(("", main > 0))
-        else:
-            main += tag in _MAIN
+            blocks.append(("", articles if main else 0))
+        elif tag in _MAIN:
+            articles += main == 0
+            main += 1
     if not skip and at < len(html):
         # a tag that the page's end cuts off is no text
         part.append(re.sub(r"<[a-zA-Z/!?][^<]*\Z", "", html[at:]))
@@ -117,22 +120,40 @@ def main_text(html: str | None) -> str:
     """The blocks between surges and dives of the block distribution, joined by one space.
 
     Line i's block is the text of lines i to i + WIDTH - 1. The text surges where a block
-    reaches SURGE, and dives where a whole block is empty. Where the page marks its
-    article, lines outside count nothing and all between its first surge and last dive
-    is kept. Elsewhere the stretch with most text is taken, with the others of at least
-    a quarter as much.
+    reaches SURGE, and dives where a whole block is empty. Lines outside articles are one
+    sequence, in which articles leave no gap. Each article is one of its own, where a
+    character counts MARK times; its tags are its surge and dive if its text surges
+    anywhere. The stretch with the highest count is taken, with the others of at least a
+    quarter as much, so one outside stays if it is as long as the longest article.
     """
     if not html:
         return ""
     blocks = blocks_of(html)
-    marked = any(inside and text for text, inside in blocks)
-    sizes = [len(text) if inside or not marked else 0 for text, inside in blocks]
+    lines: dict[int, list[int]] = {}
+    for i, (_, article) in enumerate(blocks):
+        lines.setdefault(article, []).append(i)
+    runs: list[tuple[list[int], int]] = []
+    for article, own in lines.items():
+        sizes = [len(blocks[i][0]) * (MARK if article else 1) for i in own]
+        found = _stretches(sizes)
+        if article and found:
+            found = [(0, len(own))]
+        runs += [(own[a:z], sum(sizes[a:z])) for a, z in found]
+    if runs:
+        most = max(size for _, size in runs)
+        taken = sorted(i for own, size in runs if 4 * size >= most for i in own)
+    else:
+        inside = sum(len(text) for text, article in blocks if article)
+        outside = sum(len(text) for text, article in blocks if not article)
+        taken = [i for i, (_, article) in enumerate(blocks) if article or MARK * inside < outside]
+    return " ".join(blocks[i][0] for i in taken if blocks[i][0])
+
+
+def _stretches(sizes: list[int]) -> list[tuple[int, int]]:
+    """(surge, dive) of each stretch of lines."""
     n = len(sizes)
     total = [sum(sizes[i : i + WIDTH]) for i in range(n)]
-    if marked:
-        with_text = [i for i in range(n) if sizes[i]]
-        return " ".join(blocks[i][0] for i in range(with_text[0], with_text[-1] + 1) if sizes[i])
-    runs: list[tuple[int, int, int]] = []
+    found = []
     i = 0
     while i < n:
         if total[i] < SURGE:
@@ -141,14 +162,9 @@ def main_text(html: str | None) -> str:
         end = i
         while end < n and total[end] > 0:
             end += 1
-        runs.append((i, end, sum(sizes[i:end])))
+        found.append((i, end))
         i = end
-    if not runs:
-        return " ".join(text for text, _ in blocks if text)
-    most = max(r[2] for r in runs)
-    return " ".join(
-        blocks[i][0] for a, z, size in runs if 4 * size >= most for i in range(a, z) if sizes[i]
-    )
+    return found
 
 
 def extract_pages(

@@ -250,6 +250,16 @@ def test_main_text_without_marks():
     assert pages.main_text(page).endswith("3") and pages.main_text(page).count("word") == 120
 
 
+def test_main_text_beside_a_marked_teaser():
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(4))
+    teaser = "<article><h2>More</h2><p>read this one as well</p></article>"
+    for page in (teaser + f"<div>{body}</div>", f"<div>{body}</div>" + teaser, body[:300] + "</p>" + teaser + body):
+        assert pages.main_text(page).count("word") >= 120
+    article = f"<article><h1>T</h1>{body}</article>"
+    text = pages.main_text("<div>Home</div>" + article + f"<div>{'Terms of use. ' * 20}</div>")
+    assert text.startswith("T word") and text.endswith("word 3")
+
+
 def test_id_files_round_trip():
     rng = np.random.default_rng(4)
     for n in (0, 1, 255, 256, 257, 65_536, 70_001):
