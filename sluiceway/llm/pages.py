@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -36,6 +37,27 @@ _INLINE = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = frozenset("nav footer aside form menu dialog head".split())
 _MAIN = frozenset("article main".split())
+_CELLS = ("td", "th", "caption")
+_TABLE = frozenset("tr td th thead tbody tfoot caption colgroup".split())
+_IN_HEAD = frozenset("head meta link base basefont bgsound".split())
+#: Start tags that end an open <p>, and those that end others: which, and within what.
+_ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()
+)
+_IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu", *_CELLS)),
+    "dt": (("dt", "dd"), ("dl", *_CELLS)),
+    "dd": (("dt", "dd"), ("dl", *_CELLS)),
+    "td": (("td", "th", "caption", "colgroup"), ("table",)),
+    "th": (("td", "th", "caption", "colgroup"), ("table",)),
+    "tr": (("tr", "caption", "colgroup"), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "caption", "colgroup"), ("table",)),
+    "thead": (("thead", "tbody", "tfoot", "tr", "caption", "colgroup"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "caption", "colgroup"), ("table",)),
+    "option": (("option",), ("datalist", *_CELLS)),
+    "optgroup": (("option", "optgroup"), ("datalist", *_CELLS)),
+}
 _NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies "
@@ -63,57 +85,130 @@ def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
 
 
 def blocks_of(html: str) -> list[tuple[str, int]]:
-    """The page's blocks in order: text, '' where something was taken out, and the article's number or 0."""
+    """The page's blocks in order: text, '' where something was taken out, and the article's number or 0.
+
+    What its name marks as noise is taken out, but not what holds more than half of the
+    page's text (of a footer and the like, half of the text in articles). There, text in
+    links does not count, and in articles it counts MARK times.
+    """
     blocks: list[tuple[str, int]] = []
+    counts: list[int] = []  # what each block's text counts
+    # of each element named so its first block, the one after its last, and whether its tag says it
+    noise: list[list[int]] = []
     part: list[str] = []
-    skip, depth, main, articles = "", 0, 0, 0
-    at = 0
+    at, main, articles, marked = 0, 0, 0, 0
+    linked, in_link = 0, False
+    # open elements: tag, and the number of its noise or -1; and where each tag is open
+    stack: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = {}
 
     def close() -> None:
+        nonlocal linked
         if part:
             text = " ".join(unescape("".join(part)).split())
             part.clear()
             if text:
                 blocks.append((text, articles if main else 0))
+                counts.append(max(0, len(text) - linked) * (MARK if main else 1))
+        linked = 0
+
+    def put(text: str) -> None:
+        nonlocal linked
+        part.append(text)
+        if in_link:
+            linked += len(text)
+
+    def end(tags: tuple[str, ...], inside: tuple[str, ...]) -> None:
+        """Close the outermost of `tags` that is open within the innermost of `inside`, and all in it."""
+        nonlocal main, marked
+        if not any(map(where.get, tags)):
+            return
+        least = max((where[t][-1] for t in inside if where.get(t)), default=-1)
+        to = min((where[t][-1] for t in tags if where.get(t) and where[t][-1] > least), default=len(stack))
+        while len(stack) > to:
+            tag, nth = stack.pop()
+            where[tag].pop()
+            if tag in _MAIN or nth >= 0:
+                close()
+            main -= tag in _MAIN
+            if nth >= 0:
+                noise[nth][1] = len(blocks)
+                marked -= tag in _INLINE
 
     for m in _TOKEN.finditer(html):
-        if not skip and m.start() > at:
-            part.append(html[at : m.start()])
+        if m.start() > at:
+            put(html[at : m.start()])
         at = m.end()
         tag = m.group(3)
         if tag is None:
-            if m.group(1) and not skip:
+            if m.group(1):
                 part.append(" ")
             continue
-        tag = tag.lower()
+        tag, attributes = tag.lower(), m.group(4)
         ending = bool(m.group(2))
-        if skip:
-            if tag == skip and tag not in _VOID and not m.group(4).endswith("/"):
-                depth += -1 if ending else 1
-                if depth == 0:
-                    skip = ""
-            continue
+        alone = tag in _VOID or attributes.endswith("/")
+        if tag == "a":
+            in_link = not ending and "href" in attributes.lower()
         if tag in _INLINE:
             if tag == "br":
                 part.append(" ")
-            if ending or not _is_noise(tag, m.group(4), main > 0) or tag in _VOID:
-                continue
+            if ending:
+                end((tag,), _CELLS)
+            elif not alone:
+                is_noise = _is_noise(tag, attributes, main > 0)
+                if is_noise:
+                    close()
+                    noise.append([len(blocks), -1, 0])
+                    marked += 1
+                if marked:
+                    where.setdefault(tag, []).append(len(stack))
+                    stack.append((tag, len(noise) - 1 if is_noise else -1))
+            continue
         close()
         if ending:
-            main -= tag in _MAIN and main > 0
-        elif tag in _VOID or m.group(4).endswith("/"):
+            if not alone:
+                end((tag,), () if tag in _MAIN or tag == "table" else ("table",) if tag in _TABLE else _CELLS)
+            continue
+        if tag in _ENDS_P:
+            end(("p",), _CELLS)
+        if tag in _IMPLIED:
+            end(*_IMPLIED[tag])
+        if where.get("head") and tag not in _IN_HEAD:
+            end(("head",), ())
+        if alone or tag in ("html", "body"):
             continue
-        elif _is_noise(tag, m.group(4), main > 0):
-            skip, depth = tag, 1
-            blocks.append(("", articles if main else 0))
-        elif tag in _MAIN:
+        is_noise = _is_noise(tag, attributes, main > 0)
+        if is_noise:
+            noise.append([len(blocks), -1, tag in _ASIDE and tag != "form"])
+        where.setdefault(tag, []).append(len(stack))
+        stack.append((tag, len(noise) - 1 if is_noise else -1))
+        if tag in _MAIN:
             articles += main == 0
             main += 1
-    if not skip and at < len(html):
+    if at < len(html):
         # a tag that the page's end cuts off is no text
-        part.append(re.sub(r"<[a-zA-Z/!?][^<]*\Z", "", html[at:]))
+        put(re.sub(r"<[a-zA-Z/!?][^<]*\Z", "", html[at:]))
     close()
-    return blocks
+    return _without(blocks, counts, noise)
+
+
+def _without(
+    blocks: list[tuple[str, int]], counts: list[int], noise: list[list[int]]
+) -> list[tuple[str, int]]:
+    """`blocks` with '' for each outermost noise that holds no more than half of what counts."""
+    every = [0, *accumulate(counts)]
+    inside = [0, *accumulate(c if article else 0 for c, (_, article) in zip(counts, blocks))]
+    kept: list[tuple[str, int]] = []
+    done = 0
+    for a, z, by_tag in noise:
+        z = len(blocks) if z < 0 else z
+        upto = inside if by_tag else every
+        if a < done or 2 * (upto[z] - upto[a]) > upto[-1]:
+            continue
+        kept += blocks[done:a]
+        kept.append(("", blocks[a][1] if a < len(blocks) else 0))
+        done = z
+    return kept + blocks[done:]
 
 
 def main_text(html: str | None) -> str:

@@ -260,6 +260,36 @@ def test_main_text_beside_a_marked_teaser():
     assert text.startswith("T word") and text.endswith("word 3")
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [("<div class='page has-sidebar'>", "</div>"), ("<div id=wrapper class='no-sidebar'>", "</div>"), ("<form id=login>", "</form>")],
+)
+def test_main_text_in_an_element_named_as_noise(start, end):
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(4))
+    side = "<div class=sidebar>side</div><p class=ad>buy</p>"
+    for page in (f"<article>{body}</article>", f"<div>{body}</div>"):
+        text = pages.main_text(f"<nav>n</nav>{start}{side}{page}{side}{end}<footer>f</footer>")
+        assert text.count("word") == 120 and "side" not in text and "buy" not in text
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p class=notice>n<p>one<p>two</article>", "one two"),
+        ("<article><p class=ad>n<div>one</div><p>two</article>", "one two"),
+        ("<div><p class=ad>n</div><article>one</article>", "one"),
+        ("<article><ul><li class=menu>n<ul><li>m</ul><li>one<li>two</ul>three</article>", "one two three"),
+        ("<article><table><tr><td class=ad>n<td>one<tr class=ad><td>m<tr><td>two</table>three</article>", "one two three"),
+        ("<article><dl><dt class=ad>n<dd>one<dd class=ad>m<dt>two</dl>three</article>", "one two three"),
+        ("<article><datalist><option class=ad>n<option>one</datalist>two</article>", "one two"),
+        ("<article>one <span class=ad>n <span>m</span> o</span> two</article>", "one two"),
+        ("<head><meta name=x><body><article>one</article>", "one"),
+    ],
+)
+def test_main_text_after_noise_without_an_end_tag(html, text):
+    assert pages.main_text(html) == text
+
+
 def test_id_files_round_trip():
     rng = np.random.default_rng(4)
     for n in (0, 1, 255, 256, 257, 65_536, 70_001):
