@@ -228,6 +228,27 @@ def test_vectors_against_brute_force(spark):
     assert (got.loc[9000:, "n_links"] == 0).all() and got.loc[9000:, "kept"].all()
 
 
+@pytest.mark.parametrize("audit, few", [(4096, 8), (500, 8), (500, 0)])
+def test_vectors_of_one_crowded_topic(spark, audit, few):
+    """Pairs among vectors of mutual cosine 0.8, far more than passes and window reach."""
+    rng = np.random.default_rng(4)
+    topic, n = rng.standard_normal(64), 1500
+    x = 2 * topic / np.linalg.norm(topic) + rng.standard_normal((n, 64)) / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:300] = x[300:600] + rng.standard_normal((300, 64)) * 0.2 / 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    params = vectors.VectorParams(passes=2, window=2, block=64, audit=audit, rounds=3, few=few)
+    got = vectors.near_vectors(df, params).toPandas().set_index("vec_id").sort_index()
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert 300 <= near.sum() / 2 < 400
+    assert got.n_links.tolist() == near.sum(1).tolist()
+    low = _components(range(n), list(zip(*np.nonzero(near))))
+    assert got.component_id.tolist() == [low[i] for i in range(n)]
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
