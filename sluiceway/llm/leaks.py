@@ -189,7 +189,7 @@ class Index:
                 yield i * self.longest, np.unique(term[edges[i] : edges[i + 2]]).tolist()
 
     def leaks(self, text: str) -> list[tuple[int, float, float, float, float]]:
-        """(item, score, question, answer and whole overlap), the best passage of each verified item.
+        """(item id, score, question, answer and whole overlap), the best passage of each verified id.
 
         Passages are windows of twice the longest item's words that overlap by half, so
         every item that stands in the text lies whole in one of them.
@@ -198,6 +198,7 @@ class Index:
         if not words or not self.longest:
             return []
         limit = self.params.threshold - 1e-9
+        # by id, whose texts may be several
         best: dict[int, tuple] = {}
         for a, own in self._passages(words, limit - 1e-4):
             z = a + 2 * self.longest
@@ -214,8 +215,9 @@ class Index:
                 p = self.params
                 if min(question, answer) >= p.overlap or whole >= p.whole:
                     row = (whole, score, question, answer)
-                    best[item] = max(best.get(item, row), row)
-        return [(self.ids[i], s, q, w_a, w) for i, (w, s, q, w_a) in sorted(best.items())]
+                    item_id = self.ids[item]
+                    best[item_id] = max(best.get(item_id, row), row)
+        return [(i, s, q, w_a, w) for i, (w, s, q, w_a) in sorted(best.items())]
 
 
 def _seek(docs: list[int], at: int, item: int) -> int:
@@ -227,8 +229,8 @@ def _seek(docs: list[int], at: int, item: int) -> int:
 def build_indexes(items: DataFrame, params: LeakParams, id_col: str, text_col: str) -> Iterator[Index]:
     """One index for each `index_bytes` of item texts; counts are over all items.
 
-    Items of one id are one item, of which the smallest text counts; those without an
-    id, a text or a word are left out.
+    Each distinct text of an id is an item of its own, all of one id in one index; those
+    without an id, a text or a word are left out.
     """
     split = lambda batches: (
         pd.DataFrame({"i": b["i"], "t": b["t"], "w": [words_of(t) for t in b["t"]]}) for b in batches
@@ -236,8 +238,7 @@ def build_indexes(items: DataFrame, params: LeakParams, id_col: str, text_col: s
     clean = (
         ship(items).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
         .where("i IS NOT NULL AND t IS NOT NULL")
-        .groupBy("i")
-        .agg(F.min("t").alias("t"))
+        .distinct()
         .mapInPandas(split, "i bigint, t string, w array<binary>")
         .where(F.size("w") > 0)
     )
@@ -250,7 +251,7 @@ def build_indexes(items: DataFrame, params: LeakParams, id_col: str, text_col: s
         part = clean.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == s)
         own = part.select(F.explode("w").alias("w")).distinct()
         df = {bytes(r["w"]): r["df"] for r in counts.join(own, "w", "left_semi").toLocalIterator()}
-        rows = [(r["i"], r["t"]) for r in part.select("i", "t").orderBy("i").toLocalIterator()]
+        rows = [(r["i"], r["t"]) for r in part.select("i", "t").orderBy("i", "t").toLocalIterator()]
         yield Index(rows, n, mean, df, params)
 
 

@@ -386,6 +386,21 @@ def test_leaks(spark):
     assert leaks.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_every_text_of_an_id(spark):
+    rng = np.random.default_rng(12)
+    texts = [_text(rng, 12).capitalize() + " " + _text(rng, 8).capitalize() for _ in range(12)]
+    items = [(i // 3, t) for i, t in enumerate(texts)]
+    docs = [(i, _text(rng, 150) + " " + t + " " + _text(rng, 90)) for i, t in enumerate(texts)]
+    docs.append((50, texts[0] + " " + texts[1]))
+    table = spark.createDataFrame(docs + [(60, "none")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items + items[:2], "item_id bigint, text string")
+    for params in (leaks.LeakParams(), leaks.LeakParams(index_bytes=400)):
+        got = leaks.find_leaks(table, bench, params).toPandas()
+        pairs = list(zip(got.doc_id, got.item_id))
+        assert len(pairs) == len(set(pairs)) and {(i, i // 3) for i in range(12)} | {(50, 0)} <= set(pairs)
+        assert {r.doc_id for r in leaks.drop_leaks(table, bench, params).collect()} == {60}
+
+
 def test_wand_is_exact():
     rng = np.random.default_rng(9)
     items = [(i, _text(rng, int(rng.integers(3, 15)))) for i in range(90)]
