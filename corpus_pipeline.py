@@ -61,8 +61,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", sentencepiece),
 ]
 
-#: The classifier, connected components and the encoder are not SQL; tests hold each stage's
-#: operator against a brute-force version, but do not run the stages of this module.
+#: The classifier, connected components and the encoder are not SQL; a test holds the rows
+#: after every stage against plain Python (of the classifier, those of two classes far apart).
 ORACLE_SQL = None
 
 

@@ -437,6 +437,70 @@ def test_empty_tables(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_pipeline_stages(spark, tmp_path, monkeypatch):
+    """run() and the rows after each stage against plain Python."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(15)
+    items = [(i, _text(rng, 12).capitalize() + " " + _text(rng, 8).capitalize()) for i in range(4)]
+    shared = "\n".join(_text(rng, 9) for _ in range(3))
+    texts = ["\n".join(_text(rng, 20) for _ in range(4)) for _ in range(60)]
+    texts += [" ".join(w.upper() + "!!" for w in rng.choice(WORDS, 60)) for _ in range(60)]
+    texts[3] += "\n" + shared
+    texts[9] += "\n\n" + shared.replace("\n", "\n\n", 1) + "\nend"
+    texts[10] = shared  # nothing is left of it
+    texts[11] = texts[2].replace("\n", " ") + " once more"  # a near copy, as lines another text
+    texts[12] += " " + items[1][1]
+    texts[13] += "\nd\u00e9j\u00e0 vu \U0001f600"
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    labels = [(i, int(i < 60)) for i in range(len(texts))]
+    for name, data, schema in (
+        ("documents", rows, "doc_id bigint, text string, n_chars bigint"),
+        ("labels", labels, "doc_id bigint, quality int"),
+        ("benchmark", items, "item_id bigint, text string"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    seen, plain = {}, corpus_pipeline.stage
+
+    def noted(df, name):
+        out = plain(df, name)
+        seen[name] = sorted((r.doc_id, r.text, r.n_chars) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "stage", noted)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    want = [r for r in rows if r[0] < 60]
+    assert seen["quality_classifier"] == want
+    gone, cut = _line_model([r[:2] for r in want]), []
+    for i, t, n in want:
+        if i in gone:
+            left, j = [], -1  # a blank line goes where the lines before and after it go
+            for x in t.split("\n"):
+                j += bool(x.strip(" "))
+                if not (j in gone[i] and (x.strip(" ") or j + 1 in gone[i])):
+                    left.append(x)
+            t = "\n".join(left)
+        if i not in gone or t.strip(" "):
+            cut.append((i, t, len(t)))
+    assert 10 not in {r[0] for r in cut} and [r for r in cut if r[0] == 9][0][1].endswith(".\n\nend")
+    assert seen["line_dedup"] == cut
+    sets = _shingle_sets(pd.DataFrame(cut, columns=["doc_id", "text", "n_chars"]))
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    low = _components(sorted(sets), linked)
+    single = [r for r in cut if low[r[0]] == r[0]]
+    assert 11 not in {r[0] for r in single} and seen["ngram_jaccard_join"] == single
+    words = lambda t: b" ".join(leaks.words_of(t))
+    clean = [r for r in single if not any(words(t) in words(r[1]) for _, t in items)]
+    assert len(clean) == len(single) - 1 and seen["decontamination"] == clean
+    assert {i: r.text for i, r in got.items()} == {i: t for i, t, _ in clean}
+    model = pieces.encoder(public_tokenizers.path("piece_bpe_32k.model"))
+    for i, t, _ in clean:
+        ids = np.frombuffer(model.encode([t])[0], "<i4").tolist()
+        assert list(got[i].ids) == ids and got[i].n_pieces == len(ids)
+
+
 def test_line_dedup_against_its_sql(spark):
     from check_queries import compare
 
