@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunking, jaccard, leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
+from . import align, chunking, jaccard, leaks, lines, merkle, neighbours, pages, pieces, quality, suffixes, tokens, vectors
 from .common import new_folder, table
 
 
@@ -66,6 +66,25 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return align.align_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row proved against the root, half of them with the line ends of their texts lost."""
+    docs = table(spark, folder, "documents")
+    kept = F.replace("text", F.lit("\n"), F.lit(""))
+    lost = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = [F.when(lost, kept).otherwise(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS]
+    return merkle.manifest(docs, docs.withColumn("_leaf", merkle.row_digest(*found)))
+
+
+def op13_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of each vector whose id 20 divides, by inner product."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -84,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
@@ -134,5 +156,68 @@ FROM d LEFT JOIN full_lines USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JO
 """
 
 
+def _form(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _step(pos: str) -> str:
+    """Siblings of a row's node on a level, `left|right`."""
+    i = f"({pos} // (3 ** level)::BIGINT)"
+    return (
+        f"array_to_string(nodes[{i} // 3 * 3 + 1 : {i}], '') || '|' || "
+        f"array_to_string(nodes[{i} + 2 : {i} // 3 * 3 + 3], '')"
+    )
+
+
+_MERKLE = f"""
+WITH RECURSIVE bit AS (
+  SELECT list(c ORDER BY b) AS crc FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)),
+      lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c
+    FROM (SELECT unnest(range(256)) AS b))
+), d AS (
+  SELECT *, coalesce('=' || source, '') AS g,
+    list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])) % 2 = 1 AS lost
+  FROM documents, bit
+), h AS (
+  SELECT *, sha256(head || {_form('text')}) AS leaf,
+    sha256(head || CASE WHEN lost THEN {_form("replace(text, chr(10), '')")} ELSE {_form('text')} END) AS found
+  FROM (SELECT *, {_form('doc_id')} || {_form('source')} || {_form('lang')} || {_form('n_chars')} AS head FROM d)
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS pos FROM h
+), tree AS (
+  SELECT g, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY g
+  UNION ALL
+  SELECT g, level + 1, list_transform(range((len(nodes) + 2) // 3),
+    lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM tree WHERE len(nodes) > 1
+), sub AS (
+  SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM tree WHERE len(nodes) = 1
+), top AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM sub
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 2) // 3),
+    lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], ''))) FROM top WHERE len(nodes) > 1
+), step AS (
+  SELECT g, pos, list(s ORDER BY level) AS steps FROM (
+    SELECT l.g, l.pos, level, {_step('l.pos')} AS s FROM leaves l JOIN tree ON tree.g = l.g WHERE len(nodes) > 1)
+  GROUP BY g, pos
+), upper AS (
+  SELECT g, list(s ORDER BY level) AS steps FROM (
+    SELECT g, level, {_step('pos')} AS s FROM sub, top WHERE len(nodes) > 1)
+  GROUP BY g
+), way AS (
+  SELECT l.doc_id, l.leaf, l.found, sub.subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root,
+         list_concat(coalesce(step.steps, []), coalesce(upper.steps, [])) AS steps
+  FROM leaves l JOIN sub ON sub.g = l.g
+  LEFT JOIN step ON step.g = l.g AND step.pos = l.pos LEFT JOIN upper ON upper.g = l.g
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM (SELECT *, list_reduce(list_prepend(found, steps),
+        lambda x, s: sha256(string_split(s, '|')[1] || x || string_split(s, '|')[2])) AS folded_root FROM way)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINE_DEDUP}
+    return {"op2_line_dedup": _LINE_DEDUP, "op12_merkle_manifest": _MERKLE}
