@@ -18,14 +18,16 @@ class SearchParams:
     #: Neighbours of each query.
     k: int = 20
     #: Share of the true neighbours that the trial queries must find.
-    recall: float = 0.97
+    recall: float = 0.95
     #: Queries of the trial, which are compared with every vector.
     trials: int = 192
     #: Children of a node of the tree.
     branches: int = 16
-    #: Vectors that a leaf should hold, and how many leaves there are at most.
-    leaf_rows: int = 128
-    most_leaves: int = 4096
+    #: Vectors that a leaf should hold, and how many leaves there are at most. What a query
+    #: costs beside the comparisons grows with the leaves it opens, so their number is fixed
+    #: and large leaves are compared block by block.
+    leaf_rows: int = 32
+    most_leaves: int = 256
     #: The tree is fitted on about so many vectors, and on so many bytes of them at most;
     #: every vector is put into a leaf.
     sample: int = 1 << 15
