@@ -366,13 +366,14 @@ def _streamed_detection(spark: SparkSession, folder: str) -> list:
         make(spark, new_folder(spark, name))
         for make, name in ((alerts_table, "alerts"), (holds_table, "holds"), (flags_table, "flags"))
     ]
-    checkpoint = new_folder(spark, "checkpoint")
-    _in_two_waves(
-        spark,
-        folder,
-        _some_malformed,
-        lambda landing: S.detect(spark, landing, *tables, checkpoint, PARAMS).awaitTermination(),
-    )
+    log = RecordLog(spark, new_folder(spark, "log"))
+    landed, consumed = (new_folder(spark, "checkpoint") for _ in range(2))
+
+    def run(landing: str) -> None:
+        S.append_lines(spark, landing, log, landed).awaitTermination()
+        S.detect(spark, log, *tables, consumed, PARAMS).awaitTermination()
+
+    _in_two_waves(spark, folder, _some_malformed, run)
     return tables
 
 

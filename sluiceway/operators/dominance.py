@@ -274,6 +274,21 @@ def slice_sums(group: tuple[str, ...], rows: int):
     return run
 
 
+def group_sums(group: tuple[str, ...], rows: int):
+    """Task function: as `slice_sums` for items of which no group is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in whole_groups(batches, group, rows):
+            found = earlier_sums(
+                numbers(table, "offset"), _group_start(first), _point_weights(table)
+            )
+            none = np.zeros(len(first), np.int64)
+            added = {**dict(zip(SUMS, found)), "slice": none, "edge": none > 0}
+            yield from append_columns(table.drop_columns(["part"]), added)
+
+    return run
+
+
 def block_sums(group: tuple[str, ...], rows: int):
     """Task function: items in (group, offset) order -> SUMS over points of the group
     that have a smaller offset and lie in an earlier slice."""

@@ -62,12 +62,12 @@ def _total(earlier: str) -> Column:
     )
 
 
-def _exact(amount: Column) -> Column:
+def exact_part(amount: Column) -> Column:
     return amount.try_cast(MONEY)
 
 
-def _rest(amount: Column) -> Column:
-    return amount - F.coalesce(_exact(amount).cast("double"), F.lit(0.0))
+def rest_part(amount: Column) -> Column:
+    return amount - F.coalesce(exact_part(amount).cast("double"), F.lit(0.0))
 
 
 def _mean(exact: Column, rest: Column, count: Column) -> Column:
@@ -87,8 +87,8 @@ def small_account_features(
     if "history" in needed:
         earlier = arrival.rowsBetween(W.unboundedPreceding, -1)
         df = (
-            df.withColumn("_exact", F.sum(_exact(F.col("amount"))).over(earlier))
-            .withColumn("_rest", F.sum(_rest(F.col("amount"))).over(earlier))
+            df.withColumn("_exact", F.sum(exact_part(F.col("amount"))).over(earlier))
+            .withColumn("_rest", F.sum(rest_part(F.col("amount"))).over(earlier))
             .withColumn("hist_count", F.count("amount").over(earlier))
             .withColumn(
                 "hist_mean", _mean(F.col("_exact"), F.col("_rest"), F.col("hist_count"))
@@ -107,13 +107,19 @@ def _block(skew: SkewParams) -> Column:
     return F.expr(f"offset div {skew.block_rows}L")
 
 
-def _large_history(rows: DataFrame, skew: SkewParams) -> DataFrame:
-    """Running count and mean by blocks: within a block, plus the blocks before it."""
+def _large_history(
+    rows: DataFrame, skew: SkewParams, totals_after: DataFrame | None = None
+) -> DataFrame:
+    """Running count and mean by blocks: within a block, plus the blocks before it.
+
+    `totals_after` (account_id, cnt, exact, rest) are an account's totals with these rows
+    and all that arrived before them; the latter count as a block before the first.
+    """
     keys = ["account_id", "_blk"]
     blocked = (
         rows.withColumn("_blk", _block(skew))
-        .withColumn("_e", _exact(F.col("amount")))
-        .withColumn("_r", _rest(F.col("amount")))
+        .withColumn("_e", exact_part(F.col("amount")))
+        .withColumn("_r", rest_part(F.col("amount")))
     )
     totals = blocked.groupBy(*keys).agg(
         F.count("*").alias("_n0"), F.sum("_e").alias("_e0"), F.sum("_r").alias("_r0")
@@ -121,6 +127,16 @@ def _large_history(rows: DataFrame, skew: SkewParams) -> DataFrame:
     blocks_before = W.partitionBy("account_id").orderBy("_blk").rowsBetween(
         W.unboundedPreceding, -1
     )
+    if totals_after is not None:
+        here = totals.groupBy("account_id").agg(*(F.sum(c).alias(c) for c in ("_n0", "_e0", "_r0")))
+        earlier = here.join(totals_after, "account_id").select(
+            "account_id",
+            F.lit(-1).cast("bigint").alias("_blk"),
+            (F.col("cnt") - F.col("_n0")).alias("_n0"),
+            (F.col("exact") - F.col("_e0")).alias("_e0"),
+            (F.col("rest") - F.col("_r0")).alias("_r0"),
+        )
+        totals = totals.unionByName(earlier)
     carried = totals.select(
         *keys,
         *(
@@ -172,22 +188,7 @@ def _large_window(rows: DataFrame, params: DetectorParams, skew: SkewParams) ->
     """
     width = params.window_micros
     group = ("account_id", "bucket", "backwards")
-    bucket = F.expr(f"(ts - pmod(ts, {width}L)) div {width}L")
-
-    def item(bucket: Column, backwards: bool, x: Column, point: bool, query: bool) -> Column:
-        return F.struct(
-            bucket.alias("bucket"), F.lit(backwards).alias("backwards"), x.alias("x"),
-            F.lit(point).alias("point"), F.lit(query).alias("query"),
-        )
-
-    items = rows.withColumn("_b", bucket).select(
-        "account_id", "offset", "amount",
-        F.inline(F.array(
-            item(F.col("_b"), False, F.col("ts"), True, True),
-            item(F.col("_b"), True, -F.col("ts"), True, False),
-            item(F.col("_b") - 1, True, width - F.col("ts"), False, True),
-        )),
-    )
+    items = _window_items(rows, width)
     # At most `slices` slices besides one part-filled slice per task.
     slice_rows = max(skew.block_rows, -(-3 * rows.count() // skew.slices))
     order = (*group, "x", "offset")
@@ -248,6 +249,70 @@ def _large_window(rows: DataFrame, params: DetectorParams, skew: SkewParams) ->
     return found.groupBy("offset").agg(*(F.sum(n).alias(n) for n in D.SUMS))
 
 
+def time_bucket(width: int) -> Column:
+    return F.expr(f"(ts - pmod(ts, {width}L)) div {width}L")
+
+
+def _window_items(rows: DataFrame, width: int) -> DataFrame:
+    """What `_large_window` asks: each row as a point both ways and as both its queries."""
+
+    def item(bucket: Column, backwards: bool, x: Column, point: bool, query: bool) -> Column:
+        return F.struct(
+            bucket.alias("bucket"), F.lit(backwards).alias("backwards"), x.alias("x"),
+            F.lit(point).alias("point"), F.lit(query).alias("query"),
+        )
+
+    return rows.withColumn("_b", time_bucket(width)).select(
+        "account_id", "offset", "amount",
+        F.inline(F.array(
+            item(F.col("_b"), False, F.col("ts"), True, True),
+            item(F.col("_b"), True, -F.col("ts"), True, False),
+            item(F.col("_b") - 1, True, width - F.col("ts"), False, True),
+        )),
+    )
+
+
+def _bucket_window(rows: DataFrame, earlier: DataFrame, params: DetectorParams) -> DataFrame:
+    """(offset, five sums) over the trailing window, by (account, time bucket).
+
+    `earlier` (account_id, offset, amount, ts) are points that arrived before `rows`, of
+    all buckets the rows look at. One bucket's rows meet in one task.
+    """
+    width = params.window_micros
+    group = ("account_id", "bucket", "backwards")
+    past = _window_items(earlier, width).where("point").withColumn("query", F.lit(False))
+    items = _window_items(rows, width).unionByName(past)
+    schema = _plus_sums(items.schema).add("slice", T.LongType()).add("edge", T.BooleanType())
+    found = (
+        items.repartition(*group)
+        .sortWithinPartitions(*group, "x", "offset")
+        .withColumn("part", F.lit(0).cast("bigint"))
+        .mapInArrow(D.group_sums(group, TASK_ROWS), schema)
+    )
+    return found.where("query").groupBy("offset").agg(*(F.sum(n).alias(n) for n in D.SUMS))
+
+
+def features_after(
+    rows: DataFrame,
+    totals_after: DataFrame,
+    first_payments: DataFrame,
+    earlier: DataFrame,
+    params: DetectorParams = DetectorParams(),
+    skew: SkewParams = SkewParams(),
+) -> DataFrame:
+    """The features of rows that arrive after others of which only a digest is kept.
+
+    `totals_after`: see `_large_history`; `first_payments` (offset): the rows that pay a
+    payee first; `earlier`: see `_bucket_window`. No task holds all rows of an account.
+    """
+    first = first_payments.select("offset", F.lit(True).alias("payee_first"))
+    df = _large_history(rows, skew, totals_after)
+    df = df.join(first, "offset", "left").withColumn(
+        "payee_first", F.coalesce("payee_first", F.lit(False))
+    )
+    return _with_window(df.join(_bucket_window(rows, earlier, params), "offset"))
+
+
 def _amount_parts() -> list[Column]:
     """The same five parts as `dominance.split_amounts`, as columns."""
     kept = F.least(F.col("amount"), F.lit(D.LARGEST))

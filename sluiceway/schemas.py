@@ -12,7 +12,10 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 
 LOG = _struct(("offset", _L), ("raw", _S))
-COMMIT = _struct(("first_offset", _L), ("rows", _L), ("source", _S))
+COMMIT = _struct(
+    ("batch_id", _L), ("batch", _S), ("first_offset", _L), ("rows", _L), ("source", _S),
+    ("files", T.ArrayType(_S)),
+)
 EVENTS = _struct(
     ("event_id", _S), ("user_id", _S), ("event_type", _S), ("timestamp", _S), ("value", _D)
 )
@@ -29,9 +32,8 @@ HOLD_KEY = ("txn_id",)
 FLAG_KEY = ("account_id",)
 
 
-def with_batch(schema: T.StructType) -> T.StructType:
-    """As stored in the log: partitioned by the number of the batch."""
-    return T.StructType([*schema.fields, T.StructField("batch_id", _L)])
+LOG_STORED = _struct(("offset", _L), ("raw", _S), ("batch_id", _S))
+LOG_READ = _struct(("offset", _L), ("raw", _S), ("batch_id", _L))
 
 
 def with_batch_name(schema: T.StructType) -> T.StructType:

@@ -38,10 +38,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(
+    spark: SparkSession, path: str, schema: StructType, form: str = "parquet"
+) -> DataFrame:
     """A stored table, or no rows where nothing was written yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).format(form).load(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sluiceway import schemas
 from sluiceway.config import DetectorParams, EventRules, SkewParams, TransferRules
 from sluiceway.functions.jsontext import DUPLICATE_KEYS_CONF
-from sluiceway.operators.detect import alerts_of, holds_of
+from sluiceway.operators.detect import TRANSFER_COLUMNS, alerts_of, holds_of
+from sluiceway.operators.history import features_after
 from sluiceway.operators.load import load_records
 from sluiceway.operators.rules import RULES, Rule, score
 from sluiceway.operators.validate import (
@@ -29,7 +30,7 @@ from sluiceway.sources.lines import stream_lines
 from sluiceway.sources.log import RecordLog
 from sluiceway.sources.staging import stage
 from sluiceway.sources.tables import KeyedTable
-from sluiceway.streaming.state import FEATURES, AccountHistory, numbered
+from sluiceway.streaming import state as K
 
 # Take what has landed and stop; {"processingTime": "5 seconds"} keeps a query running.
 WHAT_IS_THERE = {"availableNow": True}
@@ -102,26 +103,18 @@ def load(
     batches_per_load: int | None = None,
     trigger: dict = WHAT_IS_THERE,
 ) -> StreamingQuery:
-    """Log -> events table, following the log's commits.
-
-    A commit names a finished stretch of offsets, so a micro-batch loads whole
-    stretches, never half-written ones, and lower offsets first.
-    """
+    """Log -> events table, following the log's commits; a missing log has none."""
     spark.conf.set(DUPLICATE_KEYS_CONF, "true")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         name = _name(batch.sparkSession, batch_id)
-        new = [r.batch_id for r in batch.select("batch_id").collect()]
-        records = log.read().where(F.col("batch_id").isin(new))
+        new = batch.select("batch_id")
+        records = log.read_batches(log.commits().join(new, "batch_id", "left_semi"))
         loaded = load_records(records, table, rules, batch=name)
         _write_counts(spark, counts_path, name, loaded._asdict())
 
-    # One tiny file per log batch.
-    commits = spark.readStream.schema(schemas.with_batch(schemas.COMMIT))
-    if batches_per_load is not None:
-        commits = commits.option("maxFilesPerTrigger", batches_per_load)
     return (
-        commits.parquet(f"{log.path}/commits")
+        log.stream_commits(batches_per_load)
         .writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
@@ -129,23 +122,25 @@ def load(
     )
 
 
-def transfer_features(
-    lines: DataFrame,
-    params: DetectorParams = DetectorParams(),
-    rules: TransferRules = TransferRules(),
-) -> DataFrame:
-    """Feature frame of a stream of landed transfers, from state kept per account.
+def append_lines(
+    spark: SparkSession,
+    landing: str,
+    log: RecordLog,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+    trigger: dict = WHAT_IS_THERE,
+) -> StreamingQuery:
+    """Landed lines -> the log, unchecked: for consumers that validate what they read."""
 
-    The state store provider has to be RocksDB (`use_rocksdb`).
-    """
-    placed = T.StructType([*lines.schema.fields, T.StructField("src_row", T.LongType())])
-    lines = lines.mapInArrow(numbered, placed)
-    valid = accepted(validate_transfers(lines, rules)).drop("raw", "errors", "currency")
-    return valid.groupBy("account_id").transformWithStateInPandas(
-        statefulProcessor=AccountHistory(params.window_micros),
-        outputStructType=FEATURES,
-        outputMode="Append",
-        timeMode="None",
+    def each(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, source=_name(batch.sparkSession, batch_id))
+
+    return (
+        stream_lines(spark, landing, files_per_batch)
+        .writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
     )
 
 
@@ -155,7 +150,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def detect(
     spark: SparkSession,
-    landing: str,
+    log: RecordLog,
     alerts: KeyedTable,
     holds: KeyedTable,
     flags: KeyedTable,
@@ -164,24 +159,33 @@ def detect(
     rules: TransferRules = TransferRules(),
     skew: SkewParams = SkewParams(),
     scoring: Sequence[Rule] = RULES,
-    files_per_batch: int | None = None,
+    commits_per_batch: int | None = None,
     trigger: dict = WHAT_IS_THERE,
 ) -> StreamingQuery:
-    """Landed transfers -> alerts and holds; `flags` keeps the accounts that fired.
+    """Log of transfers -> alerts and holds; `flags` keeps the accounts that fired.
 
-    Arrival order is the order of micro-batches and, inside one, of file, block and
-    line. One account's rows of a micro-batch meet in one task, so `files_per_batch`
-    bounds what a busy account brings to it.
+    Arrival order is the order of offsets. The stream keeps digests of all transfers so far
+    (`streaming.state`) and hands on those that its new commits touch; the new transfers
+    themselves are read from the log, so state holds no more than later ones need.
     """
     spark.conf.set(DUPLICATE_KEYS_CONF, "true")
     use_rocksdb(spark)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         name = _name(batch.sparkSession, batch_id)
-        arrival = F.struct("src_file", "src_block", "src_row").alias("offset")
+        state = stage(batch, "state")
+        taken = log.commits().join(K.commits(state), "batch_id", "left_semi")
+        start = taken.agg(F.min("first_offset")).first()[0]
+        if start is None:
+            return
+        checked = validate_transfers(log.read_batches(taken).select("offset", "raw"), rules)
+        new = stage(accepted(checked).select(*TRANSFER_COLUMNS), "transfers")
+        features = features_after(
+            new, K.totals(state), K.first_payments(state), K.points_before(state, start), params, skew
+        )
         scored = stage(
-            score(batch, params, scoring).select(
-                arrival, "txn_id", "account_id", "timestamp", "fired"
+            score(features, params, scoring).select(
+                "offset", "txn_id", "account_id", "timestamp", "fired"
             ),
             "scored",
         )
@@ -190,10 +194,12 @@ def detect(
         fired = scored.where(F.size("fired") > 0)
         flags.insert(fired.select("account_id", "offset"), batch=name)
 
-    features = transfer_features(stream_lines(spark, landing, files_per_batch), params, rules)
+    records = log.stream_records(commits_per_batch)
+    valid = accepted(validate_transfers(records, rules))
     return (
-        features.writeStream.foreachBatch(each)
-        .outputMode("append")
+        K.digests(valid, params)
+        .writeStream.foreachBatch(each)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

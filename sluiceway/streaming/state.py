@@ -1,143 +1,79 @@
-"""Per-account history as streaming state."""
+"""What detection keeps of all transfers so far, as a streaming aggregation.
+
+A transfer takes part in four kinds of digest, each with a key of its own, so that the
+rows of one account are spread over many keys:
+
+    total   (account)               count and sums
+    payee   (account, payee)        the first offset
+    window  (account, time bucket)  the points of a stretch as wide as the trailing window
+    commit  (commit of the log)     that the micro-batch took it
+
+Totals, payees and commits are combined before the shuffle, so a task meets an account once
+from each task before it, however many rows it has. Nothing expires: a transfer may arrive
+arbitrarily late and still count.
+"""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from sluiceway.operators import dominance as D
-
-_TEXT, _LONG, _INT, _REAL = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType()
-FEATURES = T.StructType(
-    [
-        T.StructField(name, kind)
-        for kind, names in (
-            (_TEXT, ("account_id", "txn_id", "payee_id", "timestamp", "src_file")),
-            (_LONG, ("src_block", "src_row", "ts", "win_count", "hist_count")),
-            (_INT, ("hour", "minute")),
-            (_REAL, ("amount", "win_total", "hist_mean")),
-            (T.BooleanType(), ("payee_first",)),
-        )
-        for name in names
-    ]
-)
-
-
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add `src_row`, the place of a row in its task, which keeps the line order of a block."""
-    seen = 0
-    for batch in batches:
-        places = pa.array(np.arange(seen, seen + batch.num_rows))
-        seen += batch.num_rows
-        yield batch.append_column("src_row", places)
-
-
-def _total(sums: list[np.ndarray]) -> np.ndarray:
-    _, hi, lo, fine, huge = sums
-    return (hi.astype(float) * D.LIMB + lo) / 1e6 + fine + huge
-
-
-class AccountHistory(StatefulProcessor):
-    """Features of an account's new transfers, given everything it did before.
-
-    State: count and sum of all transfers; the payees paid; and, for the trailing
-    window, event times and amounts kept by buckets as wide as the window, so a
-    transfer reads two buckets however long the account's past. Nothing expires: a
-    transfer may arrive arbitrarily late and still count.
-    """
+from pyspark.sql import Column, DataFrame, functions as F
+
+from sluiceway.config import DetectorParams
+from sluiceway.operators.history import exact_part, rest_part, time_bucket
+
+KEY = ("role", "account_id", "payee_id", "bucket")
 
-    def __init__(self, width: int):
-        self.width = width
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState(
-            "totals", "cnt bigint, hi bigint, lo bigint, fine double, huge double"
-        )
-        self.payees = handle.getMapState("payees", "payee string", "seen boolean")
-        self.recent = handle.getMapState("recent", "bucket bigint", "ts binary, amount binary")
-
-    def handleInputRows(
-        self, key, rows: Iterator[pd.DataFrame], timerValues
-    ) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        new = new.sort_values(["src_file", "src_block", "src_row"], ignore_index=True)
-        parts = D.split_amounts(new["amount"].to_numpy())
-        new["account_id"] = key[0]
-        # A new account has nothing stored, so nothing is looked up.
-        self.known = self.totals.exists()
-        new["hist_count"], new["hist_mean"] = self._history(parts)
-        new["payee_first"] = self._first_payments(new["payee_id"])
-        new["win_count"], new["win_total"] = self._window(new["ts"].to_numpy(), parts, new)
-        yield new[FEATURES.names]
-
-    def _history(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        past = self.totals.get() if self.known else (0, 0, 0, 0.0, 0.0)
-        ends = [np.cumsum(p) + s for p, s in zip(parts, past)]
-        before = [np.append(p.dtype.type(s), e[:-1]) for p, s, e in zip(parts, past, ends)]
-        self.totals.update(tuple(e[-1].item() for e in ends))
-        count = before[0]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = np.where(count > 0, _total(before) / count, np.nan)
-        return count, pd.array(np.where(count > 0, mean, None), dtype="Float64")
-
-    def _first_payments(self, payees: pd.Series) -> np.ndarray:
-        first = ~payees.duplicated().to_numpy()
-        for i in np.flatnonzero(first):
-            payee = (payees.iat[i],)
-            if self.known and self.payees.containsKey(payee):
-                first[i] = False
-            else:
-                self.payees.updateValue(payee, (True,))
-        return first
-
-    def _window(self, ts: np.ndarray, parts: list[np.ndarray], new: pd.DataFrame):
-        order = np.argsort(ts, kind="stable")
-        one_group = np.arange(len(ts)) == 0
-        inside = D.earlier_sums(
-            order.astype(np.int64),
-            D.window_starts(one_group, ts[order], self.width),
-            [p[order] for p in parts],
-        )
-        sums = [np.empty_like(s) for s in inside]
-        for out, s in zip(sums, inside):
-            out[order] = s
-        bucket = ts // self.width
-        amount = new["amount"].to_numpy()
-        stored = {}
-        for b in np.union1d(bucket, bucket - 1).tolist() if self.known else ():
-            found = self.recent.getValue((b,))
-            if found is not None:
-                old_ts, old_amount = found
-                stored[b] = (np.frombuffer(old_ts, np.int64), np.frombuffer(old_amount, float))
-        if stored:
-            # Everything stored arrived earlier, so only event time decides.
-            old_ts = np.concatenate([stored[b][0] for b in sorted(stored)])
-            weights = D.split_amounts(np.concatenate([stored[b][1] for b in sorted(stored)]))
-            low = np.searchsorted(old_ts, ts - self.width, "left")
-            high = np.searchsorted(old_ts, ts, "right")
-            for i, s in enumerate(D.range_sums(weights, low, high)):
-                sums[i] = sums[i] + s
-        for b in np.unique(bucket).tolist():
-            mine = order[bucket[order] == b]
-            all_ts, all_amount = ts[mine], amount[mine]
-            if b in stored:
-                all_ts = np.concatenate([stored[b][0], all_ts])
-                all_amount = np.concatenate([stored[b][1], all_amount])
-                merged = np.argsort(all_ts, kind="stable")
-                all_ts, all_amount = all_ts[merged], all_amount[merged]
-            self.recent.updateValue((b,), (all_ts.tobytes(), all_amount.tobytes()))
-        whole = [s + p for s, p in zip(sums, parts)]
-        return whole[0], _total(whole)
-
-    def close(self) -> None:
-        pass
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+def _role(name: str, account: Column, payee: Column, bucket: Column, point: bool) -> Column:
+    return F.struct(
+        F.lit(name).alias("role"), account.alias("account_id"), payee.alias("payee_id"),
+        bucket.cast("bigint").alias("bucket"), F.lit(point).alias("point"),
+    )
+
+
+def digests(transfers: DataFrame, params: DetectorParams) -> DataFrame:
+    """A stream of valid transfers with `batch_id` -> its digests, for update mode.
+
+    A transfer looks at its own time bucket and at the one before, so both are touched and
+    come out with all their points.
+    """
+    account, nobody, no_bucket = F.col("account_id"), F.lit(""), F.lit(0)
+    bucket = F.col("_bucket")
+    roles = transfers.withColumn("_bucket", time_bucket(params.window_micros)).select(
+        "offset", "ts", "amount",
+        F.inline(F.array(
+            _role("total", account, nobody, no_bucket, False),
+            _role("payee", account, F.col("payee_id"), no_bucket, False),
+            _role("window", account, nobody, bucket, True),
+            _role("window", account, nobody, bucket - 1, False),
+            _role("commit", nobody, nobody, F.col("batch_id"), False),
+        )),
+    )
+    total = F.col("role") == "total"
+    return roles.groupBy(*KEY).agg(
+        F.count_if(total).alias("cnt"),
+        F.sum(F.when(total, exact_part(F.col("amount")))).alias("exact"),
+        F.sum(F.when(total, rest_part(F.col("amount")))).alias("rest"),
+        F.min("offset").alias("first_offset"),
+        F.collect_list(F.when(F.col("point"), F.struct("offset", "ts", "amount"))).alias("points"),
+    )
+
+
+def totals(state: DataFrame) -> DataFrame:
+    return state.where("role = 'total'").select(
+        "account_id", "cnt", F.coalesce("exact", F.lit(0)).alias("exact"), "rest"
+    )
+
+
+def first_payments(state: DataFrame) -> DataFrame:
+    """The offsets at which an account paid a payee first, of the payees touched."""
+    return state.where("role = 'payee'").select(F.col("first_offset").alias("offset"))
+
+
+def points_before(state: DataFrame, offset: int) -> DataFrame:
+    """(account_id, offset, ts, amount) of the buckets touched."""
+    points = state.where("role = 'window'").select("account_id", F.inline("points"))
+    return points.where(F.col("offset") < offset)
+
+
+def commits(state: DataFrame) -> DataFrame:
+    return state.where("role = 'commit'").select(F.col("bucket").alias("batch_id"))

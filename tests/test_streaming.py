@@ -86,8 +86,11 @@ def test_batch_that_runs_again_replaces_itself(spark, tmp_path):
 def stream_detect(spark, base, landing, files_per_batch):
     tables = [make(spark, str(base / name)) for make, name in
               ((alerts_table, "a"), (holds_table, "h"), (flags_table, "f"))]
-    S.detect(spark, landing, *tables, str(base / "ck"),
-             files_per_batch=files_per_batch).awaitTermination()
+    log = RecordLog(spark, str(base / "transfers"))
+    S.append_lines(spark, landing, log, str(base / "ck-in"),
+                   files_per_batch=files_per_batch).awaitTermination()
+    S.detect(spark, log, *tables, str(base / "ck"),
+             commits_per_batch=files_per_batch).awaitTermination()
     return tables
 
 
