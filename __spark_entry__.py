@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F  # noqa: E402
 
-from sluiceway.config import DetectorParams  # noqa: E402
+from sluiceway.config import DetectorParams, SkewParams  # noqa: E402
 from sluiceway.operators import analytics as A, detect as DT, rules as R  # noqa: E402
 from sluiceway.operators.history import features  # noqa: E402
 from sluiceway.operators.load import load_records  # noqa: E402
@@ -30,7 +30,7 @@ from sluiceway.operators.validate import (  # noqa: E402
 )
 from sluiceway.functions.jsontext import canonical, with_document  # noqa: E402
 from sluiceway.plans import inputs  # noqa: E402
-from sluiceway.plans.runs import run_events  # noqa: E402
+from sluiceway.plans.runs import run_events, run_transfers  # noqa: E402
 from sluiceway.sources.log import RecordLog, in_order  # noqa: E402
 from sluiceway.sources.staging import new_folder, stage  # noqa: E402
 from sluiceway.sources.tables import (  # noqa: E402
@@ -46,6 +46,7 @@ PARAMS = DetectorParams(
     window_minutes=360, max_count=3, max_amount=200.0, payee_threshold=100.0
 )
 REPLAY_FROM = 1000
+LATER = 1 << 40  # what repeated transfers' offsets lie behind the first ones'
 
 
 # --- events ---------------------------------------------------------------------
@@ -142,6 +143,53 @@ def _event_run(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _source(spark: SparkSession, records: DataFrame) -> str:
+    """Records as a text file, in offset order."""
+    path = new_folder(spark, "source")
+    in_order(records, "offset").select("raw").write.text(path)
+    return path
+
+
+def _reset_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A second run over targets that the first has filled."""
+    source = _source(spark, inputs.event_records(inputs.events(spark, folder)))
+    paths = [new_folder(spark, n) for n in ("log", "events")]
+    run_events(spark, source, *paths)
+    run = run_events(spark, source, *paths)
+    log_rows = RecordLog(spark, paths[0]).size()
+    stored = events_table(spark, paths[1]).read().count()
+    return spark.createDataFrame(
+        [(run.accepted, run.rejected, *run.loaded, log_rows, stored)],
+        "accepted bigint, rejected bigint, written bigint, skipped bigint, duplicates bigint, "
+        "log_rows bigint, stored bigint",
+    )
+
+
+def _run_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The rejects a whole run writes."""
+    source = _source(spark, _dirty_events(inputs.events(spark, folder)))
+    log, table, rejects = (new_folder(spark, n) for n in ("log", "events", "rejects"))
+    run_events(spark, source, log, table, rejects_path=rejects)
+    return spark.read.parquet(rejects).select(
+        F.get_json_object("raw", "$.event_id").alias("event_id"),
+        "error",
+        F.concat_ws("|", "details").alias("details"),
+    )
+
+
+def _quoted_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers where texts belong, quoted as they are written."""
+    df = inputs.events(spark, folder)
+    n = F.col("event_id") % 3
+    written = F.when(n == 0, F.lit("1e3")).when(n == 1, F.lit("2.50")).otherwise(F.lit("1.0"))
+    raw = F.concat(
+        F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit('.0, "user_id": "u", "event_type": '),
+        written, F.lit(', "timestamp": -0.50}'),
+    )
+    checked = validate_events(df.select(raw.alias("raw")))
+    return checked.select("event_id", F.concat_ws("|", "errors").alias("errors"))
+
+
 def _twice(spark: SparkSession, folder: str):
     """Every event twice, the second time with another value, all of it unchecked."""
     df = inputs.events(spark, folder)
@@ -260,8 +308,8 @@ def _score_transfers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _transfer_features(spark: SparkSession, folder: str) -> DataFrame:
-    return features(inputs.transfers(inputs.events(spark, folder)), PARAMS).select(
+def _transfer_features(spark: SparkSession, folder: str, skew: SkewParams = SkewParams()) -> DataFrame:
+    return features(inputs.transfers(inputs.events(spark, folder)), PARAMS, skew).select(
         "txn_id",
         F.col("win_count").alias("cnt"),
         F.round("win_total", 2).alias("total"),
@@ -271,6 +319,11 @@ def _transfer_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _transfer_features_split(spark: SparkSession, folder: str) -> DataFrame:
+    """As if all but the smallest accounts were too large for a task, and too many to broadcast."""
+    return _transfer_features(spark, folder, SkewParams(hot_rows=3, hot_keys=10, block_rows=4096))
+
+
 def _holds_out_of_order(spark: SparkSession, folder: str) -> DataFrame:
     scored = _scored(spark, folder, _swapped())
     return DT.recorded_holds(scored)
@@ -290,6 +343,51 @@ def _detected(spark: SparkSession, folder: str):
     return DT.detect(records, alerts, holds, PARAMS), alerts.read(), holds.read()
 
 
+def _detected_twice(spark: SparkSession, folder: str):
+    """The detector over a log in which every transfer comes again later, under the same id."""
+    records = _some_malformed(inputs.events(spark, folder))
+    again = records.withColumn("offset", F.col("offset") + LATER)
+    alerts = alerts_table(spark, new_folder(spark, "alerts"))
+    holds = holds_table(spark, new_folder(spark, "holds"))
+    DT.detect(records.unionByName(again), alerts, holds, PARAMS)
+    return alerts.read(), holds.read()
+
+
+def _alerts_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return _detected_twice(spark, folder)[0]
+
+
+def _holds_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return _detected_twice(spark, folder)[1]
+
+
+def _transfer_run(spark: SparkSession, folder: str) -> DataFrame:
+    """From a text file of transfers to alert and hold tables."""
+    source = _source(spark, _some_malformed(inputs.events(spark, folder)))
+    summary = run_transfers(spark, source, *(new_folder(spark, n) for n in ("log", "alerts", "holds")), PARAMS)
+    return spark.createDataFrame(
+        [tuple(summary)], ", ".join(f"{n} bigint" for n in summary._fields)
+    )
+
+
+def _often_and_much(p: DetectorParams) -> tuple[Column, Column]:
+    """A rule of the user's own, over the features that the library's rules use."""
+    fired = (F.col("hist_count") >= 5) & (F.col("win_total") > 2 * F.col("hist_mean"))
+    return fired, F.concat(F.lit("payment no. "), (F.col("hist_count") + 1).cast("string"))
+
+
+def _own_rule(spark: SparkSession, folder: str) -> DataFrame:
+    rows = inputs.transfers(inputs.events(spark, folder))
+    rules = (*R.RULES, R.Rule("often_and_much", _often_and_much))
+    fired = R.fired_rules(DT.score_transfers(rows, PARAMS, scoring=rules))
+    return fired.select("txn_id", "rule_order", "rule", "reason")
+
+
+def _default_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    rows = inputs.transfers(inputs.events(spark, folder))
+    return R.fired_rules(DT.score_transfers(rows)).select("txn_id", "rule_order", "rule", "reason")
+
+
 def _alerts(spark: SparkSession, folder: str) -> DataFrame:
     return _detected(spark, folder)[1]
 
@@ -361,6 +459,20 @@ def _stream_load(spark: SparkSession, folder: str) -> DataFrame:
     return table.read()
 
 
+def _stream_load_missing_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows loaded before there is a log, and by the same consumer once there is one."""
+    log = RecordLog(spark, new_folder(spark, "log"))
+    table = events_table(spark, new_folder(spark, "events"))
+    paths = [new_folder(spark, n) for n in ("counts", "checkpoint")]
+    loaded = []
+    for when in ("before", "after"):
+        S.load(spark, log, table, *paths).awaitTermination()
+        loaded.append((when, table.read().count()))
+        if when == "before":
+            log.append(in_order(inputs.event_records(inputs.events(spark, folder)), "offset"))
+    return spark.createDataFrame(loaded, "at string, rows bigint")
+
+
 def _streamed_detection(spark: SparkSession, folder: str) -> list:
     tables = [
         make(spark, new_folder(spark, name))
@@ -387,10 +499,10 @@ def _stream_holds(spark: SparkSession, folder: str) -> DataFrame:
 
 def _extension():
     """The query modules of the optional subpackage; none where it was taken out."""
-    here = os.path.dirname(os.path.abspath(__file__))
-    if not os.path.exists(os.path.join(here, "sluiceway", "llm", "queries.py")):
+    try:
+        from sluiceway.llm import queries as llm_queries
+    except ImportError:
         return []
-    from sluiceway.llm import queries as llm_queries
 
     found = [llm_queries]
     if importlib.util.find_spec("corpus_pipeline"):
@@ -418,6 +530,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_idempotent": _load_idempotent,
         "load_summary": _load_summary,
         "event_run": _event_run,
+        "reset_run": _reset_run,
+        "run_rejects": _run_rejects,
+        "quoted_numbers": _quoted_numbers,
         "event_count": _event_count,
         "count_by_event_type": _count_by_event_type,
         "top_users": _top_users,
@@ -434,16 +549,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "odd_hour": _one_rule(R.odd_hour, None),
         "transfer_features": _transfer_features,
+        "transfer_features_split": _transfer_features_split,
         "score_transfers": _score_transfers,
+        "own_rule": _own_rule,
+        "default_thresholds": _default_thresholds,
         "holds_out_of_order": _holds_out_of_order,
         "alerts": _alerts,
         "holds": _holds,
         "alert_count": _alert_count,
         "hold_count": _hold_count,
         "detect_summary": _detect_summary,
+        "alerts_duplicates": _alerts_duplicates,
+        "holds_duplicates": _holds_duplicates,
+        "transfer_run": _transfer_run,
         "stream_ingest": _stream_ingest,
         "stream_counts": _stream_counts,
         "stream_load": _stream_load,
+        "stream_load_missing_log": _stream_load_missing_log,
         "stream_detect_alerts": _stream_alerts,
         "stream_detect_holds": _stream_holds,
     } | {k: f for m in _extension() for k, f in m.queries().items()}
@@ -456,7 +578,12 @@ _LIST = "[''click'', ''page_view'', ''purchase'', ''signup'']"
 _ISO_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
-def _transfers_cte(offset: str = "event_id", where: str = "true") -> str:
+def _transfers_cte(
+    offset: str = "event_id",
+    where: str = "true",
+    source: str = "events",
+    params: DetectorParams = PARAMS,
+) -> str:
     """Transfers with every feature, from definitions alone."""
     return f"""
 t AS (
@@ -465,12 +592,12 @@ t AS (
          regexp_extract(props, '([0-9]+)', 1) AS payee_id,
          value AS amount, CAST(value AS DECIMAL(18,6)) AS exact, ts,
          {_ISO_SQL} AS "timestamp"
-  FROM events WHERE value > 0 AND {where}
+  FROM {source} WHERE value > 0 AND {where}
 ), near AS (
   SELECT t.off, 1 + COUNT(p.off) AS cnt,
          CAST(t.exact + COALESCE(SUM(p.exact), 0) AS DOUBLE) AS total
   FROM t LEFT JOIN t p ON p.account_id = t.account_id AND p.off < t.off
-   AND p.ts BETWEEN t.ts - INTERVAL {PARAMS.window_minutes} MINUTE AND t.ts
+   AND p.ts BETWEEN t.ts - INTERVAL {params.window_minutes} MINUTE AND t.ts
   GROUP BY t.off, t.exact
 ), f AS (
   SELECT t.*, near.cnt, near.total,
@@ -482,21 +609,21 @@ t AS (
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), fired AS (
   SELECT off, txn_id, account_id, "timestamp", 0 AS rule_order, 'rapid_drain' AS rule,
-         CASE WHEN cnt >= {PARAMS.max_count} THEN cnt || ' transfers in {PARAMS.window_minutes} min'
-              ELSE printf('%.2f', total) || ' moved in {PARAMS.window_minutes} min' END AS reason
-  FROM f WHERE cnt >= {PARAMS.max_count} OR total > {PARAMS.max_amount}
+         CASE WHEN cnt >= {params.max_count} THEN cnt || ' transfers in {params.window_minutes} min'
+              ELSE printf('%.2f', total) || ' moved in {params.window_minutes} min' END AS reason
+  FROM f WHERE cnt >= {params.max_count} OR total > {params.max_amount}
   UNION ALL
   SELECT off, txn_id, account_id, "timestamp", 1, 'new_payee_high_value',
          printf('%.2f', amount) || ' to never-seen payee ' || payee_id
-  FROM f WHERE payee_first AND amount >= {PARAMS.payee_threshold}
+  FROM f WHERE payee_first AND amount >= {params.payee_threshold}
   UNION ALL
   SELECT off, txn_id, account_id, "timestamp", 2, 'amount_spike',
          printf('%.2f', amount) || ' vs typical ' || printf('%.2f', mean)
-  FROM f WHERE n >= {PARAMS.min_history} AND mean > 0 AND amount > {PARAMS.spike_factor} * mean
+  FROM f WHERE n >= {params.min_history} AND mean > 0 AND amount > {params.spike_factor} * mean
   UNION ALL
   SELECT off, txn_id, account_id, "timestamp", 3, 'odd_hour',
          'transfer at ' || strftime(ts, '%H:%M')
-  FROM f WHERE hour(ts) >= {PARAMS.start_hour} AND hour(ts) < {PARAMS.end_hour}
+  FROM f WHERE hour(ts) >= {params.start_hour} AND hour(ts) < {params.end_hour}
 ), flagged AS (
   SELECT account_id, MIN(off) AS at_off FROM fired GROUP BY account_id
 ), held AS (
@@ -508,6 +635,12 @@ t AS (
 _PLAIN = _transfers_cte()
 _SWAPPED = _transfers_cte("xor(event_id, 7)")
 _WELL_FORMED = _transfers_cte(where="event_type <> 'error'")
+_AGAIN = _transfers_cte(
+    f"event_id + {LATER} * again",
+    "event_type <> 'error'",
+    "(SELECT *, 0 AS again FROM events UNION ALL SELECT *, 1 FROM events)",
+)
+_DEFAULTS = _transfers_cte(params=DetectorParams())
 _DIRTY_ERRORS = f"""
   concat_ws('|',
     CASE WHEN NOT value >= 20 THEN 'missing required field: user_id' END,
@@ -523,12 +656,14 @@ def oracle_sql() -> dict[str, str]:
     valid = f"event_type IN {_ALLOWED}"
     report = f"""
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, value FROM events WHERE {valid})
-SELECT 'total_events' AS metric, 'all' AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM e
-UNION ALL SELECT 'events_by_type', event_type, CAST(COUNT(*) AS DOUBLE) FROM e GROUP BY event_type
-UNION ALL SELECT * FROM (SELECT 'top_users', user_id, CAST(COUNT(*) AS DOUBLE) FROM e
+SELECT 'total_events' AS metric, 'all' AS key, CAST(COUNT(*) AS DOUBLE) AS value, 1 AS ordinal FROM e
+UNION ALL SELECT 'events_by_type', event_type, CAST(COUNT(*) AS DOUBLE),
+  ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, event_type) FROM e GROUP BY event_type
+UNION ALL SELECT * FROM (SELECT 'top_users', user_id, CAST(COUNT(*) AS DOUBLE),
+  ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, user_id) FROM e
   GROUP BY user_id ORDER BY COUNT(*) DESC, user_id LIMIT 5)
 UNION ALL SELECT 'total_purchase_value', 'all',
-  ROUND(COALESCE(CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 0), 2)
+  ROUND(COALESCE(CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 0), 2), 1
   FROM e WHERE event_type = 'purchase'"""
     loaded = f"""
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type,
@@ -569,6 +704,19 @@ UNION ALL SELECT 'again', 0, 2 * bad, 2 * good FROM n""",
         "event_run": f"""
 SELECT COUNT(*) FILTER (WHERE {valid}) AS accepted, COUNT(*) FILTER (WHERE NOT {valid}) AS rejected,
        COUNT(*) FILTER (WHERE {valid}) AS written, 0 AS skipped, 0 AS duplicates
+FROM events""",
+        "reset_run": f"""
+SELECT COUNT(*) FILTER (WHERE {valid}) AS accepted, COUNT(*) FILTER (WHERE NOT {valid}) AS rejected,
+       COUNT(*) FILTER (WHERE {valid}) AS written, 0 AS skipped, 0 AS duplicates,
+       COUNT(*) FILTER (WHERE {valid}) AS log_rows, COUNT(*) FILTER (WHERE {valid}) AS stored
+FROM events""",
+        "run_rejects": f"""
+SELECT CAST(event_id AS VARCHAR) AS event_id, 'validation failed' AS error, details
+FROM (SELECT event_id, {_DIRTY_ERRORS} AS details FROM events) WHERE details <> ''""",
+        "quoted_numbers": f"""
+SELECT event_id || '.0' AS event_id, 'invalid event_type ' ||
+       CASE event_id % 3 WHEN 0 THEN '1e3' WHEN 1 THEN '2.50' ELSE '1.0' END ||
+       '; allowed: {_LIST.replace("''", "'").replace("'", "''")}|timestamp is not ISO-8601: -0.50' AS errors
 FROM events""",
         "event_count": "SELECT COUNT(*) AS count FROM events",
         "count_by_event_type": """
@@ -605,6 +753,18 @@ FROM f JOIN fired r ON r.off = f.off AND r.rule = 'amount_spike'""",
         "transfer_features": f"""
 WITH {_PLAIN} SELECT txn_id, cnt, ROUND(total, 2) AS total, n, mean, payee_first
 FROM f""",
+        "transfer_features_split": f"""
+WITH {_PLAIN} SELECT txn_id, cnt, ROUND(total, 2) AS total, n, mean, payee_first
+FROM f""",
+        "own_rule": f"""
+WITH {_PLAIN} SELECT txn_id, rule, reason,
+  ROW_NUMBER() OVER (PARTITION BY off ORDER BY rule_order) - 1 AS rule_order
+FROM (SELECT off, txn_id, rule_order, rule, reason FROM fired UNION ALL
+      SELECT off, txn_id, 4, 'often_and_much', 'payment no. ' || (n + 1)
+      FROM f WHERE n >= 5 AND total > 2 * mean)""",
+        "default_thresholds": f"""
+WITH {_DEFAULTS} SELECT txn_id, rule, reason,
+  ROW_NUMBER() OVER (PARTITION BY off ORDER BY rule_order) - 1 AS rule_order FROM fired""",
         "score_transfers": f"""
 WITH {_PLAIN} SELECT txn_id, rule, reason,
   ROW_NUMBER() OVER (PARTITION BY off ORDER BY rule_order) - 1 AS rule_order FROM fired""",
@@ -616,6 +776,18 @@ WITH {_WELL_FORMED} SELECT txn_id, account_id, rule, reason, "timestamp" FROM fi
         "hold_count": f"WITH {_WELL_FORMED} SELECT COUNT(*) AS count FROM held",
         "detect_summary": f"""
 WITH {_WELL_FORMED}
+SELECT (SELECT COUNT(*) FROM t) AS processed,
+       (SELECT COUNT(*) FROM events WHERE event_type = 'error' OR NOT value > 0) AS skipped,
+       (SELECT COUNT(*) FROM fired) AS alerts, (SELECT COUNT(*) FROM held) AS holds,
+       (SELECT COUNT(*) FROM fired) AS alerts_recorded,
+       (SELECT COUNT(*) FROM held) AS holds_recorded""",
+        "alerts_duplicates": f"""
+WITH {_AGAIN} SELECT txn_id, account_id, rule, reason, "timestamp" FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY txn_id, rule ORDER BY off) AS nth FROM fired)
+WHERE nth = 1""",
+        "holds_duplicates": f"WITH {_AGAIN} SELECT DISTINCT * FROM held",
+        "transfer_run": f"""
+WITH {_WELL_FORMED}
 SELECT (SELECT COUNT(*) FROM t) AS processed,
        (SELECT COUNT(*) FROM events WHERE event_type = 'error' OR NOT value > 0) AS skipped,
        (SELECT COUNT(*) FROM fired) AS alerts, (SELECT COUNT(*) FROM held) AS holds,
@@ -626,6 +798,9 @@ SELECT (SELECT COUNT(*) FROM t) AS processed,
 SELECT COUNT(*) FILTER (WHERE {valid}) AS accepted, COUNT(*) FILTER (WHERE NOT {valid}) AS rejected
 FROM events""",
         "stream_load": loaded,
+        "stream_load_missing_log": f"""
+SELECT 'before' AS at, 0 AS rows UNION ALL
+SELECT 'after', COUNT(*) FILTER (WHERE {valid}) FROM events""",
         "stream_detect_alerts": f"""
 WITH {_WELL_FORMED} SELECT txn_id, account_id, rule, reason, "timestamp" FROM fired""",
         "stream_detect_holds": f"WITH {_WELL_FORMED} SELECT * FROM held",

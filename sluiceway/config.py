@@ -55,8 +55,8 @@ class SkewParams:
 
     Accounts with more than `hot_rows` transfers are split into blocks of
     `block_rows` consecutive log offsets, so a block never holds more rows than
-    that. At most `hot_keys` accounts, the largest, are treated this way; by
-    counting, any other account then holds less than 1/`hot_keys` of the rows.
+    that. Up to `hot_keys` names of such accounts are broadcast, more are joined
+    by shuffle with salts.
     `slices` bounds how many runs of the time order the hot rows are cut into.
     """
 

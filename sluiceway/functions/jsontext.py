@@ -93,9 +93,22 @@ def is_nested(f: Field) -> Column:
     return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
 
 
-def shown(f: Field) -> Column:
-    """How a value is quoted inside an error message."""
-    text = f.text
+def as_written(name: str, raw: str = "raw") -> Column:
+    """A top-level number's text as it stands in the document.
+
+    Of the numbers that follow this name anywhere in it, the last that has the field's
+    value; where none has (the name is written with escapes), the value's own text.
+    """
+    f = field(name)
+    value = f.value.try_cast("double")
+    found = F.regexp_extract_all(F.col(raw), F.lit(f'"{name}"\\s*:\\s*(-?[0-9][0-9.eE+-]*)'))
+    same = F.filter(found, lambda x: x.try_cast("double") == value)
+    return F.coalesce(F.try_element_at(same, F.lit(-1)), f.text)
+
+
+def shown(f: Field, name: str | None = None) -> Column:
+    """How a value is quoted inside an error message; the numbers of field `name` as written."""
+    text = f.text if name is None else F.when(is_number(f), as_written(name)).otherwise(f.text)
     escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for char, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(char), F.lit(code))
@@ -111,9 +124,10 @@ def shown(f: Field) -> Column:
     )
 
 
-def key_text(f: Field) -> Column:
+def key_text(name: str) -> Column:
     """Text stored for a key field: numbers as written, booleans as 1/0."""
-    return F.when(
+    f = field(name)
+    return F.when(is_number(f), as_written(name)).when(
         is_boolean(f), F.when(f.text == "true", F.lit("1")).otherwise(F.lit("0"))
     ).otherwise(f.text)
 

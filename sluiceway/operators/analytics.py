@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # Sums are exact to this many decimals; finer parts are added up as doubles.
 MONEY = "decimal(18,6)"
 
 
+def money_parts(value: Column) -> dict[str, Column]:
+    """The sums that `money_total` puts together; they can be added up themselves."""
+    exact = value.try_cast(MONEY)
+    return {
+        "exact": F.sum(exact), "rest": F.sum(value - F.coalesce(exact.cast("double"), F.lit(0.0)))
+    }
+
+
+def money_total(exact: Column, rest: Column) -> Column:
+    return F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
+
+
 def money_sum(value: Column) -> Column:
     """Sum of doubles that does not depend on the order rows meet in.
 
     The part that fits MONEY is added as decimals. What that leaves over, which is
     zero for ordinary amounts and all of an enormous one, is added as doubles.
     """
-    exact = value.try_cast(MONEY)
-    rest = value - F.coalesce(exact.cast("double"), F.lit(0.0))
-    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))
+    return money_total(**money_parts(value))
 
 
 def event_count(events: DataFrame) -> DataFrame:
@@ -49,21 +59,40 @@ def total_purchase_value(events: DataFrame) -> DataFrame:
 
 
 def analytics_report(events: DataFrame, limit: int = 5) -> DataFrame:
-    """The four answers as rows (metric, key, value)."""
+    """The four answers as rows (metric, key, value, ordinal), `ordinal` within the metric.
+
+    The events are read twice: once combined by type, from which three of the answers
+    come, and once by user.
+    """
+    by_type = events.groupBy("event_type").agg(
+        F.count("*").alias("count"), *(part.alias(n) for n, part in money_parts(F.col("value")).items())
+    )
+    purchases = F.col("event_type") == "purchase"
+    totals = by_type.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).cast("double").alias("events"),
+        money_total(F.sum(F.when(purchases, F.col("exact"))), F.sum(F.when(purchases, F.col("rest")))).alias("bought"),
+    )
 
-    def rows(metric: str, df: DataFrame, key: Column, value: str) -> DataFrame:
-        return df.select(
-            F.lit(metric).alias("metric"), key.alias("key"), F.col(value).cast("double").alias("value")
+    def answer(metric: str, key: Column, value: Column, ordinal: Column) -> Column:
+        return F.struct(
+            F.lit(metric).alias("metric"), key.alias("key"), value.cast("double").alias("value"),
+            ordinal.cast("int").alias("ordinal"),
         )
 
-    whole = F.lit("all")
+    whole, first = F.lit("all"), F.lit(1)
+    # few rows: one a type, and the top users
+    place = F.row_number().over(W.orderBy(F.desc("count"), F.asc(F.col("key"))))
+    types = by_type.select(F.col("event_type").alias("key"), "count")
+    users = top_users(events, limit).select(F.col("user_id").alias("key"), "count")
     parts = [
-        rows("total_events", event_count(events), whole, "count"),
-        rows("events_by_type", count_by_event_type(events), F.col("event_type"), "count"),
-        rows("top_users", top_users(events, limit), F.col("user_id"), "count"),
-        rows("total_purchase_value", total_purchase_value(events), whole, "total"),
+        totals.select(F.inline(F.array(
+            answer("total_events", whole, F.col("events"), first),
+            answer("total_purchase_value", whole, F.col("bought"), first),
+        ))),
+        *(
+            df.withColumn("_place", place).select(F.inline(F.array(
+                answer(metric, F.col("key"), F.col("count"), F.col("_place")))))
+            for metric, df in (("events_by_type", types), ("top_users", users))
+        ),
     ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluiceway import schemas
 from sluiceway.config import HOLD_REASON, DetectorParams, SkewParams, TransferRules
-from sluiceway.operators.history import features, split_by_size
+from sluiceway.operators.history import features, meet_large, split_by_size
 from sluiceway.operators.rules import RULES, Rule, fired_rules, score
 from sluiceway.operators.validate import is_valid, validate_transfers
 from sluiceway.sources.staging import stage
@@ -80,8 +80,9 @@ def holds_of(
     )
     joined = small.join(flagged, "account_id")
     if large is not None:
-        known = F.broadcast(flagged.join(names, "account_id", "left_semi"))
-        joined = joined.unionByName(large.join(known, "account_id"))
+        # one row for each such account, or the rows stay apart by their salts
+        known = flagged.join(names, "account_id", "left_semi")
+        joined = joined.unionByName(meet_large(large, known, skew))
     return joined.where(held).select(
         "offset", "txn_id", "account_id", "timestamp", F.lit(HOLD_REASON).alias("reason")
     )

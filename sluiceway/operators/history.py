@@ -24,15 +24,16 @@ from sluiceway.sources.staging import stage
 
 # Rows a task works on at a time.
 TASK_ROWS = 1 << 18
+# Tasks a large account is dealt to where its name is not broadcast.
+SALTS = 64
 
 _SUM_TYPES = {"cnt": "bigint", "hi": "bigint", "lo": "bigint", "fine": "double", "huge": "double"}
 
 
-def hot_accounts(transfers: DataFrame, skew: SkewParams) -> list[str]:
-    """The accounts to split, largest first: at most `hot_keys` names."""
+def hot_accounts(transfers: DataFrame, skew: SkewParams) -> DataFrame:
+    """(account_id): the accounts to split, written out; by counting, few beside the rows."""
     sizes = transfers.groupBy("account_id").count().where(F.col("count") > skew.hot_rows)
-    largest = sizes.orderBy(F.desc("count"), "account_id").limit(skew.hot_keys)
-    return [r.account_id for r in largest.collect()]
+    return stage(sizes.select("account_id"), "large-names")
 
 
 def _plus_sums(schema: T.StructType) -> T.StructType:
@@ -353,21 +354,43 @@ class Split(NamedTuple):
     names: DataFrame | None
 
 
+def _salted(rows: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a salt: a row has one, a name has every one."""
+    salts = F.explode(F.sequence(*(F.lit(n).cast("bigint") for n in (0, SALTS - 1))))
+    return (
+        rows.withColumn("_salt", F.pmod(F.xxhash64("offset"), F.lit(SALTS))),
+        names.select("*", salts.alias("_salt")),
+        ["account_id", "_salt"],
+    )
+
+
 def split_by_size(rows: DataFrame, skew: SkewParams) -> Split:
-    hot = hot_accounts(rows, skew)
-    if not hot:
+    """Up to `hot_keys` names are broadcast. More are joined by shuffle, each name once for
+    every salt, so that no task meets all rows of an account either way."""
+    names = hot_accounts(rows, skew)
+    n = names.count()
+    if not n:
         return Split(rows, None, None)
-    # At most `hot_keys` names, so always small enough to broadcast.
-    names = F.broadcast(
-        rows.sparkSession.createDataFrame([(a,) for a in hot], "account_id string")
-    )
+    if n <= skew.hot_keys:
+        here, keys = F.broadcast(names), ["account_id"]
+    else:
+        rows, here, keys = _salted(rows, names)
     return Split(
-        rows.join(names, "account_id", "left_anti"),
-        rows.join(names, "account_id", "left_semi"),
+        rows.join(here, keys, "left_anti").drop("_salt"),
+        rows.join(here, keys, "left_semi").drop("_salt"),
         names,
     )
 
 
+def meet_large(large: DataFrame, facts: DataFrame, skew: SkewParams) -> DataFrame:
+    """Rows of large accounts joined with one row of facts for each account that has some."""
+    facts = stage(facts, "large-facts")
+    if facts.count() <= skew.hot_keys:
+        return large.join(F.broadcast(facts), "account_id")
+    large, facts, keys = _salted(large, facts)
+    return large.join(facts, keys).drop("_salt")
+
+
 def features(
     transfers: DataFrame,
     params: DetectorParams = DetectorParams(),

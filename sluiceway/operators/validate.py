@@ -35,7 +35,7 @@ def _bad_time() -> Column:
     f = J.field("timestamp")
     return _fault(
         J.is_present(f) & F.col("micros").isNull(),
-        F.concat(F.lit("timestamp is not ISO-8601: "), J.shown(f)),
+        F.concat(F.lit("timestamp is not ISO-8601: "), J.shown(f, "timestamp")),
     )
 
 
@@ -99,7 +99,7 @@ def validate_events(df: DataFrame, rules: EventRules = EventRules()) -> DataFram
             rules.allowed_types,
             F.concat(
                 F.lit("invalid event_type "),
-                J.shown(J.field("event_type")),
+                J.shown(J.field("event_type"), "event_type"),
                 F.lit(f"; allowed: {_quoted_list(rules.allowed_types)}"),
             ),
         ),
@@ -112,8 +112,8 @@ def validate_events(df: DataFrame, rules: EventRules = EventRules()) -> DataFram
         fields,
         kept,
         _errors("event must be a JSON object", faults).alias("errors"),
-        J.key_text(J.field("event_id")).alias("event_id"),
-        J.key_text(J.field("user_id")).alias("user_id"),
+        J.key_text("event_id").alias("event_id"),
+        J.key_text("user_id").alias("user_id"),
         J.field("event_type").text.alias("event_type"),
         J.field("timestamp").text.alias("timestamp"),
         F.col("value"),
@@ -130,7 +130,7 @@ def validate_transfers(df: DataFrame, rules: TransferRules = TransferRules()) ->
         _not_member(
             "currency",
             rules.currencies,
-            F.concat(F.lit("unsupported currency "), J.shown(J.field("currency"))),
+            F.concat(F.lit("unsupported currency "), J.shown(J.field("currency"), "currency")),
         ),
         _bad_time(),
         *(_nested_key(n) for n in ("txn_id", "account_id", "payee_id")),
@@ -139,7 +139,7 @@ def validate_transfers(df: DataFrame, rules: TransferRules = TransferRules()) ->
         fields,
         kept,
         _errors("transaction must be a JSON object", faults).alias("errors"),
-        *(J.key_text(J.field(n)).alias(n) for n in ("txn_id", "account_id", "payee_id")),
+        *(J.key_text(n).alias(n) for n in ("txn_id", "account_id", "payee_id")),
         "amount",
         J.field("currency").text.alias("currency"),
         J.field("timestamp").text.alias("timestamp"),

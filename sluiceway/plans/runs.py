@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from sluiceway.config import DetectorParams, EventRules, SkewParams, TransferRules
 from sluiceway.operators.analytics import analytics_report
 from sluiceway.operators.detect import Summary, detect
 from sluiceway.operators.load import Loaded, load_records
-from sluiceway.operators.validate import accepted, validate_events
+from sluiceway.operators.validate import accepted, is_valid, rejected, validate_events
 from sluiceway.sources.lines import read_lines
 from sluiceway.sources.log import RecordLog
 from sluiceway.sources.tables import alerts_table, events_table, holds_table
@@ -35,18 +35,27 @@ def run_events(
     table_path: str,
     rules: EventRules = EventRules(),
     reset: bool = True,
+    rejects_path: str | None = None,
 ) -> BatchRun:
-    """File -> validate -> log -> events table -> report. `reset` starts both afresh."""
+    """File -> validate -> log -> events table -> report. `reset` starts both afresh.
+
+    Rejects are counted in the pass that appends; with `rejects_path` they are written
+    there with their faults, from the same files.
+    """
     log, table = RecordLog(spark, log_path), events_table(spark, table_path)
     if reset:
         log.clear()
         table.clear()
-    lines = read_lines(spark, source)
-    appended = log.append(accepted(validate_events(lines, rules)))
-    # Counting lines needs no parsing, so the JSON is read once.
-    rejected = lines.count() - appended.rows
+    checked = validate_events(read_lines(spark, source), rules)
+    seen = Observation()
+    counted = checked.observe(seen, F.count_if(~is_valid()).alias("rejected"))
+    appended = log.append(accepted(counted))
+    if rejects_path is not None:
+        rejected(checked).write.mode("overwrite").parquet(rejects_path)
     loaded = load_records(log.read(appended.first_offset), table, rules)
-    return BatchRun(appended.rows, rejected, loaded, event_report(spark, table_path))
+    return BatchRun(
+        appended.rows, seen.get["rejected"], loaded, event_report(spark, table_path)
+    )
 
 
 def run_transfers(

@@ -30,7 +30,7 @@ def test_query(spark, name):
 
 
 def test_entry(spark):
-    assert E.entry(spark).columns == ["metric", "key", "value"]
+    assert E.entry(spark).columns == ["metric", "key", "value", "ordinal"]
 
 
 def test_scans_read_what_they_need(spark):
