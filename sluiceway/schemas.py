@@ -36,5 +36,7 @@ LOG_STORED = _struct(("offset", _L), ("raw", _S), ("batch_id", _S))
 LOG_READ = _struct(("offset", _L), ("raw", _S), ("batch_id", _L))
 
 
-def with_batch_name(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch", _S)])
+def with_batch_name(schema: T.StructType, bucket: str) -> T.StructType:
+    return T.StructType(
+        [*schema.fields, T.StructField(bucket, T.IntegerType()), T.StructField("batch", _S)]
+    )

@@ -49,9 +49,3 @@ def read_or_empty(
             raise
         return spark.createDataFrame([], schema)
 
-
-def clear(spark: SparkSession, path: str, schema: StructType) -> None:
-    """Leave a stored table without batches: `schema` ends in its batch column."""
-    spark.createDataFrame([], schema).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy(schema.names[-1]).parquet(path)
