@@ -39,7 +39,9 @@ from sluiceway.sources.tables import (  # noqa: E402
     flags_table,
     holds_table,
 )
-from sluiceway.streaming import runs as S  # noqa: E402
+from sluiceway.operators import monitor as MO, versions as V  # noqa: E402
+from sluiceway.sources.tables import read_days, write_days  # noqa: E402
+from sluiceway.streaming import monitor as SM, runs as S  # noqa: E402
 
 SMOKE = "/root/testdata/sf0.001"
 PARAMS = DetectorParams(
@@ -497,6 +499,122 @@ def _stream_holds(spark: SparkSession, folder: str) -> DataFrame:
     return _streamed_detection(spark, folder)[1].read()
 
 
+# --- watching -------------------------------------------------------------------
+
+DELAY = 360  # minutes
+SHARES = (0.5, 0.95, 0.99)
+HOT_SHARE = 0.0015
+
+
+def _event_log(spark: SparkSession, *waves: DataFrame) -> RecordLog:
+    """One append for each wave of events, unchecked."""
+    log = RecordLog(spark, new_folder(spark, "log"))
+    for wave in waves:
+        log.append(in_order(inputs.event_records(wave), "offset"))
+    return log
+
+
+def _stream_events_per_minute(spark: SparkSession, folder: str) -> DataFrame:
+    """Three quarters of the events, then the rest, of which most come late."""
+    df = inputs.events(spark, folder)
+    behind = F.col("event_id") % 4 == 3
+    log = _event_log(spark, df.where(~behind), df.where(behind))
+    counts, late, checkpoint = (new_folder(spark, n) for n in ("counts", "late", "checkpoint"))
+    SM.events_per_minute(spark, log, counts, late, checkpoint, DELAY, commits_per_batch=1).awaitTermination()
+    missed = spark.read.parquet(late).select(
+        F.expr(f"ts - pmod(ts, {SM.MINUTE}L)").alias("minute"), F.lit(1).cast("bigint").alias("late")
+    )
+    return (
+        SM.minute_counts(spark, counts)
+        .select("minute", "count", F.lit(0).cast("bigint").alias("late"))
+        .unionByName(missed.withColumn("count", F.lit(0).cast("bigint")))
+        .groupBy("minute")
+        .agg(F.sum("count").alias("count"), F.sum("late").alias("late"))
+    )
+
+
+def _stream_distinct_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event sent twice, the second time with other white space."""
+    df = inputs.events(spark, folder)
+    log = RecordLog(spark, new_folder(spark, "log"))
+    for space in ("", "  "):
+        records = inputs.event_records(df).withColumn(
+            "raw", F.concat(F.lit("{" + space), F.substring("raw", 2, 1 << 30))
+        )
+        log.append(in_order(records, "offset"))
+    path, checkpoint = new_folder(spark, "distinct"), new_folder(spark, "checkpoint")
+    SM.distinct_contents(spark, log, path, checkpoint, "3650 days", commits_per_batch=1).awaitTermination()
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "timestamp", "value")
+
+
+def _consumer_lag(spark: SparkSession, folder: str) -> DataFrame:
+    """One consumer that stopped after the first of two appends, one that went on."""
+    df = inputs.events(spark, folder)
+    later = F.col("event_id") % 3 == 2
+    log = _event_log(spark, df.where(~later))
+    paths = {n: [new_folder(spark, k) for k in ("events", "counts", "checkpoint")] for n in ("slow", "steady")}
+
+    def consume(name: str) -> None:
+        table, *rest = paths[name]
+        S.load(spark, log, events_table(spark, table), *rest).awaitTermination()
+
+    consume("slow")
+    consume("steady")
+    log.append(in_order(inputs.event_records(df.where(later)), "offset"))
+    consume("steady")
+    return SM.consumer_lag(spark, log, {n: p[1] for n, p in paths.items()})
+
+
+def _value_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles from sketches by day, merged by type, and whether their ranks are right."""
+    rows = inputs.events(spark, folder).withColumn("day", F.to_date("ts"))
+    sketches = stage(MO.quantile_sketches(rows, F.col("value"), "event_type", "day"), "sketches")
+    found = MO.quantiles(sketches, SHARES, "event_type").withColumnRenamed("value", "quantile")
+    ranks = rows.join(F.broadcast(found), "event_type").groupBy("event_type", "share", "n").agg(
+        F.count_if(F.col("value") < F.col("quantile")).alias("below"),
+        F.count_if(F.col("value") <= F.col("quantile")).alias("upto"),
+    )
+    off = F.lit(MO.RANK_ERROR) * F.col("n") + 1
+    right = (F.col("below") <= F.col("share") * F.col("n") + off) & (F.col("upto") >= F.col("share") * F.col("n") - off)
+    return ranks.select("event_type", "share", "n", right.alias("within"))
+
+
+def _hot_users(spark: SparkSession, folder: str) -> DataFrame:
+    return MO.hot_keys(inputs.events(spark, folder), "user_id", HOT_SHARE)
+
+
+def _daily_warehouse(spark: SparkSession, folder: str) -> DataFrame:
+    """Events laid out by day, written twice; counts and sums from a few of the days."""
+    df = inputs.events(spark, folder)
+    stored = validate_events(inputs.event_records(df))
+    path = new_folder(spark, "days")
+    for _ in range(2):
+        write_days(accepted(stored).select("event_id", "user_id", "event_type", "timestamp", "value"), path)
+    days = read_days(spark, path).where(F.dayofmonth("event_date") <= 7)
+    return days.groupBy("event_date").agg(
+        F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"),
+        F.round(A.money_sum(F.col("value")), 2).alias("total"),
+    )
+
+
+def _versioned_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of three versions, some of one that nobody knows yet."""
+    df = inputs.events(spark, folder)
+    n = F.col("event_id") % 8
+    version = F.when(n < 2, None).when(n < 4, 1).when(n < 6, 2).when(n < 7, 3).otherwise(9)
+    old = F.coalesce(version, F.lit(1)) == 1
+    records = df.select(
+        F.col("event_id").alias("offset"),
+        F.to_json(F.struct(
+            F.col("event_id").cast("string").alias("event_id"), F.col("event_type"),
+            version.alias("schema_version"),
+            F.when(old, F.col("value")).alias("value"), F.when(~old, F.col("value")).alias("amount"),
+            F.when(version == 3, F.lit("app")).alias("channel"),
+        )).alias("raw"),
+    )
+    return V.upcast(records).select("event_id", "event_type", "version", "amount", "channel")
+
+
 def _extension():
     """The query modules of the optional subpackage; none where it was taken out."""
     try:
@@ -568,6 +686,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_load_missing_log": _stream_load_missing_log,
         "stream_detect_alerts": _stream_alerts,
         "stream_detect_holds": _stream_holds,
+        "stream_events_per_minute": _stream_events_per_minute,
+        "stream_distinct_contents": _stream_distinct_contents,
+        "consumer_lag": _consumer_lag,
+        "value_quantiles": _value_quantiles,
+        "hot_users": _hot_users,
+        "daily_warehouse": _daily_warehouse,
+        "versioned_events": _versioned_events,
     } | {k: f for m in _extension() for k, f in m.queries().items()}
 
 
@@ -804,4 +929,31 @@ SELECT 'after', COUNT(*) FILTER (WHERE {valid}) FROM events""",
         "stream_detect_alerts": f"""
 WITH {_WELL_FORMED} SELECT txn_id, account_id, rule, reason, "timestamp" FROM fired""",
         "stream_detect_holds": f"WITH {_WELL_FORMED} SELECT * FROM held",
+        "stream_events_per_minute": f"""
+WITH v AS (SELECT epoch_us(date_trunc('minute', ts)) AS minute, ts, event_id % 4 = 3 AS behind
+           FROM events WHERE {valid}),
+mark AS (SELECT MAX(ts) FILTER (WHERE NOT behind) - INTERVAL {DELAY} MINUTE AS w FROM v)
+SELECT minute, COUNT(*) FILTER (WHERE NOT late) AS count, COUNT(*) FILTER (WHERE late) AS late
+FROM (SELECT minute, behind AND minute + 60000000 <= epoch_us(w) AS late FROM v, mark) GROUP BY minute""",
+        "stream_distinct_contents": loaded,
+        "consumer_lag": """
+SELECT 'slow' AS consumer, COUNT(*) FILTER (WHERE event_id % 3 <> 2) AS consumed,
+       COUNT(*) FILTER (WHERE event_id % 3 = 2) AS lag FROM events
+UNION ALL SELECT 'steady', COUNT(*), 0 FROM events""",
+        "value_quantiles": f"""
+SELECT event_type, unnest([{', '.join(map(str, SHARES))}]::DOUBLE[]) AS share, COUNT(value) AS n, true AS within
+FROM events GROUP BY event_type""",
+        "hot_users": f"""
+SELECT CAST(user_id AS VARCHAR) AS key, COUNT(*) AS count, (SELECT COUNT(*) FROM events) AS total
+FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+HAVING COUNT(*) >= {HOT_SHARE}::DOUBLE * (SELECT COUNT(*) FROM events)""",
+        "daily_warehouse": f"""
+SELECT CAST(ts AS DATE) AS event_date, COUNT(*) AS events, COUNT(DISTINCT event_id) AS ids,
+       ROUND(CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE), 2) AS total
+FROM events WHERE {valid} AND day(ts) <= 7 GROUP BY CAST(ts AS DATE)""",
+        "versioned_events": """
+SELECT CAST(event_id AS VARCHAR) AS event_id, event_type,
+       CASE WHEN n < 4 THEN 1 WHEN n < 6 THEN 2 WHEN n < 7 THEN 3 END AS version, value AS amount,
+       CASE n WHEN 6 THEN 'app' WHEN 7 THEN NULL ELSE 'web' END AS channel
+FROM (SELECT *, event_id % 8 AS n FROM events)""",
     } | {k: text for m in _extension() for k, text in m.oracle_sql().items()}

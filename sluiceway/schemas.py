@@ -25,6 +25,9 @@ ALERTS = _struct(
 HOLDS = _struct(("txn_id", _S), ("account_id", _S), ("timestamp", _S), ("reason", _S))
 FLAGS = _struct(("account_id", _S))
 REJECTS = _struct(("raw", _S), ("error", _S), ("details", T.ArrayType(_S)))
+MINUTES = _struct(("minute", _L), ("count", _L), ("latest", _L), ("batch", _S))
+COUNTS = _struct(("consumed", _L))
+WAREHOUSE = T.StructType([*EVENTS.fields, T.StructField("event_date", T.DateType())])
 
 EVENT_KEY = ("event_id",)
 ALERT_KEY = ("txn_id", "rule")

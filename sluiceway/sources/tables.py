@@ -14,6 +14,8 @@ from sluiceway.sources.staging import read_or_empty, stage
 BUCKET = "_bucket"
 #: Batches that a lookup names to the scan; of more, it reads the buckets of all.
 NAMED = 1000
+#: Tasks that a day's events are dealt to, so that one large day is not one task.
+DAY_FILES = 8
 
 
 def first_per_key(df: DataFrame, keys: tuple[str, ...], order: str = "offset") -> DataFrame:
@@ -126,6 +128,22 @@ class KeyedTable:
         files.remove(self.spark, self.rows_path)
 
 
+def write_days(events: DataFrame, path: str) -> None:
+    """Events into a warehouse laid out by `event_date`; the days they touch are replaced.
+
+    Other days stay as they are, and writing the same days again leaves the table equal.
+    The date is that of the event time as sent; events without one go to the null day.
+    """
+    dated = events.withColumn("event_date", F.substring("timestamp", 1, 10).try_cast("date"))
+    dated.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(DAY_FILES))).write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, path, schemas.WAREHOUSE)
+
+
 def events_table(spark: SparkSession, path: str) -> KeyedTable:
     return KeyedTable(spark, path, schemas.EVENTS, schemas.EVENT_KEY)
 

@@ -109,9 +109,10 @@ def load(
     def each(batch: DataFrame, batch_id: int) -> None:
         name = _name(batch.sparkSession, batch_id)
         new = batch.select("batch_id")
-        records = log.read_batches(log.commits().join(new, "batch_id", "left_semi"))
-        loaded = load_records(records, table, rules, batch=name)
-        _write_counts(spark, counts_path, name, loaded._asdict())
+        taken = log.commits().join(new, "batch_id", "left_semi")
+        loaded = load_records(log.read_batches(taken), table, rules, batch=name)
+        end = taken.agg(F.max(F.col("first_offset") + F.col("rows"))).first()[0]
+        _write_counts(spark, counts_path, name, {**loaded._asdict(), "consumed": end or 0})
 
     return (
         log.stream_commits(batches_per_load)
