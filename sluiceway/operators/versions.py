@@ -45,7 +45,7 @@ def upcast(records: DataFrame, steps: dict[int, Step] = STEPS) -> DataFrame:
     for version in sorted(steps):
         lifted = steps[version](fields)
         fields = {
-            n: c if c is fields[n] else F.when(F.col("_found") < version, c).otherwise(fields[n])
+            n: c if c is fields[n] else F.when(F.col("_json") & (F.col("_found") < version), c).otherwise(fields[n])
             for n, c in lifted.items()
         }
     known = F.col("_json") & F.col("_found").between(1, max(steps))
