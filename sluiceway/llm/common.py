@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluiceway.sources.staging import new_folder, stage
 
-__all__ = ["components", "discard", "new_folder", "pack_docs", "partitions", "shared_keys", "ship", "stage", "table"]
+__all__ = ["apart", "components", "discard", "new_folder", "pack_docs", "partitions", "shared_keys", "ship", "stage", "table"]
 
 CHUNK_BYTES = 4 << 20
 
@@ -46,6 +46,11 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+def apart(df: DataFrame) -> str:
+    """A beginning for names of helper columns that no column of `df` shares."""
+    return "_" * (1 + max([len(c) - len(c.lstrip("_")) for c in df.columns], default=0))
+
+
 def discard(staged: DataFrame) -> None:
     """Delete what `stage` wrote, once nothing will read it again."""
     files = staged.inputFiles()

@@ -23,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, discard, pack_docs, partitions, read_flags, shared_keys, ship, stage, unpack_docs
+from .common import apart, components, discard, pack_docs, partitions, read_flags, shared_keys, ship, stage, unpack_docs
 
 
 @dataclass(frozen=True)
@@ -423,12 +423,14 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of `docs`, with all their columns, whose id is the smallest of its component.
 
-    Rows without an id stay; rows that repeat the smallest id all stay.
+    Rows without an id stay; rows that repeat the smallest id all stay. Columns may have
+    any names.
     """
+    gone = f"{apart(docs)}drop"
     drop = (
         jaccard_groups(docs, params, id_col, text_col)
         .where("doc_id <> component_id")
-        .select(F.col("doc_id").alias("__drop"))
+        .select(F.col("doc_id").alias(gone))
         .distinct()
     )
-    return docs.join(drop, docs[id_col].cast("bigint") == F.col("__drop"), "left_anti")
+    return docs.join(drop, docs[id_col].cast("bigint") == F.col(gone), "left_anti")

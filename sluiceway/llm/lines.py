@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluiceway.sources.staging import stage
+from .common import apart, stage
 
+#: Columns that `line_dedup` adds.
+ADDED = ("line_dedup_lines", "line_dedup_removed", "line_dedup_runs")
 MIN_LINES = 3
 LONG_WORDS = 50
 
@@ -113,39 +115,42 @@ def line_dedup(
     a run; inside a removed run they go with it. The first copy by (id, line) stays whole, a null id before others.
     Rows of one id and text count as one place: none of them is a copy of another. A
     null text stays null; an empty one has no lines. Texts without runs are unchanged.
+    Other columns may have any names; those of the three added ones are replaced.
     """
+    own = {n: apart(docs) + n for n in ("i", "t", "h", "gone", "lines", "at", "from", "to")}
     gone = (
         repeated_runs(docs, id_col, text_col, min_lines, long_words)
-        .groupBy(F.col("i").alias("__i"), F.col("t").alias("__t"))
-        .agg(F.sort_array(F.collect_set("line")).alias("__gone"))
+        .groupBy(F.col("i").alias(own["i"]), F.col("t").alias(own["t"]))
+        .agg(F.sort_array(F.collect_set("line")).alias(own["gone"]))
     )
     text = F.col(text_col)
-    joined = docs.withColumn("__h", F.xxhash64(text)).join(
-        gone, (F.col("__h") == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__i")), "left"
+    joined = docs.withColumn(own["h"], F.xxhash64(text)).join(
+        gone, (F.col(own["h"]) == F.col(own["t"])) & F.col(id_col).eqNullSafe(F.col(own["i"])), "left"
     )
-    hit = F.col("__gone").isNotNull()
+    hit = F.col(own["gone"]).isNotNull()
     lines = F.split(text, "\n", -1)
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     at = F.transform(F.filter(numbered, lambda x: F.length(F.trim(x["x"])) > 0), lambda x: x["i"])
     edge = lambda step: F.filter(
-        "__gone", lambda x, i: F.coalesce(F.get("__gone", i + step) != x + step, F.lit(True))
+        own["gone"], lambda x, i: F.coalesce(F.get(own["gone"], i + step) != x + step, F.lit(True))
     )
     told = joined.withColumns(
-        {"__lines": F.when(hit, lines), "__at": at, "__from": edge(-1), "__to": edge(1)}
+        {own["lines"]: F.when(hit, lines), own["at"]: at, own["from"]: edge(-1), own["to"]: edge(1)}
     )
-    n_runs = F.size("__from")
+    n_runs = F.size(own["from"])
     kept = F.flatten(
-        F.transform(F.sequence(F.lit(0), n_runs), lambda r: _between("__lines", "__at", "__from", "__to", r))
+        F.transform(F.sequence(F.lit(0), n_runs), lambda r: _between(own["lines"], own["at"], own["from"], own["to"], r))
     )
     number = lambda c: F.when(hit, F.size(c)).otherwise(0).cast("bigint")
     return told.select(
         *(
             F.when(hit, F.array_join(kept, "\n")).otherwise(text).alias(c) if c == text_col else F.col(c)
             for c in docs.columns
+            if c not in ADDED
         ),
-        F.when(text.isNull(), 0).otherwise(F.size("__at")).cast("bigint").alias("line_dedup_lines"),
-        number("__gone").alias("line_dedup_removed"),
-        number("__from").alias("line_dedup_runs"),
+        F.when(text.isNull(), 0).otherwise(F.size(own["at"])).cast("bigint").alias(ADDED[0]),
+        number(own["gone"]).alias(ADDED[1]),
+        number(own["from"]).alias(ADDED[2]),
     )
 
 

@@ -313,6 +313,37 @@ def round_trips(
     return rows.mapInPandas(check, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, decoded boolean")
 
 
+def encode_and_decode(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, ids, n_pieces, text) for each row: the whole text's ids, and the text decoded from them.
+
+    Both ways in one task function, so that a worker holds the automaton once. A null text
+    counts as empty; a row depends on its text only.
+    """
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = encoder(model)
+        spelled = spelling(coder.auto)
+        for b in batches:
+            for a in range(0, len(b), 256):
+                part = b.iloc[a : a + 256]
+                ids = [np.frombuffer(x, "<i4") for x in coder.encode(list(part["t"]))]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["i"].astype("Int64"),
+                        "ids": ids,
+                        "n_pieces": [len(x) for x in ids],
+                        "text": [decode_ids(x, coder.auto, spelled) for x in ids],
+                    }
+                )
+
+    rows = ship(docs).select(
+        F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
+    )
+    return rows.mapInPandas(both, "doc_id bigint, ids array<int>, n_pieces bigint, text string")
+
+
 def decoded(ids: Column, model: str) -> Column:
     """The texts that arrays of ids stand for; null ids give null."""
 

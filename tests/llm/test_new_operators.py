@@ -274,3 +274,29 @@ def test_search_with_few_candidates(spark):
     assert _search(short, neighbours.SearchParams()) == {0: [(1, 3.0, 1)]}
     for odd in ([], ODD_VECTORS):
         assert _search(_vectors(spark, [], [], odd), neighbours.SearchParams()) == {}
+
+
+# --- helper columns that clash ------------------------------------------------------
+
+
+def test_columns_of_any_name(spark):
+    from sluiceway.llm import jaccard, lines, pieces
+
+    body = "\n".join(f"line number {i} of the weir" for i in range(5))
+    df = spark.createDataFrame([(1, body), (2, body), (3, None), (4, "")], "doc_id bigint, text string")
+    odd = df.selectExpr(
+        "*", "1 AS __gone", "2 AS __i", "3 AS ___t", "4 AS line_dedup_lines", "5 AS __drop", "6 AS i", "7 AS t"
+    )
+    plain = {r["doc_id"]: tuple(r)[1:] for r in lines.line_dedup(df).collect()}
+    cut = lines.line_dedup(odd)
+    assert cut.columns.count("line_dedup_lines") == 1 and {"__gone", "__i", "___t"} <= set(cut.columns)
+    for r in cut.collect():
+        assert (r["text"], r["line_dedup_lines"], r["line_dedup_removed"], r["line_dedup_runs"]) == plain[r["doc_id"]]
+        assert (r["__gone"], r["__i"], r["___t"]) == (1, 2, 3)
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    both = pieces.encode_and_decode(odd, SECOND).collect()
+    alone = {r["doc_id"]: r["ids"] for r in pieces.encode_documents(odd, SECOND).collect()}
+    assert {r["doc_id"]: r["ids"] for r in both} == alone
+    assert {r["doc_id"]: r["text"] for r in both} == {1: body, 2: body, 3: "", 4: ""}
+    assert all(r["n_pieces"] == len(r["ids"]) for r in both)
