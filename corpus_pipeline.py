@@ -43,14 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_pieces, text): each text's ids, and the text decoded from them."""
-    model = vocabulary("piece_bpe_32k.model")
-    encoded = pieces.encode_documents(docs, model)
-    return encoded.select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("bigint").alias("n_pieces"),
-        pieces.decoded(F.col("ids"), model).alias("text"),
-    )
+    return pieces.encode_and_decode(docs, vocabulary("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
