@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,9 @@ SPACE = "▁"  # fixed value: stands for a space in the pieces
 _MARK = SPACE.encode()
 #: Words a worker remembers with their ids; when full it starts again, the ids are the same.
 MEMORY = 500_000
+#: Places for pairs of pieces that a worker remembers as apart or not, a power of two; a new pair
+#: takes the place of the one before it.
+PAIRS = 1 << 21
 #: What an unknown character costs beside the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -27,7 +31,9 @@ class Automaton:
 
     `step[state * 256 + byte]` is the next state with all failure links followed;
     `piece[state]` the piece that ends there or -1, `link[state]` the next shorter state
-    that ends a piece or 0.
+    that ends a piece or 0. `ids` is None for a model whose best segmentation is that of
+    the highest sum of scores; for a model of merges it holds the id of each piece's
+    text, and scores are the order of the merges.
     """
 
     step: np.ndarray
@@ -38,11 +44,85 @@ class Automaton:
     byte_id: np.ndarray
     unknown: float
     texts: tuple[bytes, ...]
+    ids: dict[bytes, int] | None = None
+    apart: np.ndarray = field(default_factory=lambda: np.full(PAIRS, -1, np.int64), compare=False)
+
+
+def merge(word: bytes, auto: Automaton) -> list[int]:
+    """A word's ids by the merges themselves: of the neighbours whose joint text is a piece,
+    those of the best score are joined first, of equal scores the leftmost. A character that
+    is no piece has id -1."""
+    ids, score = auto.ids, auto.score
+    parts: list[bytes | None] = [c.encode() for c in word.decode()]
+    n = len(parts)
+    after = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+    heap = []
+    for i in range(n - 1):
+        p = ids.get(parts[i] + parts[i + 1])
+        if p is not None:
+            heap.append((-score[p], i, p))
+    heapify(heap)
+    while heap:
+        _, i, p = heappop(heap)
+        j = after[i]
+        # an entry whose parts have been joined to others since then is void
+        if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != auto.length[p]:
+            continue
+        if parts[i] + parts[j] != auto.texts[p]:
+            continue
+        parts[i], parts[j] = auto.texts[p], None
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for a, z in ((before[i], i), (i, after[i])):
+            if a >= 0 and z < n:
+                p = ids.get(parts[a] + parts[z])
+                if p is not None:
+                    heappush(heap, (-score[p], a, p))
+    return [ids.get(part, -1) for part in parts if part is not None]
+
+
+def _apart(first: np.ndarray, second: np.ndarray, auto: Automaton) -> np.ndarray:
+    """Of each pair of pieces, whether the merges of their joint text leave just the two."""
+    key = first.astype(np.int64) << 32 | second
+    place = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - PAIRS.bit_length())
+    held = auto.apart[place]
+    out = (held & 1).astype(bool)
+    new = np.flatnonzero(held >> 1 != key)
+    if len(new):
+        keys, back = np.unique(key[new], return_inverse=True)
+        found = np.zeros(len(keys), bool)
+        for k, (a, b) in enumerate(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist())):
+            both = auto.texts[a] + auto.texts[b]
+            found[k] = both not in auto.ids and merge(both, auto) == [a, b]
+        out[new] = found[back]
+        auto.apart[place[new]] = key[new] << 1 | out[new]
+    return out
+
 
+def build_automaton(
+    pieces: list[tuple[str, float]], byte_ids: list[int], skipped: frozenset[int], merges: bool = False
+) -> Automaton:
+    """`pieces`: text and score by id; `skipped`: ids that match no text; `byte_ids`: of the 256 bytes.
 
-def build_automaton(pieces: list[tuple[str, float]], byte_ids: list[int], skipped: frozenset[int]) -> Automaton:
-    """`pieces`: text and score by id; `skipped`: ids that match no text; `byte_ids`: of the 256 bytes."""
+    `merges`: the model joins neighbours in the order of scores. Pieces that its merges
+    never make of their own text are left out.
+    """
     texts = [t.encode() for t, _ in pieces]
+    if merges:
+        plain = Automaton(
+            *[np.zeros(0, np.int32)] * 3,
+            np.array([len(t) for t in texts], np.int64),
+            np.array([s for _, s in pieces], np.float64),
+            np.zeros(0, np.int64),
+            0.0,
+            tuple(texts),
+            {texts[i]: i for i in range(len(texts)) if i not in skipped},
+        )
+        skipped = skipped.union(
+            i for i in range(len(texts)) if i not in skipped and merge(texts[i], plain) != [i]
+        )
     scores = np.array([s for _, s in pieces], np.float64)
     children: list[dict[int, int]] = [{}]
     piece = [-1]
@@ -83,6 +163,7 @@ def build_automaton(pieces: list[tuple[str, float]], byte_ids: list[int], skippe
         np.array(byte_ids, np.int64),
         float(scores[usable].min()) - UNKNOWN_PENALTY if usable else -UNKNOWN_PENALTY,
         tuple(texts),
+        plain.ids if merges else None,
     )
 
 
@@ -100,7 +181,9 @@ def load(path: str) -> Automaton:
     )
     if any(SPACE in t.lstrip(SPACE) for i, (t, _) in enumerate(pieces) if i not in skipped):
         raise ValueError("a piece of this model crosses words")
-    return build_automaton(pieces, byte_ids, skipped)
+    # a model of merges numbers them: whole numbers from 0 down, all others have logarithms
+    merges = all(s <= 0 and s == int(s) for i, (_, s) in enumerate(pieces) if i not in skipped)
+    return build_automaton(pieces, byte_ids, skipped, merges)
 
 
 def segment(words: list[bytes], auto: Automaton) -> list[bytes]:
@@ -110,6 +193,11 @@ def segment(words: list[bytes], auto: Automaton) -> list[bytes]:
     piece that ends here relaxes the best score of this place. A character that no piece
     covers alone costs `unknown` and becomes its bytes. Of equal scores the longest last
     piece stays.
+
+    In a model of merges a piece relaxes a place only if the merges leave it and the piece
+    before it apart. So every place has one way to it, the merges' own; longer pieces are
+    asked first, and a place that is reached asks no more. A word that ends unreached is
+    merged step by step.
     """
     out: list[bytes] = [b""] * len(words)
     order = sorted(range(len(words)), key=lambda i: -len(words[i]))
@@ -155,13 +243,20 @@ def _segment(words: list[bytes], auto: Automaton) -> list[bytes]:
         while len(on):
             p = auto.piece[here]
             length = auto.length[p]
-            score = flat_best[(i + 1 - length) * n + on] + auto.score[p]
+            start = (i + 1 - length) * n + on
+            score = flat_best[start] + auto.score[p]
             to = (i + 1) * n + on
             better = score > flat_best[to]
+            if auto.ids is not None:
+                # at a word's begin and after an unknown character every piece is apart
+                asked = np.flatnonzero(better & (flat_used[start] >= 0))
+                better[asked] = _apart(flat_used[start[asked]], p[asked], auto)
             to = to[better]
             flat_best[to], flat_came[to], flat_used[to] = score[better], length[better], p[better]
             here = auto.link[here]
             more = here > 0
+            if auto.ids is not None:
+                more &= ~better
             on, here = on[more], here[more]
         # the end of a character: the next byte begins one, or the word ends
         last = size[:live] == i + 1
@@ -170,11 +265,17 @@ def _segment(words: list[bytes], auto: Automaton) -> list[bytes]:
         w = np.flatnonzero(last)
         score = flat_best[begun[w] * n + w] + auto.unknown
         better = score > best[i + 1, w]
+        if auto.ids is not None:
+            # here a character is unknown only if it is no piece, reached or not
+            for k in np.flatnonzero(better).tolist():
+                better[k] = words[w[k]][begun[w[k]] : i + 1] not in auto.ids
         w, score = w[better], score[better]
         best[i + 1, w], came[i + 1, w], used[i + 1, w] = score, i + 1 - begun[w], -1
     # back along the paths, all words in step
     taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    on, where = np.flatnonzero(size), size[size > 0].astype(np.int64)
+    reached = np.isfinite(best[size, np.arange(n)])
+    on = np.flatnonzero((size > 0) & reached)
+    where = size[on].astype(np.int64)
     while len(on):
         cell = where * n + on
         taken.append((on, flat_used[cell], where))
@@ -190,9 +291,23 @@ def _segment(words: list[bytes], auto: Automaton) -> list[bytes]:
     for k in np.unique(owner[ids < 0]).tolist():
         own = slice(bounds[k], bounds[k + 1])
         out[k] = _spell(ids[own], ends[own], words[k], auto).astype("<u4").tobytes()
+    for k in np.flatnonzero(~reached).tolist():
+        out[k] = _merged(words[k], auto)
     return out
 
 
+def _merged(word: bytes, auto: Automaton) -> bytes:
+    """`merge` as 32-bit ids, with the bytes of unknown characters."""
+    found = np.array(merge(word, auto), np.int64)
+    parts, at = [], 0
+    for p in found.tolist():
+        # an unknown character is one character long, by its first byte
+        lead = word[at]
+        at += int(auto.length[p]) if p >= 0 else 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        parts.append(at)
+    return _spell(found, np.array(parts, np.int64), word, auto).astype("<u4").tobytes()
+
+
 def _spell(ids: np.ndarray, ends: np.ndarray, word: bytes, auto: Automaton) -> np.ndarray:
     """The path with the bytes of its unknown characters."""
     out, start = [], 0

@@ -369,6 +369,26 @@ def test_viterbi_against_brute_force():
         assert known + auto.unknown * len(spelled.decode()) == pytest.approx(best[len(word)])
 
 
+def test_ids_are_those_of_the_models_own_encoder():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, own = pieces.encoder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t or "" for t in pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"]).text]
+    rng = np.random.default_rng(9)
+    letters = list("  aeinrstth\n\t éß漢字①\U0001f600.,012")
+    texts += ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(2000)]
+    texts += [" " * k + "x" + " " * k for k in range(70)] + ["the " * 30_000]
+    for a in range(0, len(texts), 256):
+        part = texts[a : a + 256]
+        ids = [np.frombuffer(x, "<i4").tolist() for x in model.encode(part)]
+        assert ids == own.encode(part, num_threads=1)
+    # the merges step by step, which a word takes that no path reaches
+    for text in ("the", "retition", "a①b", "x\U0001f600漢"):
+        word = pieces._MARK + text.encode()
+        assert np.frombuffer(pieces._merged(word, model.auto), "<u4").tolist() == own.encode(text)
+
+
 def test_leaks(spark):
     rng = np.random.default_rng(8)
     items = [(i, _text(rng, 12).capitalize() + " " + _text(rng, 8).capitalize()) for i in range(30)]
