@@ -20,19 +20,20 @@ MARK = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|textarea|select|button|object|canvas|title)\b"
+    r"|<(script|style|noscript|template|iframe|svg|annotation|textarea|select|button|object|canvas|title)\b"
     r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:\A|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_PARTS = re.compile(r"[-_:]+")
 
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s "
-    "samp small span strike strong sub sup time tt u var wbr img input br".split()
+    "samp small span strike strong sub sup time tt u var wbr img input br "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msup msub msubsup mover munder munderover semantics".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = frozenset("nav footer aside form menu dialog head".split())
@@ -66,22 +67,57 @@ _NOISE = frozenset(
     "pager login search contentinfo complementary dialog form copyright".split()
 )
 _NOT_NOISE = frozenset("article main content post entry body story text".split())
+#: Of readers, also beside a word of content, as in post-comments.
+_READERS = frozenset("comment comments reply replies disqus respond".split())
+#: What says how a page is laid out, as in no-sidebar.
+_LAYOUT = frozenset("has no with without is".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """The attributes of a tag, of a repeated one the first; those without a value have ''."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), unescape("".join(values)))
+    return found
 
 
 def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
+    """Whether the element's tag, a hidden attribute or style, or its names say noise.
+
+    A class counts whole or by its first or last part, beside no word of content. An id
+    does so outside articles, with two parts at most; inside them it counts whole, and on
+    headings and inline elements, where it is the target of a link, not at all. A role
+    counts whole. No other attribute is looked at.
+    """
     if tag in _ASIDE or tag == "header" and not in_main:
         return True
     if not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    has = _attributes(attributes)
+    if has.get("hidden", "until-found").lower() != "until-found" or _UNSEEN.search(has.get("style", "")):
         return True
     if tag in _MAIN or tag in ("body", "html"):
         return False
-    for found in _NAMES.findall(attributes):
-        words = set(_WORDS.findall("".join(found).lower()))
-        if words & _NOISE and not words & _NOT_NOISE:
-            return True
-    return False
+    if has.get("role", "").strip().lower() in _NOISE:
+        return True
+    classes = [_PARTS.split(name) for name in has.get("class", "").lower().split()]
+    of_content = any(_NOT_NOISE.intersection(parts) for parts in classes)
+    if any(_names_noise(parts, of_content, tag) for parts in classes):
+        return True
+    if tag in _HEADINGS or tag in _INLINE:
+        return False
+    parts = _PARTS.split(has.get("id", "").strip().lower())
+    return len(parts) <= (1 if in_main else 2) and _names_noise(parts, bool(_NOT_NOISE.intersection(parts)), tag)
+
+
+def _names_noise(parts: list[str], of_content: bool, tag: str) -> bool:
+    if parts[0] in _LAYOUT:
+        return False
+    ends = {parts[0], parts[-1]}
+    if tag in _HEADINGS:
+        ends.discard("header")
+    return bool(ends & _READERS) or not of_content and bool(ends & _NOISE)
 
 
 def blocks_of(html: str) -> list[tuple[str, int]]:

@@ -265,6 +265,37 @@ def test_main_text(html, text):
     assert pages.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ('<p>see <a href="/hidden-gems">the best places</a></p>', "see the best places"),
+        ('<p title="the hidden truth">one</p>', "one"),
+        ('<p title="a > b" data-class="ad" data-hidden>one</p>', "one"),
+        ('<div class="overflow-hidden">one</div>', "one"),
+        ('<p aria-hidden="false">one</p>', "one"),
+        ('<h2 id="reply-to-critics">one</h2>', "one"),
+        ('<h2 id="the-search-for-water" class="section-header">one</h2>', "one"),
+        ('<section id="share-of-water"><p>one</p></section>', "one"),
+        ('<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>', "if x=2 then"),
+        ('<div class="no-sidebar">one</div>', "one"),
+        ('<p hidden>n</p>', ""),
+        ("<p HIDDEN=''>n</p>", ""),
+        ('<p hidden="until-found">one</p>', "one"),
+        ('<p style="color:red; display : none">n</p>', ""),
+        ('<p style="visibility:hidden">n</p>', ""),
+        ('<div class="widget share-buttons">n</div>', ""),
+        ('<div class="inner post-comments">n</div>', ""),
+        ('<section id="comments">n</section>', ""),
+        ('<div role="navigation">n</div>', ""),
+        ('<div class="js-cookie">n</div>', ""),
+    ],
+)
+def test_main_text_by_whole_attributes(inside, text):
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(4))
+    words = "".join(f"{'word ' * 30}{i} " for i in range(4))
+    assert pages.main_text(f"<article>{body}{inside}</article>") == f"{words}{text}".strip()
+
+
 def test_main_text_without_marks():
     body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(4))
     page = f"<body><div>Home</div><div>About</div><div></div>{body}</body>"
