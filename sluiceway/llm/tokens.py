@@ -164,6 +164,16 @@ _PIECES = regex.compile(
 )
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _SPECIAL = "<|"
+_STOPS = frozenset(".,;:!?")
+
+
+def _pieces(word: str) -> list[str]:
+    """The pieces of a space and a word; the rule is asked only where letters and a stop are not all."""
+    if word.isalpha():
+        return [" " + word]
+    if word[-1] in _STOPS and word[:-1].isalpha():
+        return [" " + word[:-1], word[-1]]
+    return _PIECES.findall(" " + word) if _SPECIAL not in word else [" " + word]
 
 
 class Encoder:
@@ -199,7 +209,9 @@ class Encoder:
             bounds = np.flatnonzero(self.first[ids])
             if len(bounds) != len(part):
                 raise ValueError("the vocabulary splits words otherwise than by space")
-            self.pieces.update(zip(part, (x.tobytes() for x in np.split(ids, bounds[1:]))))
+            raw = ids.tobytes()
+            ends = [*(2 * bounds[1:]).tolist(), len(raw)]
+            self.pieces.update(zip(part, (raw[a:z] for a, z in zip([0, *ends], ends))))
         rest = [p for p in new if p not in self.pieces]
         self.pieces.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
 
@@ -230,7 +242,7 @@ class Encoder:
         """Remember words, by their form without the space before them; odd ones as None."""
         whole = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         self.words.update(dict.fromkeys(new))
-        parts = [_PIECES.findall(" " + w) if _SPECIAL not in w else [" " + w] for w in whole]
+        parts = list(map(_pieces, whole))
         self._need(parts)
         known = self.pieces.__getitem__
         self.words.update((w, b"".join(map(known, ps))) for w, ps in zip(whole, parts))
