@@ -12,8 +12,15 @@ MIN_LINES = 3
 LONG_WORDS = 50
 
 
-def _windows(lines: Column, width: int) -> Column:
-    """Every stretch of `width` lines with its fingerprint, the smallest line hash in it."""
+#: What stands between the white space of the ASCII range.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _windows(lines: Column, width: int, words: int = 0) -> Column:
+    """Every stretch of `width` lines with `words` words or more, and its smallest line hash."""
+
+    def enough(i: Column) -> Column:
+        return sum((F.get(lines, i + j)["w"] for j in range(1, width)), F.get(lines, i)["w"]) >= words
 
     def at(i: Column) -> Column:
         part = F.slice(lines, i + 1, F.lit(width))
@@ -29,27 +36,8 @@ def _windows(lines: Column, width: int) -> Column:
         )
 
     last = F.size(lines) - width
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at))
-
-
-def _long(lines: Column, words: int) -> Column:
-    """Lines so long that one of them is a run."""
-    some = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            i.alias("start"),
-            F.lit(1).alias("width"),
-            x["h"].alias("mark"),
-            i.alias("mark_at"),
-            x["h"].alias("k1"),
-            x["g"].alias("k2"),
-            (x["w"] >= words).alias("long"),
-        ),
-    )
-    return F.transform(
-        F.filter(some, lambda x: x["long"]),
-        lambda x: F.struct(*(x[c].alias(c) for c in ("start", "width", "mark", "mark_at", "k1", "k2"))),
-    )
+    starts = F.sequence(F.lit(0), last)
+    return F.when(last >= 0, F.transform(F.filter(starts, enough) if words else starts, at))
 
 
 def repeated_runs(
@@ -62,9 +50,10 @@ def repeated_runs(
     """(i, t, line): numbers, among the non-blank lines, of lines in later repeated runs.
 
     `i` is the id and `t` a hash of the text, so repeated ids with other texts stay apart.
-    A run is `min_lines` non-blank lines or more in a row, or one line of `long_words`
-    words or more. Windows of `min_lines` lines each select their smallest line hash:
-    two equal runs always select a fingerprint in common. Windows whose fingerprint
+    A run is `min_lines` non-blank lines or more in a row, or fewer that have `long_words`
+    words or more together; words are parted by white space. Windows of `min_lines` lines,
+    and shorter ones with so many words, each select their smallest line hash: two equal
+    runs always select a fingerprint in common. Windows whose fingerprint
     lies at one place only are dropped; the others are extended around their fingerprint
     to both ends and compared whole, and all but the first by (id, line) are later ones.
     Stretches of such windows make up maximal runs.
@@ -75,7 +64,7 @@ def repeated_runs(
         lambda x: F.struct(
             F.xxhash64(x).alias("h"),
             F.xxhash64(F.lit(1), x).alias("g"),
-            (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"),
+            F.regexp_count(x, F.lit(WORD)).alias("w"),
         ),
     )
     held = docs.where(text.isNotNull()).select(
@@ -85,13 +74,13 @@ def repeated_runs(
     lines = F.col("lines")
     every = F.concat(
         F.coalesce(_windows(lines, min_lines), none),
-        _long(lines, long_words) if min_lines > 1 else none,
+        *(F.coalesce(_windows(lines, n, long_words), none) for n in range(1, min_lines)),
     )
     windows = held.select("i", "t", F.inline(every))
-    place = F.struct("i", "t", F.col("mark_at").alias("at"))
+    place = F.xxhash64("i", "t", "mark_at")
     marks = windows.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("z"))
     marks = stage(marks.where("a <> z").select("mark"), "marks")
-    near = windows.join(marks, "mark", "left_semi")
+    near = stage(windows.join(marks, "mark", "left_semi").drop("mark", "mark_at"), "near")
     whole = F.struct("i", "t", "start")
     keys = ["k1", "k2", "width"]
     first = near.groupBy(*keys).agg(F.min(whole).alias("a"), F.max(whole).alias("z"))

@@ -113,7 +113,8 @@ _LINE_DEDUP = f"""
 WITH d AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS all_lines FROM documents
 ), l AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, pos, line
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n, pos, line,
+         len(regexp_extract_all(line, '{lines.WORD}')) AS words
   FROM (SELECT doc_id, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS pos FROM d)
   WHERE length(trim(line, ' ')) > 0
 ), w AS (
@@ -121,8 +122,12 @@ WITH d AS (
          line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o AS body
   FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY n)
   UNION ALL
-  SELECT doc_id, n, 1, line FROM l
-  WHERE length(line) - length(replace(line, ' ', '')) + 1 >= {lines.LONG_WORDS}
+  SELECT doc_id, n, 1, line FROM l WHERE words >= {lines.LONG_WORDS}
+  UNION ALL
+  SELECT doc_id, n, 2, body FROM (
+    SELECT doc_id, n, line || chr(10) || lead(line, 1) OVER o AS body, words + lead(words, 1) OVER o AS words
+    FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY n))
+  WHERE words >= {lines.LONG_WORDS}
 ), later AS (
   SELECT doc_id, n, width FROM (
     SELECT *, row_number() OVER (PARTITION BY width, body ORDER BY doc_id, n) AS nth

@@ -1,6 +1,7 @@
 """Every operator of the subpackage against a brute-force version, with odd rows."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -121,10 +122,12 @@ def test_chunk_dedup(corpus, small_chunks):
     texts = sorted((i, (t or "").encode()) for i, t in set(zip(frame.doc_id, frame.text)))
     for i, b in texts:
         ends = chunking.cut_places(b, params)
+        spans = list(zip([0, *ends], ends))
+        again = "".join("01"[first.setdefault(b[a:z], (i, n)) != (i, n)] for n, (a, z) in enumerate(spans))
         kept = b""
-        for n, (a, z) in enumerate(zip([0, *ends], ends)):
-            part = b[a:z]
-            if len(part) < params.least or first.setdefault(part, (i, n)) == (i, n):
+        for m in re.finditer("0+|1+", again):
+            part = b[spans[m.start()][0] : spans[m.end() - 1][1]]
+            if m[0][0] == "0" or len(part) < params.run and m[0] != again:
                 kept += part
         rows = got[got.doc_id == i]
         assert {bytes(k) for k in rows.kept} == {kept} and set(rows.n_chunks) == {len(ends)}
@@ -167,7 +170,12 @@ def _line_model(rows):
     for i, t in rows:
         own = [x for x in (t or "").split("\n") if x.strip(" ")]
         windows += [(3, tuple(own[j : j + 3]), (i, j)) for j in range(len(own) - 2)]
-        windows += [(1, x, (i, j)) for j, x in enumerate(own) if x.count(" ") >= 49]
+        windows += [
+            (n, tuple(own[j : j + n]), (i, j))
+            for n in (1, 2)
+            for j in range(len(own) - n + 1)
+            if sum(len(x.encode().split()) for x in own[j : j + n]) >= 50
+        ]
     for n, body, at in sorted(windows, key=lambda w: w[2]):
         if first.setdefault((n, body), at) != at:
             gone.setdefault(at[0], set()).update(range(at[1], at[1] + n))
@@ -190,6 +198,38 @@ def test_line_dedup(corpus):
             assert r.text == before or before is None and r.text is None
 
 
+def test_line_runs_by_words(spark):
+    """Two lines of 50 words together are a run; blanks before a brace are no words."""
+    two = " ".join(f"a{i}" for i in range(30)) + "\n" + " ".join(f"b{i}" for i in range(20))
+    short = " ".join(f"c{i}" for i in range(30)) + "\n" + " ".join(f"d{i}" for i in range(19))
+    brace = " " * 52 + "}"
+    rows = [
+        (1, f"one\n{two}\nend 1\n{short}\nlast 1\n{brace}"),
+        (2, f"two\n{two}\nend 2\n{short}\nlast 2\n{brace}"),
+        (3, two),
+        (None, "\t" * 60 + "x"),
+        (4, "\t" * 60 + "x"),
+    ]
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.line_dedup_removed for r in got} == {1: 0, 2: 2, 3: 2, None: 0, 4: 0}
+    assert {r.doc_id: r.text for r in got}[2] == f"two\nend 2\n{short}\nlast 2\n{brace}"
+
+
+def test_chunks_of_phrases_stay_and_short_copies_go(spark):
+    rng = np.random.default_rng(3)
+    a, b = _text(rng, 200), _text(rng, 200)
+    shared = _text(rng, 60)
+    rows = [(1, a), (2, b), (3, "tiny"), (4, "tiny"), (5, a), (6, a[:300] + shared), (7, b[:150] + shared + "\u00e9")]
+    df = spark.createDataFrame([*rows, (8, None), (9, "")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in chunking.chunk_dedup(df, with_text=True).collect()}
+    assert [bytes(got[i].kept) for i in (1, 2, 3)] == [a.encode(), b.encode(), b"tiny"]
+    assert [bytes(got[i].kept) for i in (4, 5, 8, 9)] == [b""] * 4
+    assert got[6].n_removed and got[7].n_removed
+    assert chunking.long_runs({0, 1, 3}, [40, 80, 120, 250, 260], 96) == {3}
+    assert chunking.long_runs({0, 1}, [40, 80], 96) == {0, 1}
+    assert chunking.long_runs(set(), [], 96) == set()
+
+
 def test_quality_held_out(spark):
     rng = np.random.default_rng(5)
     rows = [
