@@ -20,9 +20,12 @@ _GEAR = np.random.default_rng(17).integers(0, 1 << 16, 256).astype(np.uint16)
 class ChunkParams:
     #: A place is a cut where so many high bits of its hash are zero: one of 2^bits.
     bits: int = 4
-    #: Bytes of a chunk at least, but for a text's last, and at most.
+    #: Bytes of a chunk at least, but for a text shorter than that, and at most; a rest
+    #: under the least is part of the last chunk.
     least: int = 32
     most: int = 512
+    #: Bytes of repeated chunks in a row, at least, that are removed: shorter ones are phrases.
+    run: int = 96
 
 
 def cut_places(text: bytes, params: ChunkParams) -> list[int]:
@@ -51,13 +54,31 @@ def cut_places(text: bytes, params: ChunkParams) -> list[int]:
     while n - last > params.most:
         last += params.most
         ends.append(last)
-    if last < n:
+    if ends and n - last < params.least:
+        ends[-1] = n
+    else:
         ends.append(n)
     return ends
 
 
+def long_runs(repeats: set[int], ends: list[int], run: int) -> set[int]:
+    """Of a text's repeated chunks those in a row of `run` bytes, or all if no other is there."""
+    if len(repeats) == len(ends):
+        return repeats
+    away: set[int] = set()
+    row: list[int] = []
+    for n in [*sorted(repeats), None]:
+        if row and n != row[-1] + 1:
+            if ends[row[-1]] - (ends[row[0] - 1] if row[0] else 0) >= run:
+                away.update(row)
+            row = []
+        if n is not None:
+            row.append(n)
+    return away
+
+
 class _Cut:
-    """The chunks of packed documents, those of at least `least` bytes with their digests."""
+    """The chunks of packed documents with their digests."""
 
     def __init__(self, blob: bytes, params: ChunkParams):
         self.ids, self.texts = unpack_docs(blob)
@@ -66,10 +87,9 @@ class _Cut:
         for d, (text, ends) in enumerate(zip(self.texts, self.ends)):
             a = 0
             for i, z in enumerate(ends):
-                if z - a >= params.least:
-                    digests.append(xxhash.xxh3_128_digest(text[a:z]))
-                    docs.append(d)
-                    nth.append(i)
+                digests.append(xxhash.xxh3_128_digest(text[a:z]))
+                docs.append(d)
+                nth.append(i)
                 a = z
         pairs = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
         self.high, self.low = pairs[:, 0], pairs[:, 1]
@@ -85,8 +105,9 @@ def chunk_dedup(
 ) -> DataFrame:
     """(doc_id, n_chunks, n_removed, n_bytes, n_removed_bytes, kept_sha256), and `kept` if asked.
 
-    Of the chunks with one digest the first by (doc_id, place) stays, the others go, also
-    within a document. Chunks under `least` bytes stay. A null text is empty. Rows of one
+    Of the chunks with one digest all but the first by (doc_id, place) are repeats, also
+    within a document. Repeats in a row go if they have `run` bytes together or are all
+    of a text; the first copy of a chunk always stays. A null text is empty. Rows of one
     id and place are the same place: none counts against another. Rows without an id are
     left out. Each packed chunk sends a digest once, whatever its copies.
     """
@@ -162,7 +183,7 @@ def chunk_dedup(
                 if p > known[k]:
                     gone.setdefault(d, set()).add(p[1])
             for d, (doc_id, text, ends) in enumerate(zip(cut.ids.tolist(), cut.texts, cut.ends)):
-                away = gone.get(d, set())
+                away = long_runs(gone.get(d, set()), ends, params.run)
                 starts = [0, *ends[:-1]]
                 kept = b"".join(text[a:z] for i, (a, z) in enumerate(zip(starts, ends)) if i not in away)
                 row = (doc_id, len(ends), len(away), len(text), len(text) - len(kept), hashlib.sha256(kept).hexdigest())
