@@ -26,6 +26,8 @@ KEY = 8 + REST  # a suffix: its gram's hash, then what follows the gram
 CHUNK = 1 << 20
 #: Parts in which runs are merged, for each shuffle partition.
 RUN_BUCKETS = 3
+#: Suffixes that a merge holds as Python objects at once, one gram's together.
+AT_ONCE = 1 << 15
 _SLICE = 1 << 18
 _BITS = np.uint64(20)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -331,26 +333,50 @@ def _repeats(lcp, lengths, left, back, doc) -> tuple[np.ndarray, np.ndarray]:
     return most, least
 
 
+def _ranges(heads: list[np.ndarray]) -> list[np.ndarray]:
+    """For each run's sorted gram hashes the bounds of ranges of about AT_ONCE suffixes in all.
+
+    A gram's suffixes are never parted.
+    """
+    every = np.sort(np.concatenate(heads))
+    cuts = np.unique(every[AT_ONCE::AT_ONCE])
+    return [np.concatenate(([0], np.searchsorted(h, cuts), [len(h)])) for h in heads]
+
+
 def _reduce(blobs) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """One bucket's runs -> for each chunk (chunk, anchors, most, least) of the repeats."""
+    """One bucket's runs -> for each chunk (chunk, anchors, most, least) of the repeats.
+
+    Suffixes of different grams share no stretch, so the runs are merged range by range
+    of the gram's hash.
+    """
     opened = [_open_run(b) for b in blobs]
-    strings = []
-    for _, rows, lengths, shared, *_ in opened:
-        raw, ends = rows.tobytes(), (np.arange(len(rows)) * KEY + lengths).tolist()
-        strings.append(([raw[i * KEY : e] for i, e in enumerate(ends)], shared.tolist()))
-    order, lcps = merge_runs(strings)
-    base = np.concatenate(([0], np.cumsum([len(s[0]) for s in strings])[:-1])).astype(np.int64)
-    pairs = np.array(order, np.int64).reshape(-1, 2)
-    at = base[pairs[:, 0]] + pairs[:, 1]
-    lengths, left, back, doc, place = (np.concatenate([o[i] for o in opened])[at] for i in (2, 4, 5, 6, 7))
-    most, least = _repeats(np.array(lcps, np.int64), lengths, left, back, doc)
-    out = []
-    hit = np.flatnonzero(most >= 0)
-    run = pairs[hit, 0]
-    for r in np.unique(run).tolist():
-        own = hit[run == r]
-        out.append((opened[r][0], place[own], most[own], least[own]))
-    return out
+    bounds = _ranges([o[1][:, :8].copy().view(">u8").ravel().astype(np.uint64) for o in opened])
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    for step in range(len(bounds[0]) - 1):
+        strings, parts, owner = [], [], []
+        for r, (o, bound) in enumerate(zip(opened, bounds)):
+            s = slice(bound[step], bound[step + 1])
+            rows, lengths, shared = o[1][s], o[2][s], o[3][s].tolist()
+            if shared:
+                shared[0] = 0  # the row before is in no run of this range
+                raw, ends = rows.tobytes(), (np.arange(len(rows)) * KEY + lengths).tolist()
+                strings.append(([raw[i * KEY : e] for i, e in enumerate(ends)], shared))
+                parts.append([o[i][s] for i in (2, 4, 5, 6, 7)])
+                owner.append(r)
+        if not strings:
+            continue
+        order, lcps = merge_runs(strings)
+        base = np.concatenate(([0], np.cumsum([len(s[0]) for s in strings])[:-1])).astype(np.int64)
+        pairs = np.array(order, np.int64).reshape(-1, 2)
+        at = base[pairs[:, 0]] + pairs[:, 1]
+        lengths, left, back, doc, place = (np.concatenate([p[i] for p in parts])[at] for i in range(5))
+        most, least = _repeats(np.array(lcps, np.int64), lengths, left, back, doc)
+        hit = np.flatnonzero(most >= 0)
+        run = np.array(owner, np.int64)[pairs[hit, 0]]
+        for r in np.unique(run).tolist():
+            own = hit[run == r]
+            found.setdefault(r, []).append((place[own], most[own], least[own]))
+    return [(opened[r][0], *(np.concatenate(x) for x in zip(*each))) for r, each in found.items()]
 
 
 def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -230,6 +230,26 @@ def test_chunks_of_phrases_stay_and_short_copies_go(spark):
     assert chunking.long_runs(set(), [], 96) == set()
 
 
+def test_merging_in_ranges_changes_nothing(corpus, monkeypatch):
+    df, _ = corpus
+    blobs = [r.blob for r in common.pack_docs(df, "doc_id", "text", 2000).collect()]
+    chunks = [suffixes._Chunk(b) for b in blobs]
+    runs = [
+        data
+        for number, c in enumerate(chunks)
+        for _, data in suffixes._runs_of(c, number, np.ones(len(c.hash), bool), 1)
+    ]
+    heads = [np.zeros(20, np.uint64), np.arange(9, dtype=np.uint64)]
+
+    def reduced():
+        return [(r, *(sorted(zip(*(x.tolist() for x in rest))),)) for r, *rest in sorted(suffixes._reduce(runs), key=lambda x: x[0])]
+
+    want = reduced()
+    assert len(want) > 3 and len(suffixes._ranges(heads)[0]) == 2
+    monkeypatch.setattr(suffixes, "AT_ONCE", 7)
+    assert len(suffixes._ranges(heads)[0]) > 3 and reduced() == want
+
+
 def test_quality_held_out(spark):
     rng = np.random.default_rng(5)
     rows = [
