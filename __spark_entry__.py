@@ -28,7 +28,7 @@ from sluiceway.operators.validate import (  # noqa: E402
     validate_events,
     validate_transfers,
 )
-from sluiceway.functions.jsontext import canonical, with_document  # noqa: E402
+from sluiceway.functions.jsontext import with_canonical  # noqa: E402
 from sluiceway.plans import inputs  # noqa: E402
 from sluiceway.plans.runs import run_events, run_transfers  # noqa: E402
 from sluiceway.sources.log import RecordLog, in_order  # noqa: E402
@@ -128,9 +128,7 @@ def _log_size(spark: SparkSession, folder: str) -> DataFrame:
 
 def _canonical_records(spark: SparkSession, folder: str) -> DataFrame:
     records = inputs.event_records(inputs.events(spark, folder))
-    return with_document(records).select(
-        F.col("offset").alias("event_id"), canonical(F.col("doc")).alias("record")
-    )
+    return with_canonical(records).select(F.col("offset").alias("event_id"), F.col("raw").alias("record"))
 
 
 def _event_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -815,7 +813,7 @@ FROM events""",
         "canonical_records": f"""
 SELECT event_id, '{{"event_id":"' || event_id || '","event_type":"' || event_type ||
        '","timestamp":"' || {_ISO_SQL} || '","user_id":"' || user_id || '","value":' ||
-       regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || '}}' AS record
+       CAST(value AS VARCHAR) || '}}' AS record
 FROM events""",
         "log_offsets": offsets,
         "log_read_from": f"""SELECT * FROM ({offsets}) WHERE "offset" >= {REPLAY_FROM}""",

@@ -1,4 +1,4 @@
-"""The append-only log: raw records under contiguous offsets, replayable from any of them.
+"""The append-only log: records in canonical form under contiguous offsets, replayable from any of them.
 
 A batch's records lie in `records/batch_id=<its own name>`, numbered from 0. The batch counts
 once `commits/<N>.json` names it with its first offset, row count and files. That file is
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sluiceway import schemas
+from sluiceway.functions.jsontext import with_canonical
 from sluiceway.sources import files
 from sluiceway.sources.lines import MAX_FILE_AGE
 from sluiceway.sources.staging import read_or_empty, stage
@@ -81,7 +82,7 @@ class RecordLog:
         return read_or_empty(self.spark, self.commits_path, schemas.COMMIT, "json")
 
     def append(self, df: DataFrame, source: str | None = None) -> Append:
-        """Append `raw` of a frame with origin columns, in origin order.
+        """Append `raw` of a frame with origin columns, in origin order and canonical form.
 
         Offsets are numbered per block of the input and shifted by the rows before
         it, so nothing is sorted globally. The accepted rows are staged first: their
@@ -91,7 +92,9 @@ class RecordLog:
         if source is not None and (known := self._appended(source)):
             return known
         staged = stage(
-            df.select("raw", "src_file", "src_block", F.monotonically_increasing_id().alias("_seq")),
+            with_canonical(df.select("raw", "src_file", "src_block")).withColumn(
+                "_seq", F.monotonically_increasing_id()
+            ),
             "append",
         )
         shifts = stage(block_shifts(staged), "shifts")

@@ -113,3 +113,27 @@ def test_filters_never_miss_a_key(spark, monkeypatch):
     assert index.where("kind = 'filter'").agg(F.max("n")).first()[0] <= 40
     fresh = blooms.judge(keys(10_000, 11_000), index, "b3").where("kind = 'maybe'")
     assert fresh.select("hash").distinct().count() < 300
+
+
+def test_log_keeps_the_canonical_form(spark, tmp_path):
+    """Keys sorted, no space, the last of a repeated key, numbers as written; no JSON stays as it is."""
+    kept = [
+        ('{"b": 2.50, "a" : [1.0, -1E3, 12345678901234567890.10 ]}', '{"a":[1.0,-1E3,12345678901234567890.10],"b":2.50}'),
+        ('{"s": "n1 \\"n2\\" x", "n": "n3", "": "s4", "t": "1.0"}', '{"":"s4","n":"n3","s":"n1 \\"n2\\" x","t":"1.0"}'),
+        ('{"q": "back\\\\", "z": 1.0, "e": "", "u": "\\u00e9"}', '{"e":"","q":"back\\\\","u":"\u00e9","z":1.0}'),
+        ('{"k": 1, "x9": {"y-1": null, "x": true}, "k": 1.00}', '{"k":1.00,"x9":{"x":true,"y-1":null}}'),
+        ('{"long": "' + "\\\\n" * 20000 + '", "n": 0.10}', '{"long":"' + "\\\\n" * 20000 + '","n":0.10}'),
+        ('[" -7 ", -7.0]', '[" -7 ",-7.0]'),
+        (" 5.0 ", "5.0"),
+        ("01", "01"),
+        ('{"a": 1} {"b": 2}', '{"a": 1} {"b": 2}'),
+        ("{broken 1.0", "{broken 1.0"),
+        ("", ""),
+    ]
+    rows = spark.createDataFrame([(n, raw) for n, (raw, _) in enumerate(kept)], "n bigint, raw string")
+    log = RecordLog(spark, str(tmp_path / "log"))
+    log.append(in_order(rows, "n"))
+    got = [r.raw for r in log.read().orderBy("offset").collect()]
+    assert got == [want for _, want in kept]
+    for raw, want in kept[:7]:
+        assert json.loads(raw) == json.loads(want)
