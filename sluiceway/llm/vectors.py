@@ -1,10 +1,11 @@
-"""Near-duplicate embeddings: sorted projection passes until an audit misses no link, exact counts within classes."""
+"""Near-duplicate embeddings: sorted projection passes whose odds are kept for each vector, exact counts within classes."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,16 +22,18 @@ class VectorParams:
     passes: int = 16
     #: Random hyperplanes whose signs, one behind the other, are an order's key.
     bits: int = 62
-    #: Following vectors that each is compared with in an order.
-    window: int = 64
-    #: Vectors of a block.
-    block: int = 1024
+    #: Vectors behind a block that its vectors are compared with, too.
+    window: int = 512
+    #: Consecutive vectors of an order that are all compared.
+    block: int = 4096
     seed: int = 11
-    #: Vectors of an audit, which are compared with all others.
+    #: A vector is open while the odds that the passes missed a link of it are above this.
+    miss: float = 1e-6
+    #: Open vectors of a part, which are compared with all others.
     audit: int = 4096
     #: Rounds of passes, each of four times the window before.
     rounds: int = 4
-    #: Up to so many audits' vectors, all are audited after one round.
+    #: Up to so many parts' open vectors need no further round; a job compares so many parts.
     few: int = 8
 
 
@@ -48,6 +51,53 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def _planes(params: VectorParams, nth: int, size: int) -> np.ndarray:
+    return np.random.default_rng([params.seed, nth, size]).standard_normal((size, params.bits))
+
+
+def _same_side(cosine: float) -> np.ndarray:
+    """For a vector at i / 64 of a random plane: log of the odds that a vector so near lies on its side.
+
+    With x at a, a vector of cosine c to x lies at c a + sqrt(1 - c^2) g, g normal and
+    independent of a.
+    """
+    apart = math.sqrt(max(1 - cosine * cosine, 1e-18))
+    return np.array([math.log(max(math.erfc(-cosine * i / 64 / apart / math.sqrt(2)) / 2, 1e-300)) for i in range(512)])
+
+
+def _odds(x: np.ndarray, key: np.ndarray, planes: np.ndarray, ends: tuple[bool, bool], same: np.ndarray) -> np.ndarray:
+    """-log of the odds that a link of each vector was missed, if all of these were compared.
+
+    `key` is sorted; `ends` tells whether others may precede or follow. All vectors whose
+    keys begin like a vector's lie here as soon as that beginning is neither the first
+    key's nor the last's. So a link is missed only if a plane of that beginning parts it.
+    """
+    bits, shift = planes.shape[1], max(0, planes.shape[1] - 52)
+    depth = np.zeros(len(key), np.int64)
+    for there, end in zip(ends, (key[0], key[-1])):
+        if there:
+            # common beginnings of 52 bits or more count as no beginning of its own
+            alike = (bits - shift) - np.frexp(((key ^ end) >> shift).astype(np.float64))[1]
+            depth = np.maximum(depth, alike + 1)
+    whole = depth <= bits - shift
+    at = np.minimum(np.abs(x @ planes[:, : min(depth.max(), bits)]) * 64, len(same) - 1).astype(np.int64)
+    logs = np.concatenate([np.zeros((len(x), 1)), np.cumsum(same[at], axis=1)], axis=1)
+    found = np.exp(logs[np.arange(len(x)), np.where(whole, depth, 0)])
+    return np.where(whole, -np.log1p(-np.minimum(found, 1 - 1e-15)), 0.0)
+
+
+def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs are linked; single precision decides where its error cannot matter."""
+    cos = x32 @ y32.T
+    slack = 1e-6 + 2e-7 * x.shape[1]
+    near = cos >= cosine - slack
+    i, j = np.nonzero(near & (cos < cosine + slack))
+    for a in range(0, len(i), 65536):
+        p, q = i[a : a + 65536], j[a : a + 65536]
+        near[p, q] = (x[p] * y[q]).sum(axis=1) >= cosine
+    return near
+
+
 def _orders(classes: DataFrame, params: VectorParams) -> DataFrame:
     """(pass, key, v, e): each vector in each pass, keyed by its signs."""
 
@@ -61,8 +111,7 @@ def _orders(classes: DataFrame, params: VectorParams) -> DataFrame:
                     x = _unit(rows["e"])
                     for p in range(params.passes):
                         if (p, size) not in planes:
-                            rng = np.random.default_rng([params.seed, p, size])
-                            planes[p, size] = rng.standard_normal((size, params.bits))
+                            planes[p, size] = _planes(params, p, size)
                         key = ((x @ planes[p, size]) >= 0) @ places
                         yield pd.DataFrame({"pass": p, "dims": size, "key": key, "v": rows["v"], "e": rows["e"]})
 
@@ -72,7 +121,8 @@ def _orders(classes: DataFrame, params: VectorParams) -> DataFrame:
 
 
 def _linked(orders: DataFrame, params: VectorParams) -> DataFrame:
-    """(a, b): verified links between neighbours, as a forest of each block."""
+    """(a, b): verified links within blocks, as a forest of each; (a, seen): what a block's comparison
+    leaves of the odds of a missed link (`_odds`)."""
     spark = orders.sparkSession
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,11 +131,11 @@ def _linked(orders: DataFrame, params: VectorParams) -> DataFrame:
             yield b.assign(part=TaskContext.get().partitionId(), nth=np.arange(n, n + len(b)))
             n += len(b)
 
-    schema = "pass int, dims int, v bigint, e array<float>, part int, nth bigint"
+    schema = "pass int, dims int, key bigint, v bigint, e array<float>, part int, nth bigint"
     ranked = stage(
         orders.repartitionByRange(partitions(spark), "pass", "dims", "key", "v")
         .sortWithinPartitions("pass", "dims", "key", "v")
-        .select("pass", "dims", "v", "e")
+        .select("pass", "dims", "key", "v", "e")
         .mapInPandas(numbered, schema),
         "ranked",
     )
@@ -98,62 +148,75 @@ def _linked(orders: DataFrame, params: VectorParams) -> DataFrame:
     base = spark.createDataFrame(bases, "part int, base bigint")
     rank = F.col("base") + F.col("nth")
     placed = ranked.join(F.broadcast(base), "part").select(
-        "pass", "dims", "v", "e", rank.alias("rank"), F.floor(rank / params.block).alias("block")
+        "pass", "dims", "key", "v", "e", rank.alias("rank"), F.floor(rank / params.block).alias("block")
     )
     # a block is compared with itself and the first vectors of the next
     ahead = placed.where((F.col("rank") % params.block < params.window) & (F.col("block") > 0))
     both = placed.unionByName(ahead.withColumn("block", F.col("block") - 1))
 
+    same = _same_side(params.cosine)
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank")
-        v, at = rows["v"].to_numpy(), np.arange(len(rows))
+        v, keys = rows["v"].to_numpy(), rows["key"].to_numpy(np.int64)
+        own = (rows["rank"] // params.block == rows["block"]).to_numpy()
         kind = rows["pass"].to_numpy().astype(np.int64) << 32 | rows["dims"].to_numpy()
-        parent = list(range(len(rows)))
-        found = []
-        for k in np.unique(kind):
-            own = at[kind == k]
-            x = _unit(rows["e"].iloc[own])
-            for lo in range(0, len(own), 256):
-                hi = min(lo + 256 + params.window, len(own))
-                cos = x[lo : lo + 256] @ x[lo:hi].T
-                i, j = np.nonzero(cos >= params.cosine)
-                ok = (j > i) & (j - i <= params.window)
-                for a, b in zip(own[lo + i[ok]].tolist(), own[lo + j[ok]].tolist()):
-                    ra, rb = _root(parent, a), _root(parent, b)
-                    if ra != rb:
-                        parent[rb] = ra
-                        found.append((v[a], v[b]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return both.groupBy("block").applyInPandas(compare, "a bigint, b bigint")
-
-
-def _missed(classes: DataFrame, linked: DataFrame, nth: int, audits: int, params: VectorParams) -> DataFrame:
-    """(a, b): of all links of the vectors of audit `nth`, those between components, as forests."""
+        starts = np.flatnonzero(np.diff(kind, prepend=kind[0] - 1))
+        out = []
+        for lo, hi in zip(starts, [*starts[1:], len(rows)]):
+            x = _unit(rows["e"].iloc[lo:hi])
+            x32, label, found = x.astype(np.float32), np.arange(hi - lo), []
+            for a in range(0, hi - lo, 256):
+                near = _near(x[a : a + 256], x[a:], x32[a : a + 256], x32[a:], params.cosine)
+                np.fill_diagonal(near, True)
+                for i in np.flatnonzero(near.sum(axis=1) > 1):
+                    others = a + np.flatnonzero(near[i])
+                    others = others[label[others] != label[a + i]]
+                    if len(others):
+                        labels, first = np.unique(label[others], return_index=True)
+                        found += [(v[lo + a + i], v[lo + j]) for j in others[first]]
+                        label[np.isin(label, labels)] = label[a + i]
+            out.append(pd.DataFrame(found, columns=["a", "b"], dtype="Int64").assign(seen=0.0))
+            planes = _planes(params, int(kind[lo] >> 32), x.shape[1])
+            seen = _odds(x, keys[lo:hi], planes, (lo == 0, hi == len(rows)), same)
+            mine = own[lo:hi]
+            none = pd.array([None] * int(mine.sum()), dtype="Int64")
+            out.append(pd.DataFrame({"a": v[lo:hi][mine], "b": none, "seen": seen[mine]}))
+        return pd.concat(out)
+
+    return stage(both.groupBy("block").applyInPandas(compare, "a bigint, b bigint, seen double"), "compared")
+
+
+def _missed(classes: DataFrame, linked: DataFrame, left: DataFrame, parts: int, nth: int, params: VectorParams) -> DataFrame:
+    """(a, b): of all links of part `nth` of the vectors `left`, those between components, as forests."""
     spark = classes.sparkSession
     known = classes.join(linked, classes["v"] == linked["node"], "left").select(
         F.coalesce("component", "v").alias("c"), "v", "e"
     )
-    drawn = known.where(F.pmod(F.xxhash64("v"), F.lit(audits)) == nth).select("c", "e").toPandas()
-    parts = {
+    drawn = known.where(F.pmod(F.xxhash64("v"), F.lit(parts)) == nth).join(left, "v", "left_semi").select("c", "e").toPandas()
+    held = {
         size: (rows["c"].to_numpy(np.int64), _unit(rows["e"])) for size, rows in drawn.groupby(drawn["e"].map(len))
     }
-    shared = spark.sparkContext.broadcast(parts)
+    shared = spark.sparkContext.broadcast(held)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = shared.value
+        held = {size: (theirs, y, y.astype(np.float32)) for size, (theirs, y) in shared.value.items()}
         for b in batches:
             for size, rows in b.groupby(b["e"].map(len)):
                 if size not in held:
                     continue
-                theirs, y = held[size]
-                mine = rows["c"].to_numpy(np.int64)
+                theirs, y, y32 = held[size]
+                mine, x = rows["c"].to_numpy(np.int64), _unit(rows["e"])
+                x32 = x.astype(np.float32)
                 pairs = []
                 for a in range(0, len(rows), 512):
-                    near = _unit(rows["e"].iloc[a : a + 512]) @ y.T >= params.cosine
-                    i, j = np.nonzero(near & (mine[a : a + 512, None] != theirs))
-                    if len(i):
-                        pairs.append(np.unique(np.stack([mine[a + i], theirs[j]], 1), axis=0))
+                    one = slice(a, a + 512)
+                    for z in range(0, len(y), 4096):
+                        two = slice(z, z + 4096)
+                        i, j = np.nonzero(_near(x[one], y[two], x32[one], y32[two], params.cosine))
+                        apart = mine[a + i] != theirs[z + j]
+                        if apart.any():
+                            pairs.append(np.unique(np.stack([mine[a + i], theirs[z + j]], 1)[apart], axis=0))
                 if pairs:
                     names, at = np.unique(np.concatenate(pairs), return_inverse=True)
                     parent, found = list(range(len(names))), []
@@ -170,30 +233,34 @@ def _missed(classes: DataFrame, linked: DataFrame, nth: int, audits: int, params
 def _components(classes: DataFrame, params: VectorParams) -> DataFrame:
     """(node, component) over the links.
 
-    Each round's links are audited: part of the vectors, another in each round, is
-    compared with all. What was missed is added; a round that missed none is the last. If
-    the last round, too, missed some, or if there are few vectors, all parts are audited,
-    so that no link is missed.
+    Each pass tells for every vector how likely a link of it would have been missed; what
+    the passes leave multiplies up. Vectors for which this is above `miss`, those in
+    crowded places, go through further rounds, and in the end are compared with all. The
+    number of rows decides nothing but how soon that is cheaper than another round.
     """
-    audits = max(1, -(-classes.count() // params.audit))
-    linked, nth = None, 0
-    while nth < audits:
-        if nth < (1 if audits <= params.few else params.rounds):
-            window = params.window * 4**nth
-            now = replace(params, window=window, block=max(params.block, window), seed=params.seed + nth)
-            links = _linked(_orders(classes, now), now)
-            if linked is not None:
-                links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            linked = components(links)
-        missed = _missed(classes, linked, nth, audits, params)
-        some = not missed.isEmpty()
-        if some:
-            linked = components(
-                missed.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            )
-        nth += 1
-        if not some and params.few < audits and nth <= params.rounds:
+    need = -math.log(params.miss)
+    tied = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    linked = seen = None
+    for nth in range(params.rounds):
+        window = params.window * 4**nth
+        now = replace(params, window=window, block=max(params.block, window), seed=params.seed + nth)
+        compared = _linked(_orders(classes, now), now)
+        links = compared.where("b IS NOT NULL").select("a", "b")
+        linked = components(links if linked is None else links.unionByName(tied(linked)))
+        told = compared.where("b IS NULL").select("a", "seen")
+        seen = stage(
+            (told if seen is None else told.unionByName(seen)).groupBy("a").agg(F.sum("seen").alias("seen")), "seen"
+        )
+        left = seen.where(F.col("seen") < need)
+        n, mean = left.agg(F.count(F.lit(1)), F.coalesce(F.avg("seen"), F.lit(0.0))).first()
+        # or the rounds left would not do at this pace
+        if n <= params.few * params.audit or mean / (nth + 1) * params.rounds < need:
             break
+    parts = -(-n // (max(1, params.few) * params.audit))
+    left = left.select(F.col("a").alias("v"))
+    missed = [_missed(classes, linked, left, parts, k, params) for k in range(parts)]
+    if any(not m.isEmpty() for m in missed):
+        linked = components(reduce(DataFrame.unionByName, missed, tied(linked)))
     return linked
 
 
@@ -205,8 +272,8 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector.
 
-    Equal vectors are one class from the start. Classes are linked by sorted passes, which
-    are repeated with wider windows until an audit misses no link (`_components`); the
+    Equal vectors are one class from the start. Classes are linked by sorted passes; those
+    for which the passes may have missed links are compared with all (`_components`). The
     links within each set of reachable classes are then all counted, however many there
     are: classes within half the angle of one centre are all linked with each other and
     only counted, the rest are compared with all of their set in blocks.

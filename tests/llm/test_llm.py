@@ -309,6 +309,49 @@ def test_vectors_of_one_crowded_topic(spark, audit, few):
     assert got.component_id.tolist() == [low[i] for i in range(n)]
 
 
+@pytest.mark.parametrize("few", [0, 1, 1000])
+def test_vectors_lose_no_link_whatever_the_size(spark, few):
+    """A few pairs in a crowd, which a sample of the vectors does not show."""
+    rng = np.random.default_rng(8)
+    topic, n = rng.standard_normal(64), 3000
+    x = 2 * topic / np.linalg.norm(topic) + rng.standard_normal((n, 64)) / 8
+    x[:30] = x[30:60] + rng.standard_normal((30, 64)) * 0.2 / 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    params = vectors.VectorParams(passes=2, window=2, block=64, audit=100, rounds=1, few=few)
+    got = vectors.near_vectors(df, params).toPandas().set_index("vec_id").sort_index()
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 40
+    assert got.n_links.tolist() == near.sum(1).tolist()
+    low = _components(range(n), list(zip(*np.nonzero(near))))
+    assert got.component_id.tolist() == [low[i] for i in range(n)]
+
+
+def test_vectors_odds_of_a_missed_link():
+    """What the passes say they miss is what they miss."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    same, places = vectors._same_side(0.95), 1 << np.arange(61, -1, -1, dtype=np.int64)
+    told, true = [], []
+    for p in range(8):
+        planes = vectors._planes(vectors.VectorParams(), p, 32)
+        key, other = (((z @ planes) >= 0) @ places for z in (x, y))
+        order = np.argsort(key)
+        block = order[1000:1400]
+        told += list(1 - np.exp(-vectors._odds(x[block], key[block], planes, (True, True), same)))
+        true += list((other[block] >= key[block[0]]) & (other[block] <= key[block[-1]]))
+    told, true = np.array(told), np.array(true)
+    assert told.mean() > 0.3 and true.mean() >= told.mean() - 0.03
+    sure = told > 0.7
+    assert sure.any() and true[sure].mean() >= told[sure].mean() - 0.05
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
