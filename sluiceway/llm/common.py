@@ -182,9 +182,12 @@ def open_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(planes.reshape(4, n).T.copy().view("<u4").ravel(), dtype=np.uint32)
 
 
-def shared_keys(chunks: DataFrame, keys_of, buckets: int) -> DataFrame:
+def shared_keys(chunks: DataFrame, keys_of, buckets: int, counted: bool = False) -> DataFrame:
     """(chunk, bucket, flags): of each chunk's distinct keys, which lie in another chunk too.
 
+    If `counted`, the flags are classes: 0 for a key of one chunk only, else 8 times the
+    binary logarithm of the number of its chunks.
+
     `keys_of(blob)` gives a chunk's sorted distinct 64-bit keys. Every chunk sends one row
     to every bucket, so buckets are even whatever the keys; a key that half of all
     documents hold comes once from each chunk. Keys are compared by 32 bits and their
@@ -203,6 +206,13 @@ def shared_keys(chunks: DataFrame, keys_of, buckets: int) -> DataFrame:
     def flag(rows: pd.DataFrame) -> pd.DataFrame:
         each = [open_sorted(k) for k in rows["keys"]]
         every = np.sort(np.concatenate(each))
+        if counted:
+            starts = np.flatnonzero(np.diff(every, prepend=~every[:1])) if len(every) else np.zeros(0, np.int64)
+            often = np.diff(starts, append=len(every))
+            names = every[starts[often > 1]]
+            classes = np.minimum(255, 8 * np.log2(often[often > 1])).astype(np.uint8)
+            flags = [zstandard.compress(_classes(k, names, classes).tobytes(), 1) for k in each]
+            return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "flags": flags})
         again = every[1:][every[1:] == every[:-1]]  # sorted; repeats do no harm
         return pd.DataFrame(
             {
@@ -223,6 +233,23 @@ def _within(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == x
 
 
+def _classes(x: np.ndarray, names: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    if not len(names):
+        return np.zeros(len(x), np.uint8)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return np.where(names[at] == x, classes[at], np.uint8(0))
+
+
+def read_classes(keys: np.ndarray, buckets: int, replies: pd.DataFrame) -> np.ndarray:
+    """For each of a chunk's sorted distinct keys its class (`shared_keys`, counted)."""
+    found = np.zeros(len(keys), np.uint8)
+    by_bucket = dict(zip(replies["bucket"], replies["flags"]))
+    for b, low, where in split_keys(keys, buckets):
+        if len(low):
+            found[where] = np.frombuffer(zstandard.decompress(by_bucket[b]), np.uint8)
+    return found
+
+
 def read_flags(keys: np.ndarray, buckets: int, replies: pd.DataFrame) -> np.ndarray:
     """For each of a chunk's sorted distinct keys, whether another chunk has it."""
     found = np.zeros(len(keys), bool)

@@ -4,10 +4,12 @@
    of hashes, and with them all documents that hold too few shared shingles to be linked.
 2. The rest is partitioned into groups of similar documents: documents that agree in
    a smallest hash meet a leader, and join it where they are verified to be linked.
-3. The matrix holds every group's union of prefix tokens. Groups that meet there, and
-   aren't connected yet and share enough tokens are candidates; a query document's overlap with
-   the group's union bounds its overlap with any member, and only groups that pass are
-   opened, and members that pass the same bound verified.
+3. The matrix holds every group's union of prefix tokens, the rarest tokens of each set.
+   Groups that meet there, and aren't connected yet and share enough tokens are candidates;
+   a query document's overlap with the group's union bounds its overlap with any member, and
+   only groups that pass are opened, and members that pass the same bound verified.
+4. Tokens of very many groups are kept out of the matrix. A set has one in its prefix only if
+   nearly four fifths of it are such tokens; sets that share one are compared block by block.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import apart, components, discard, pack_docs, partitions, read_flags, shared_keys, ship, stage, unpack_docs
+from .common import apart, components, discard, pack_docs, partitions, read_classes, shared_keys, ship, stage, unpack_docs
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,11 @@ class JaccardParams:
     leaders: int = 8
     #: Documents of one smallest hash that meet in one task; more are salted.
     meet: int = 512
+    #: Groups of a token of the matrix; sets that share a token of more are compared in blocks.
+    hot: int = 64
+    #: Sets of such a block, and tokens of them all together.
+    block: int = 512
+    block_tokens: int = 1 << 18
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -126,23 +133,24 @@ def _needed(n: int, percent: int) -> int:
 _ROW = "v bigint, n bigint, tokens binary"
 
 
-def press_tokens(keys: np.ndarray) -> bytes:
-    """Sorted hashes, 48 bits of each, as differences, byte plane by byte plane."""
-    gaps = np.diff(keys >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
-    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T[:6]).tobytes(), 1)
+def press_tokens(tokens: np.ndarray) -> bytes:
+    """Sorted tokens of 56 bits as differences, byte plane by byte plane."""
+    gaps = np.diff(tokens, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T[:7]).tobytes(), 1)
 
 
 def open_tokens(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(6, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(7, -1)
     gaps = np.zeros((planes.shape[1], 8), np.uint8)
-    gaps[:, :6] = planes.T
+    gaps[:, :7] = planes.T
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _candidates(docs: DataFrame, params: JaccardParams, id_col: str, text_col: str) -> DataFrame:
     """(v, n, alike, tokens): every row with an id, its set's size, an equal document of its chunk.
 
-    `tokens` are the sorted shared shingles of a set that may link, else null.
+    `tokens` are the shared shingles of a set that may link, else null: 48 bits of the hash
+    behind 8 that tell in how many chunks it lies, so that the rarest are the first.
     """
     buckets = partitions(docs.sparkSession)
     k, percent = params.words, params.percent
@@ -151,7 +159,7 @@ def _candidates(docs: DataFrame, params: JaccardParams, id_col: str, text_col: s
     def keys_of(blob: bytes) -> np.ndarray:
         return np.unique(shingles(unpack_docs(blob)[1], k)[1])
 
-    flags = shared_keys(chunks, keys_of, buckets)
+    flags = shared_keys(chunks, keys_of, buckets, counted=True)
 
     def choose(key, mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -160,15 +168,16 @@ def _candidates(docs: DataFrame, params: JaccardParams, id_col: str, text_col: s
             keys, sizes, where = shingle_sets(texts, k)
             first = _distinct_sets(sizes, where)
             leads = np.repeat(first == np.arange(len(ids)), sizes)
-            shared = read_flags(keys, buckets, replies)
-            shared |= np.bincount(where[leads], minlength=len(keys)) > 1
+            classes = read_classes(keys, buckets, replies)
+            shared = (classes > 0) | (np.bincount(where[leads], minlength=len(keys)) > 1)
+            named = classes.astype(np.uint64) << np.uint64(48) | keys >> np.uint64(16)
             ends = np.cumsum(sizes)
             for i, (v, n, f, e) in enumerate(zip(ids.tolist(), sizes.tolist(), first.tolist(), ends.tolist())):
                 own = None
                 if n and f == i:
                     mark = shared[where[e - n : e]]
                     if int(mark.sum()) >= _needed(n, percent):
-                        own = press_tokens(keys[where[e - n : e][mark]])
+                        own = press_tokens(np.sort(named[where[e - n : e][mark]]))
                 out.append((v, n, int(ids[f]) if n else v, own))
         return pd.DataFrame(out, columns=["v", "n", "alike", "tokens"])
 
@@ -238,7 +247,7 @@ def _prefixes(rows: DataFrame, params: JaccardParams) -> DataFrame:
     """(token, v, n): of each set the first tokens, of which a linked set shares `more` + 1.
 
     The order is the same for all sets: tokens of one document first, which need not be
-    named, then by hash. Two sets with at least m tokens in common share min(k, m) of the
+    named, then those of fewer chunks, then by hash. Two sets with at least m tokens in common share min(k, m) of the
     first size - m + k of each.
     """
 
@@ -249,7 +258,7 @@ def _prefixes(rows: DataFrame, params: JaccardParams) -> DataFrame:
                 tokens, sizes = [np.zeros(0, np.uint64)], []
                 for n, t in zip(part["n"], part["tokens"]):
                     own = open_tokens(t)
-                    own = np.sort(_mix(own, 7))[: len(own) - _needed(n, params.percent) + 1 + params.more]
+                    own = own[: len(own) - _needed(n, params.percent) + 1 + params.more]
                     tokens.append(own)
                     sizes.append(len(own))
                 yield pd.DataFrame(
@@ -281,6 +290,10 @@ def _open_groups(sets: DataFrame, groups: DataFrame, params: JaccardParams) -> D
     matrix = stage(
         prefixes.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "matrix"
     )
+    # two sets that share enough prefix tokens share a hot one, or all they share is in the matrix
+    hot = stage(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > params.hot).select("token"), "hot")
+    crowded = _crowded(prefixes.join(hot, "token", "left_semi"), sets, params)
+    prefixes, matrix = (x.join(hot, "token", "left_anti") for x in (prefixes, matrix))
 
     def enough(shared: str, size: Column) -> Column:
         """Whether so many shared prefix tokens let a set of this size be linked."""
@@ -344,7 +357,107 @@ def _open_groups(sets: DataFrame, groups: DataFrame, params: JaccardParams) -> D
         .select("a", "b"),
         "pairs",
     )
-    return _verified(pairs, sets, params).unionByName(led).unionByName(firsts)
+    return _verified(pairs, sets, params).unionByName(led).unionByName(firsts).unionByName(crowded)
+
+
+def _crowded(shared: DataFrame, sets: DataFrame, params: JaccardParams) -> DataFrame:
+    """(a, b): links between sets of different groups that share a hot token, as forests.
+
+    `shared` has (token, v, n, g) of the hot tokens. Sets are one crowd if hot tokens
+    connect them; each is in one crowd only, whose blocks are all compared. A block pair
+    counts its shared tokens by a product of matrices, and emits no more than a forest.
+    """
+    percent = params.percent
+    first = shared.groupBy("token").agg(F.min("v").alias("least"))
+    crowds = components(shared.join(first, "token").select("v", "least").distinct())
+    members = stage(
+        shared.select("v", "n", "g")
+        .distinct()
+        .join(crowds, F.col("v") == F.col("node"))
+        .join(sets.select("v", "n", "tokens"), ["v", "n"])
+        # equal sets ask once
+        .groupBy("component", "g", "n", "tokens")
+        .agg(F.min("v").alias("v")),
+        "crowded",
+    )
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"component": b["component"], "m": [len(open_tokens(t)) for t in b["tokens"]]})
+
+    sizes = (
+        members.select("component", "tokens")
+        .mapInPandas(sized, "component bigint, m bigint")
+        .groupBy("component")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("m").alias("m"))
+        .select(
+            "component",
+            F.ceil(F.greatest(F.col("rows") / params.block, F.col("m") / params.block_tokens)).alias("blocks"),
+        )
+    )
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [open_tokens(t) for t in rows["tokens"]]
+        packed = zstandard.compress(np.concatenate(own).astype("<u8").tobytes(), 1)
+        whole = {c: [rows[c].to_numpy(np.int64).tobytes()] for c in ("v", "n", "g")}
+        m = np.fromiter(map(len, own), np.int64, len(own)).tobytes()
+        return pd.DataFrame({"component": rows["component"].iloc[:1], "block": rows["block"].iloc[:1], **whole, "m": m, "tokens": packed})
+
+    kind = "component bigint, block bigint, v binary, n binary, g binary, m binary, tokens binary"
+    blocks = stage(
+        members.join(sizes, "component")
+        .withColumn("block", F.pmod(F.xxhash64("v", "g"), F.col("blocks")))
+        # else the join's partitions, one for each crowd, would do
+        .repartition(partitions(shared.sparkSession), "component", "block")
+        .groupBy("component", "block")
+        .applyInPandas(gather, kind),
+        "blocks",
+    )
+    ids = blocks.select("component", "block")
+    pairs = ids.alias("x").join(ids.alias("y"), (F.col("x.component") == F.col("y.component")) & (F.col("x.block") <= F.col("y.block")))
+    pairs = pairs.select(F.col("x.component").alias("component"), F.col("x.block").alias("block"), F.col("y.block").alias("other"))
+    theirs = blocks.select("component", F.col("block").alias("other"), *(F.col(c).alias(f"o_{c}") for c in ("v", "n", "g", "m", "tokens")))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                v, n, g, m, w, k, h, o = (np.frombuffer(x, np.int64) for x in (r.v, r.n, r.g, r.m, r.o_v, r.o_n, r.o_g, r.o_m))
+                x, y = (np.frombuffer(zstandard.decompress(t), "<u8") for t in (r.tokens, r.o_tokens))
+                both = _overlaps(x, m, y, o)
+                near = (100 * both >= percent * (n[:, None] + k[None, :] - both)) & (g[:, None] != h[None, :])
+                i, j = np.nonzero(near)
+                # one link for each two groups
+                _, one = np.unique(np.stack([g[i], h[j]], 1), axis=0, return_index=True)
+                yield pd.DataFrame({"a": v[i[one]], "b": w[j[one]]})
+
+    return stage(
+        pairs.join(blocks, ["component", "block"])
+        .join(theirs, ["component", "other"])
+        .mapInPandas(compare, "a bigint, b bigint"),
+        "crowd",
+    )
+
+
+def _overlaps(x: np.ndarray, m: np.ndarray, y: np.ndarray, o: np.ndarray, columns: int = 8192) -> np.ndarray:
+    """How many tokens each set of one block shares with each of the other; `m`, `o` are the sets' sizes."""
+    names = np.intersect1d(x, y)
+    sides = []
+    for tokens, sizes in ((x, m), (y, o)):
+        at = np.minimum(np.searchsorted(names, tokens), max(0, len(names) - 1))
+        there = names[at] == tokens if len(names) else np.zeros(len(tokens), bool)
+        place, owner = at[there], np.repeat(np.arange(len(sizes)), sizes)[there]
+        order = np.argsort(place, kind="stable")
+        sides.append((place[order], owner[order], len(sizes)))
+    both = np.zeros((len(m), len(o)), np.float32)
+    for a in range(0, len(names), columns):
+        parts = []
+        for place, owner, rows in sides:
+            lo, hi = np.searchsorted(place, (a, a + columns))
+            part = np.zeros((rows, min(columns, len(names) - a)), np.float32)
+            part[owner[lo:hi], place[lo:hi] - a] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both.astype(np.int64)
 
 
 def _apart(pairs: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:

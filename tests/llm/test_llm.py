@@ -94,6 +94,43 @@ def test_jaccard_without_leaders_is_the_same(corpus, small_chunks):
     assert got.component_id.tolist() == want.component_id.tolist()
 
 
+@pytest.mark.parametrize("block, block_tokens", [(512, 1 << 18), (40, 1 << 18), (512, 3000)])
+def test_jaccard_of_a_crowd(spark, small_chunks, monkeypatch, block, block_tokens):
+    """Copies of one text with words changed, most too far apart: all links, and no pair of rows for each two."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(160, int(rng.integers(2, 6)), False):
+            words[at] = f"x{rng.integers(0, 10_000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(400 + i, rows[i][1]) for i in range(20)]
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])
+    sets = _shingle_sets(frame)
+    linked = [
+        (a, b) for a in sets for b in sets
+        if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    low = _components(sorted(sets), linked)
+    asked, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    params = jaccard.JaccardParams(block=block, block_tokens=block_tokens)
+    got = jaccard.jaccard_groups(df, params).toPandas()
+    assert 50 < len(set(low.values())) < 350
+    assert [low[i] for i in got.doc_id] == got.component_id.tolist()
+    assert sum(asked) < 10 * len(rows)
+
+
+def test_overlaps_of_two_blocks():
+    rng = np.random.default_rng(13)
+    sides = [[np.sort(rng.choice(300, int(rng.integers(1, 90)), False)).astype(np.uint64) for _ in range(n)] for n in (7, 9)]
+    flat = [(np.concatenate(s), np.array([len(x) for x in s])) for s in sides]
+    got = jaccard._overlaps(*flat[0], *flat[1], columns=64)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]
+
+
 def test_repeated_bytes(corpus, small_chunks):
     df, frame = corpus
     got = suffixes.repeated_bytes(df, with_text=True).toPandas().set_index("doc_id")
