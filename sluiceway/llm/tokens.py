@@ -167,15 +167,6 @@ _SPECIAL = "<|"
 _STOPS = frozenset(".,;:!?")
 
 
-def _pieces(word: str) -> list[str]:
-    """The pieces of a space and a word; the rule is asked only where letters and a stop are not all."""
-    if word.isalpha():
-        return [" " + word]
-    if word[-1] in _STOPS and word[:-1].isalpha():
-        return [" " + word[:-1], word[-1]]
-    return _PIECES.findall(" " + word) if _SPECIAL not in word else [" " + word]
-
-
 class Encoder:
     """Whole texts to ids, each word and each piece of a word encoded once and remembered.
 
@@ -200,18 +191,21 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        spaced = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        # many at a time: each begins with the one space in it
-        for a in range(0, len(spaced), 400):
-            part = spaced[a : a + 400]
-            (ids,) = self._ids(["".join(part)])
+    def _spaced_ids(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with the ids of a space and it; many are encoded at a time."""
+        for a in range(0, len(words), 400):
+            part = words[a : a + 400]
+            (ids,) = self._ids([" " + " ".join(part)])
             bounds = np.flatnonzero(self.first[ids])
             if len(bounds) != len(part):
                 raise ValueError("the vocabulary splits words otherwise than by space")
             raw = ids.tobytes()
             ends = [*(2 * bounds[1:]).tolist(), len(raw)]
-            self.pieces.update(zip(part, (raw[a:z] for a, z in zip([0, *ends], ends))))
+            yield from zip(part, (raw[a:z] for a, z in zip([0, *ends], ends)))
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        spaced = [p[1:] for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        self.pieces.update((" " + w, ids) for w, ids in self._spaced_ids(spaced))
         rest = [p for p in new if p not in self.pieces]
         self.pieces.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
 
@@ -239,13 +233,27 @@ class Encoder:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        """Remember words, by their form without the space before them; odd ones as None."""
-        whole = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        """Remember words, by their form without the space before them; odd ones as None.
+
+        Letters alone are one piece, and a stop behind them another; the rule is asked for others.
+        """
+        plain, stopped, rest = [], [], []
+        for w in new:
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1:] in _STOPS and w[:-1].isalpha():
+                stopped.append(w)
+            elif w and not w[0].isspace() and not w[-1].isspace():
+                rest.append(w)
+        bare = {w[:-1] for w in stopped}.difference(self.words, plain)
         self.words.update(dict.fromkeys(new))
-        parts = list(map(_pieces, whole))
+        self.words.update(self._spaced_ids(plain + list(bare)))
+        self._need([[*_STOPS]])
+        words, known = self.words, self.pieces.__getitem__
+        self.words.update([(w, words[w[:-1]] + known(w[-1])) for w in stopped])
+        parts = [_PIECES.findall(" " + w) if _SPECIAL not in w else [" " + w] for w in rest]
         self._need(parts)
-        known = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(known, ps))) for w, ps in zip(whole, parts))
+        self.words.update((w, b"".join(map(known, ps))) for w, ps in zip(rest, parts))
 
     def _need(self, parts: list[list[str]]) -> None:
         pieces = set().union(*parts).difference(self.pieces)
@@ -298,8 +306,8 @@ def write_ids(
             return pd.DataFrame({"part": [part], "file": [nth], "n_ids": [len(ids)], "data": [data]})
 
         for b in batches:
-            for a in range(0, len(b), 256):
-                rows = b.iloc[a : a + 256]
+            for a in range(0, len(b), 512):
+                rows = b.iloc[a : a + 512]
                 for i, ids in zip(rows["i"], coder.encode(list(rows["t"]))):
                     names.append(i)
                     held.append(ids + end)

@@ -131,6 +131,20 @@ def test_overlaps_of_two_blocks():
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]
 
 
+def test_encoder_learns_plain_words_once():
+    """Words of letters, and those with a stop behind, need no pieces of their own; ids are the vocabulary's."""
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["mill barn, weir! don't x2 (pond) été. . ,, a.b.", "weir? barn gate\ttab  two <|endoftext|> gate.", "", " ", "mill"]
+    got = coder.encode(texts) + coder.encode(texts[::-1])
+    own = [e.ids for e in coder.tokenizer.encode_batch([t.replace("<|", "< |") for t in texts], add_special_tokens=False)]
+    keep = [i for i, t in enumerate(texts) if "<|" not in t]
+    assert all(np.frombuffer(got[i], "<u2").tolist() == own[i] for i in keep)
+    assert got[: len(texts)] == got[len(texts) :][::-1]
+    plain = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert plain.encode(["a mill barn, weir!"]) == coder.encode(["a mill barn, weir!"])
+    assert not {" mill", " barn", " weir"} & plain.pieces.keys() and {"mill", "barn", "weir"} <= plain.words.keys()
+
+
 def test_repeated_bytes(corpus, small_chunks):
     df, frame = corpus
     got = suffixes.repeated_bytes(df, with_text=True).toPandas().set_index("doc_id")
