@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluiceway.sources.staging import new_folder, stage
 
-__all__ = ["apart", "components", "discard", "new_folder", "pack_docs", "partitions", "shared_keys", "ship", "stage", "table"]
+__all__ = ["apart", "components", "discard", "new_folder", "pack_docs", "partitions", "shared_keys", "ship", "stage", "staged_bytes", "table"]
 
 CHUNK_BYTES = 4 << 20
 
@@ -60,6 +60,16 @@ def discard(staged: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def staged_bytes(staged: DataFrame) -> int:
+    """Bytes of the files that `stage` wrote."""
+    files = staged.inputFiles()
+    if not files:
+        return 0
+    spark = staged.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 # --- connected components --------------------------------------------------------
 
 

@@ -9,23 +9,26 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import pack_docs, partitions, read_flags, shared_keys, ship, unpack_docs
+from .common import pack_docs, partitions, read_flags, shared_keys, ship, staged_bytes, unpack_docs
 
 LENGTH = 50
 GRAM = 20
 BACK = LENGTH - GRAM  # bytes before an anchor that a stretch may reach
 REST = LENGTH - GRAM  # bytes behind an anchor's gram
 KEY = 8 + REST  # a suffix: its gram's hash, then what follows the gram
-#: Bytes of text that a task holds at once, a longer text apart.
+#: Bytes of text whose anchors are found at once, a longer text apart.
 CHUNK = 1 << 20
-#: Parts in which runs are merged, for each shuffle partition.
-RUN_BUCKETS = 3
+#: Bytes of text of which one run goes to each bucket.
+BLOB = 8 << 20
+#: Compressed bytes of text for each bucket of grams: some 1,300,000 anchors at most.
+BUCKET = 8 << 20
 #: Suffixes that a merge holds as Python objects at once, one gram's together.
 AT_ONCE = 1 << 15
 _SLICE = 1 << 18
@@ -87,10 +90,10 @@ def anchors(text: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class _Chunk:
-    """A chunk's documents behind one another, and its anchors."""
+    """Documents behind one another, of a blob or given as ids and texts, and their anchors."""
 
-    def __init__(self, blob: bytes):
-        self.ids, texts = unpack_docs(blob)
+    def __init__(self, docs: bytes | tuple[np.ndarray, list[bytes]]):
+        self.ids, texts = unpack_docs(docs) if isinstance(docs, bytes) else docs
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.text = np.frombuffer(b"".join(texts), np.uint8)
@@ -111,13 +114,24 @@ class _Chunk:
         return out
 
 
+def _pieces(blob: bytes) -> Iterator[_Chunk]:
+    """A blob's documents, about CHUNK bytes at once."""
+    ids, texts = unpack_docs(blob)
+    first, held = 0, 0
+    for n, text in enumerate(texts, 1):
+        held += len(text) + 16
+        if held >= CHUNK or n == len(texts):
+            yield _Chunk((ids[first:n], texts[first:n]))
+            first, held = n, 0
+
+
 def _keys_of(blob: bytes) -> np.ndarray:
-    return np.unique(_Chunk(blob).hash)
+    return np.unique(np.concatenate([np.unique(p.hash) for p in _pieces(blob)]))
 
 
-def _in_two(chunk: _Chunk, keys: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Which of the distinct grams lie in documents of two ids of the chunk."""
-    ids = chunk.ids[chunk.doc]
+def _in_two(pieces: list[_Chunk], keys: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Which of the distinct grams lie in documents of two ids of the pieces."""
+    ids = np.concatenate([p.ids[p.doc] for p in pieces])
     low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
     np.minimum.at(low, where, ids)
     np.maximum.at(high, where, ids)
@@ -141,35 +155,51 @@ def _common(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.minimum(first, np.minimum(lengths[1:], lengths[:-1]))))
 
 
+def _even(hashes: np.ndarray) -> np.ndarray:
+    """The hashes mixed once more, one to one.
+
+    Anchors are the lowest of 31, so a bucket that takes the lowest of n ranges of their
+    hashes as they are would get up to 31/n of all suffixes.
+    """
+    h = hashes * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def _suffix_rows(chunk: _Chunk, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each suffix's key (hash of its gram and what follows) and its length."""
+    """Each suffix's key (even hash of its gram and what follows) and its length."""
     rest = chunk.bytes_at(chunk.at[use] + GRAM, chunk.behind[use], 1, REST)
-    head = chunk.hash[use].astype(">u8").view(np.uint8).reshape(-1, 8)
+    head = _even(chunk.hash[use]).astype(">u8").view(np.uint8).reshape(-1, 8)
     return np.concatenate((head, rest), axis=1), 8 + chunk.behind[use]
 
 
-def front_code(rows: np.ndarray, lengths: np.ndarray) -> bytes:
-    """Sorted rows: of each the length it shares with the row before, and the bytes after that."""
+def _heads(rows: np.ndarray) -> np.ndarray:
+    """The even hashes that rows begin with."""
+    return rows[:, :8].copy().view(">u8").ravel().astype(np.uint64)
+
+
+def front_code(rows: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted rows: of each the length it shares with the row before, its length, and the bytes after what it shares."""
     shared = _common(rows, lengths)
     reach = np.arange(rows.shape[1])
     own = (reach >= shared[:, None]) & (reach < lengths[:, None])
-    return shared.astype(np.uint8).tobytes() + lengths.astype(np.uint8).tobytes() + rows[own].tobytes()
+    return shared.astype(np.uint8).tobytes(), lengths.astype(np.uint8).tobytes(), rows[own].tobytes()
 
 
-def front_decode(data: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(rows, lengths, shared lengths, bytes read)."""
-    shared = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    lengths = np.frombuffer(data, np.uint8, n, n).astype(np.int64)
-    reach = np.arange(width)
+def front_decode(shared: np.ndarray, lengths: np.ndarray, data: bytes, width: int) -> np.ndarray:
+    """The rows. Runs may stand behind one another: a run's first row shares nothing."""
+    reach = np.arange(width, dtype=np.uint8)
     own = (reach >= shared[:, None]) & (reach < lengths[:, None])
-    size = int(own.sum())
-    rows = np.zeros((n, width), np.uint8)
-    rows[own] = np.frombuffer(data, np.uint8, size, 2 * n)
+    rows = np.zeros(own.shape, np.uint8)
+    rows[own] = np.frombuffer(data, np.uint8)
     # what a row does not bring itself stands in the last row above that did
+    places = np.arange(len(rows))
     for c in range(width):
-        last = np.maximum.accumulate(np.where(own[:, c], np.arange(n), 0))
-        rows[:, c] = np.where(reach[c] < lengths, rows[last, c], 0)
-    return rows, lengths, shared, 2 * n + size
+        last = np.maximum.accumulate(np.where(own[:, c], places, 0))
+        rows[:, c] = np.where(c < lengths, rows[last, c], 0)
+    return rows
 
 
 def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, int]], list[int]]:
@@ -264,13 +294,22 @@ def _later(chunk: _Chunk, use: np.ndarray) -> tuple[np.ndarray, ...]:
     return use, rows, lengths, left, doc, doc > doc[lead]
 
 
-def _runs_of(chunk: _Chunk, number: int, shared: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """The chunk's suffix runs, one for each bucket, without what it can tell by itself."""
-    use, rows, lengths, left, doc, later = _later(chunk, np.flatnonzero(shared))
-    back = chunk.before[use]
-    keep = ~later
-    use, rows, lengths, left, doc, back = (x[keep] for x in (use, rows, lengths, left, doc, back))
-    bucket = (chunk.hash[use] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+def _runs_of(pieces: _Chunk | list[_Chunk], number: int, shared: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """The suffix runs of a blob's pieces, one for each bucket, without what a piece can tell by itself.
+
+    Places are counted on from piece to piece.
+    """
+    parts, first = [], 0
+    for piece in [pieces] if isinstance(pieces, _Chunk) else pieces:
+        use, rows, lengths, left, doc, later = _later(piece, np.flatnonzero(shared[first : first + len(piece.at)]))
+        each = (rows, lengths.astype(np.uint8), left, piece.before[use].astype(np.uint8), doc, (use + first).astype("<u4"))
+        parts.append([x[~later] for x in each])
+        first += len(piece.at)
+    rows, lengths, left, back, doc, use = (np.concatenate(x) for x in zip(*parts))
+    if len(parts) > 1:
+        order = np.lexsort((lengths, *_columns(rows)))
+        rows, lengths, left, back, doc, use = (x[order] for x in (rows, lengths, left, back, doc, use))
+    bucket = (_heads(rows) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     bounds = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     press = zstandard.ZstdCompressor(level=3)
     runs = []
@@ -278,30 +317,36 @@ def _runs_of(chunk: _Chunk, number: int, shared: np.ndarray, buckets: int) -> li
         s = slice(bounds[b], bounds[b + 1])
         n = s.stop - s.start
         if n:
-            inside = np.arange(BACK) < back[s][:, None]
-            body = (
-                struct.pack("<qI", number, n)
-                + front_code(rows[s], lengths[s])
-                + back[s].astype(np.uint8).tobytes()
-                + left[s][inside].tobytes()
-                + doc[s].astype("<i8").tobytes()
-                + use[s].astype("<u4").tobytes()
-            )
-            runs.append((b, press.compress(body)))
+            coded = front_code(rows[s], lengths[s])
+            before = left[s][np.arange(BACK) < back[s][:, None]]
+            head = struct.pack("<qIII", number, n, len(coded[2]), len(before))
+            body = (head, *coded, back[s].tobytes(), before.tobytes(), doc[s].astype("<i8").tobytes(), use[s].tobytes())
+            runs.append((b, press.compress(b"".join(body))))
     return runs
 
 
-def _open_run(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    number, n = struct.unpack_from("<qI", data)
-    rows, lengths, shared, size = front_decode(data[12:], n, KEY)
-    at = 12 + size
-    back = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
-    inside = np.arange(BACK) < back[:, None]
-    left = np.zeros((n, BACK), np.uint8)
-    left[inside] = np.frombuffer(data, np.uint8, int(back.sum()), at + n)
-    at += n + int(back.sum())
-    return number, rows, lengths, shared, left, back, np.frombuffer(data, "<i8", n, at), np.frombuffer(data, "<u4", n, at + 8 * n)
+class _Runs:
+    """Runs behind one another, opened."""
+
+    def __init__(self, blobs):
+        unpress = zstandard.ZstdDecompressor()
+        numbers, sizes, parts = [], [], [bytearray() for _ in range(7)]
+        for blob in blobs:
+            data = memoryview(unpress.decompress(blob))
+            number, n, own, before = struct.unpack_from("<qIII", data)
+            numbers.append(number)
+            sizes.append(n)
+            at = struct.calcsize("<qIII")
+            for part, size in zip(parts, (n, n, own, n, before, 8 * n, 4 * n)):
+                part += data[at : at + size]
+                at += size
+        self.numbers, self.sizes = numbers, np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.shared, self.lengths, self.back = (np.frombuffer(parts[i], np.uint8) for i in (0, 1, 3))
+        self.doc, self.use = np.frombuffer(parts[5], "<i8"), np.frombuffer(parts[6], "<u4")
+        self.rows = front_decode(self.shared, self.lengths, parts[2], KEY)
+        self.left = np.zeros((len(self.back), BACK), np.uint8)
+        self.left[np.arange(BACK, dtype=np.uint8) < self.back[:, None]] = np.frombuffer(parts[4], np.uint8)
 
 
 def _repeats(lcp, lengths, left, back, doc) -> tuple[np.ndarray, np.ndarray]:
@@ -349,34 +394,36 @@ def _reduce(blobs) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     Suffixes of different grams share no stretch, so the runs are merged range by range
     of the gram's hash.
     """
-    opened = [_open_run(b) for b in blobs]
-    bounds = _ranges([o[1][:, :8].copy().view(">u8").ravel().astype(np.uint64) for o in opened])
-    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for step in range(len(bounds[0]) - 1):
-        strings, parts, owner = [], [], []
-        for r, (o, bound) in enumerate(zip(opened, bounds)):
-            s = slice(bound[step], bound[step + 1])
-            rows, lengths, shared = o[1][s], o[2][s], o[3][s].tolist()
-            if shared:
-                shared[0] = 0  # the row before is in no run of this range
-                raw, ends = rows.tobytes(), (np.arange(len(rows)) * KEY + lengths).tolist()
-                strings.append(([raw[i * KEY : e] for i, e in enumerate(ends)], shared))
-                parts.append([o[i][s] for i in (2, 4, 5, 6, 7)])
-                owner.append(r)
-        if not strings:
+    runs = _Runs(blobs)
+    bounds = np.array(_ranges(np.split(_heads(runs.rows), runs.starts[1:])))
+    found = []
+    for step in range(bounds.shape[1] - 1):
+        sizes = bounds[:, step + 1] - bounds[:, step]
+        owner = np.flatnonzero(sizes)
+        if not len(owner):
             continue
-        order, lcps = merge_runs(strings)
-        base = np.concatenate(([0], np.cumsum([len(s[0]) for s in strings])[:-1])).astype(np.int64)
+        sizes = sizes[owner]
+        base = np.cumsum(sizes) - sizes
+        at = np.repeat(runs.starts[owner] + bounds[owner, step] - base, sizes) + np.arange(sizes.sum())
+        raw, ends = runs.rows[at].tobytes(), (np.arange(len(at)) * KEY + runs.lengths[at]).tolist()
+        strings, shared = [raw[i * KEY : e] for i, e in enumerate(ends)], runs.shared[at]
+        shared[base] = 0  # the row before is in no run of this range
+        shared = shared.tolist()
+        cuts = [*base.tolist(), len(at)]
+        order, lcps = merge_runs([(strings[a:z], shared[a:z]) for a, z in zip(cuts, cuts[1:])])
         pairs = np.array(order, np.int64).reshape(-1, 2)
-        at = base[pairs[:, 0]] + pairs[:, 1]
-        lengths, left, back, doc, place = (np.concatenate([p[i] for p in parts])[at] for i in range(5))
-        most, least = _repeats(np.array(lcps, np.int64), lengths, left, back, doc)
+        at = at[base[pairs[:, 0]] + pairs[:, 1]]
+        lengths, back = runs.lengths[at].astype(np.int64), runs.back[at].astype(np.int64)
+        most, least = _repeats(np.array(lcps, np.int64), lengths, runs.left[at], back, runs.doc[at])
         hit = np.flatnonzero(most >= 0)
-        run = np.array(owner, np.int64)[pairs[hit, 0]]
-        for r in np.unique(run).tolist():
-            own = hit[run == r]
-            found.setdefault(r, []).append((place[own], most[own], least[own]))
-    return [(opened[r][0], *(np.concatenate(x) for x in zip(*each))) for r, each in found.items()]
+        found.append((owner[pairs[hit, 0]], runs.use[at[hit]], most[hit].astype(np.uint8), least[hit].astype(np.uint8)))
+    if not found:
+        return []
+    run, *rest = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(run, kind="stable")
+    names, first = np.unique(run[order], return_index=True)
+    parts = [np.split(x[order], first[1:]) for x in rest]
+    return [(runs.numbers[r], *each) for r, *each in zip(names.tolist(), *parts)]
 
 
 def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -389,6 +436,11 @@ def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[last]
 
 
+def _buckets(chunks: DataFrame) -> int:
+    """Parts in which runs are merged: as the text grows, whatever the shuffle partitions."""
+    return max(partitions(chunks.sparkSession), -(-staged_bytes(chunks) // BUCKET))
+
+
 def repeated_bytes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
 ) -> DataFrame:
@@ -400,20 +452,18 @@ def repeated_bytes(
     count against each other, and each has its result; rows without an id are left out.
     `spans` are the removed (start, end); `kept` is the rest, bytes.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
-    chunks = pack_docs(ship(docs), id_col, text_col, CHUNK)
+    chunks = pack_docs(ship(docs), id_col, text_col, BLOB)
+    buckets = _buckets(chunks)
     flags = shared_keys(chunks, _keys_of, buckets)
 
     def sort_runs(key, mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, blob in zip(mine["chunk"], mine["blob"]):
-            chunk = _Chunk(blob)
-            keys, where = np.unique(chunk.hash, return_inverse=True)
+            pieces = list(_pieces(blob))
+            keys, where = np.unique(np.concatenate([p.hash for p in pieces]), return_inverse=True)
             shared = read_flags(keys, buckets, replies)
-            shared = (shared | _in_two(chunk, keys, where))[where]
-            runs = _runs_of(chunk, number, shared, RUN_BUCKETS * buckets)
-            out += [(number, b, data) for b, data in runs]
+            shared = (shared | _in_two(pieces, keys, where))[where]
+            out += [(number, b, data) for b, data in _runs_of(pieces, number, shared, buckets)]
         return pd.DataFrame(out, columns=["chunk", "bucket", "data"])
 
     sorted_runs = (
@@ -424,7 +474,7 @@ def repeated_bytes(
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, place, most, least in _reduce(rows["data"]):
-            body = place.astype("<u4").tobytes() + most.astype(np.uint8).tobytes() + least.astype(np.uint8).tobytes()
+            body = place.tobytes() + most.tobytes() + least.tobytes()
             out.append((number, zstandard.compress(body)))
         return pd.DataFrame(out, columns=["chunk", "data"])
 
@@ -444,22 +494,33 @@ def repeated_bytes(
 
 
 def _cut(blob: bytes, repeats: pd.DataFrame, with_text: bool) -> list[tuple]:
-    chunk = _Chunk(blob)
-    keys, where = np.unique(chunk.hash, return_inverse=True)
-    use, _, _, _, _, later = _later(chunk, np.flatnonzero(_in_two(chunk, keys, where)[where]))
-    own = use[later]
-    own = own[chunk.before[own] + GRAM + chunk.behind[own] >= LENGTH]
-    owners = [chunk.doc[own]]
-    starts, ends = [chunk.at[own] - chunk.before[own]], [chunk.at[own] + GRAM + chunk.behind[own]]
+    places, most, least = [np.zeros(0, "<u4")], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)]
     for data in repeats["data"]:
         raw = zstandard.decompress(data)
         n = len(raw) // 6
-        use = np.frombuffer(raw, "<u4", n).astype(np.int64)
-        at = chunk.at[use]
-        owners.append(chunk.doc[use])
-        starts.append(at - np.frombuffer(raw, np.uint8, n, 4 * n))
-        ends.append(at - np.frombuffer(raw, np.uint8, n, 5 * n) + LENGTH)
-    owner, start, end = (np.concatenate(x) for x in (owners, starts, ends))
+        places.append(np.frombuffer(raw, "<u4", n))
+        most.append(np.frombuffer(raw, np.uint8, n, 4 * n))
+        least.append(np.frombuffer(raw, np.uint8, n, 5 * n))
+    use, most, least = (np.concatenate(x) for x in (places, most, least))
+    order = np.argsort(use, kind="stable")
+    use, most, least = use[order].astype(np.int64), most[order], least[order]
+    out, first = [], 0
+    for piece in _pieces(blob):
+        s = slice(*np.searchsorted(use, (first, first + len(piece.at))))
+        out += _cut_piece(piece, use[s] - first, most[s], least[s], with_text)
+        first += len(piece.at)
+    return out
+
+
+def _cut_piece(chunk: _Chunk, use: np.ndarray, most: np.ndarray, least: np.ndarray, with_text: bool) -> list[tuple]:
+    """`use`: anchors of stretches that repeat, as far as _repeats tells."""
+    keys, where = np.unique(chunk.hash, return_inverse=True)
+    own, _, _, _, _, later = _later(chunk, np.flatnonzero(_in_two([chunk], keys, where)[where]))
+    own = own[later]
+    own = own[chunk.before[own] + GRAM + chunk.behind[own] >= LENGTH]
+    owner = np.concatenate((chunk.doc[own], chunk.doc[use]))
+    start = np.concatenate((chunk.at[own] - chunk.before[own], chunk.at[use] - most))
+    end = np.concatenate((chunk.at[own] + GRAM + chunk.behind[own], chunk.at[use] - least + LENGTH))
     order = np.argsort(owner, kind="stable")
     owner, start, end = owner[order], start[order], end[order]
     bounds = np.searchsorted(owner, np.arange(len(chunk.ids) + 1))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import public_tokenizers
+import zstandard
 
 from sluiceway.llm import chunking, common, jaccard, leaks, lines, pages, pieces, quality, suffixes, tokens, vectors
 
@@ -301,6 +303,50 @@ def test_merging_in_ranges_changes_nothing(corpus, monkeypatch):
     assert len(suffixes._ranges(heads)[0]) > 3 and reduced() == want
 
 
+def test_suffixes_fall_evenly_into_buckets(corpus):
+    """Anchors are the lowest of 31 hashes; the lowest range of them must not be one bucket's."""
+    df, _ = corpus
+    counts = np.zeros(32, int)
+    for r in common.pack_docs(df, "doc_id", "text", 1 << 20).collect():
+        chunk = suffixes._Chunk(r.blob)
+        for b, data in suffixes._runs_of(chunk, 0, np.ones(len(chunk.hash), bool), 32):
+            counts[b] += struct.unpack_from("<qI", zstandard.decompress(data))[1]
+    assert counts.sum() > 5000 and counts.max() < 3 * counts.mean()
+
+
+def test_suffix_buckets_grow_with_the_text(corpus, monkeypatch):
+    df, _ = corpus
+    chunks = common.pack_docs(df, "doc_id", "text", 20_000)
+    few = suffixes._buckets(chunks)
+    monkeypatch.setattr(suffixes, "BUCKET", 1000)
+    assert few == common.partitions(df.sparkSession)
+    assert suffixes._buckets(chunks) >= chunks.selectExpr("sum(length(blob))").first()[0] / 1000 > few
+
+
+def test_suffixes_of_a_blob_in_pieces(corpus, monkeypatch):
+    df, _ = corpus
+    blobs = [r.blob for r in common.pack_docs(df, "doc_id", "text", 40_000).collect()]
+
+    def cut():
+        runs = {}
+        for number, blob in enumerate(blobs):
+            pieces = list(suffixes._pieces(blob))
+            for b, data in suffixes._runs_of(pieces, number, np.ones(sum(len(p.at) for p in pieces), bool), 3):
+                runs.setdefault(b, []).append(data)
+        found = [[] for _ in blobs]
+        for each in runs.values():
+            for number, *rest in suffixes._reduce(each):
+                found[number].append(zstandard.compress(b"".join(x.tobytes() for x in rest)))
+        rows = [suffixes._cut(b, pd.DataFrame({"data": f}), True) for b, f in zip(blobs, found)]
+        return rows, max(len(list(suffixes._pieces(b))) for b in blobs)
+
+    want, pieces = cut()
+    assert pieces == 1 and sum(r[2] for rows in want for r in rows) > 10_000
+    monkeypatch.setattr(suffixes, "CHUNK", 5000)
+    got, pieces = cut()
+    assert pieces > 5 and got == want
+
+
 def test_quality_held_out(spark):
     rng = np.random.default_rng(5)
     rows = [
